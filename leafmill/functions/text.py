@@ -5,6 +5,8 @@ Everything here stays inside Catalyst; no Python runs per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,18 @@ WS_CODES = (
     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
 )
 WS_CHARS = "".join(chr(c) for c in WS_CODES)
-WS = "[" + "".join(f"\\x{{{c:04X}}}" for c in WS_CODES) + "]"
-NON_WS = "[^" + WS[1:]
+# The same set as a character class; ranges and `\\s` keep it short, which matters in both regex engines.
+WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 PAGE_JOINER = "\n\n"
 MIN_TERM_CHARS = 3
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use `value` several times but compute it once (lambdas get no common-subexpression elimination)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_ws(c: Column) -> Column:
     """Trim every white-space character (Spark's `trim` knows only the blank)."""
     return F.btrim(c, F.lit(WS_CHARS))
@@ -45,14 +52,17 @@ def clip(c: Column, n: int | Column) -> Column:
 
 def last_index(hay: Column, needle: str) -> Column:
     """0-based position of the last occurrence, -1 when absent."""
-    hit = F.instr(F.reverse(hay), F.lit(needle[::-1]))
-    return F.when(hit == 0, F.lit(-1)).otherwise(F.length(hay) - hit + 1 - len(needle))
+    return let(
+        F.instr(F.reverse(hay), F.lit(needle[::-1])),
+        lambda hit: F.when(hit == 0, F.lit(-1)).otherwise(F.length(hay) - hit + 1 - len(needle)),
+    )
 
 
 def tokens_of(c: Column) -> Column:
     """Lower-cased [a-z0-9] words of at least three characters, in order, repeats kept."""
-    plain = F.regexp_replace(F.lower(c), "[^a-z0-9" + WS[1:], "")
-    return F.filter(F.split(plain, WS + "+"), lambda w: F.length(w) >= MIN_TERM_CHARS)
+    plain = F.regexp_replace(F.lower(c), "[^a-z0-9" + WS[1:] + "+", "")
+    # only white space is left between the words
+    return F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: F.length(w) >= MIN_TERM_CHARS)
 
 
 def words_of(c: Column) -> Column:

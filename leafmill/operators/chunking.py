@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.blocks import _BLK, NO_ANCHOR, block_anchors, block_of, entry_anchors
-from leafmill.functions.text import PAGE_JOINER, is_blank, last_index, trim_ws
+from leafmill.functions.text import PAGE_JOINER, is_blank, last_index, let, trim_ws
 
 # Fixed values.
 CHUNK_CHARS = 4800
@@ -159,19 +159,20 @@ def chunk_overlap(
     def cut_at(pos: Column) -> Column:
         end = F.least(pos + size, n)
         tail = F.substring(text, end - PART_TAIL + 1, F.lit(PART_TAIL))
-        best = F.greatest(*[last_index(tail, mark) for mark in PART_BREAKS])
-        off = F.lit(PART_TAIL) - best
-        return F.when((end < n) & (best > 0) & (off < PART_BACKOFF), end - off).otherwise(end).cast("int")
+        best = let(tail, lambda t: F.greatest(*[last_index(t, mark) for mark in PART_BREAKS]))
+        backed = let(best, lambda b: F.when((b > 0) & (F.lit(PART_TAIL) - b < PART_BACKOFF), end - PART_TAIL + b).otherwise(end))
+        return F.when(end < n, backed).otherwise(end).cast("int")
 
-    def step(acc: Column, _: Column) -> Column:
-        cut = cut_at(acc["pos"])
-        done = acc["pos"] < 0
+    def advance(acc: Column, cut: Column) -> Column:
         following = F.when(cut >= n, F.lit(-1)).otherwise(F.greatest(cut - overlap, acc["pos"] + 1)).cast("int")
         return F.struct(
-            F.when(done, acc["pos"]).otherwise(following).alias("pos"),
-            F.when(done, acc["cuts"]).otherwise(F.array_append(acc["cuts"], F.struct(acc["pos"].alias("s"), cut.alias("e")))).alias("cuts"),
+            following.alias("pos"),
+            F.array_append(acc["cuts"], F.struct(acc["pos"].alias("s"), cut.alias("e"))).alias("cuts"),
         )
 
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["pos"] < 0, acc).otherwise(let(cut_at(acc["pos"]), lambda cut: advance(acc, cut)))
+
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int>>").alias("cuts"))
     folded = F.aggregate(F.sequence(F.lit(1), F.lit(max_parts)), start, step)
     cut = F.substring(text, F.col("cut.s") + 1, F.col("cut.e") - F.col("cut.s"))
