@@ -77,6 +77,19 @@ def spread_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def block_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], pos: str, last: str, how: str = "inner", rows_per_block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Join rows with the one lookup row of their key, by (key, block of `pos`).
+
+    The lookup knows the key's largest position (`last`) and is copied once per block, so an ordinary key has one copy
+    and a hot key is split exactly as far as it is large. `last` is dropped.
+    """
+    tagged = rows.withColumn(_BLK, block_of(pos, rows_per_block))
+    copies = lookup.withColumn(_BLK, F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(last, rows_per_block)))).drop(last)
+    return tagged.join(copies, [*keys, _BLK], how).drop(_BLK)
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Greedy segmentation
 #

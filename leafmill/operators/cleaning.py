@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.blocks import spread_join
+from leafmill.functions.blocks import block_join, spread_join
 from leafmill.functions.text import WS, clip, lines_of, squeeze, trim_ws
 
 # Fixed values.
@@ -35,7 +35,7 @@ def clean_pages(pages: DataFrame, audit: bool = False) -> DataFrame:
 
 
 def repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3, min_chars: int = 4) -> DataFrame:
-    """(doc_id, lines): trimmed lines found on at least max(min_pages, ceil(ratio * pages)) pages of their document.
+    """(doc_id, furniture, last_page): trimmed lines found on at least max(min_pages, ceil(ratio * pages)) pages of their document.
 
     Counting is a map-side combined aggregate on (doc_id, line). A page adds each line once, so the lines that reach
     the ratio number at most (lines on one page) / ratio: the collected array is bounded by one page, not by the
@@ -50,12 +50,16 @@ def repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3, min
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_pages)
     )
-    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    sizes = (
+        pages.groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("pages"), F.max("page").alias("last_page"))
+        .filter(F.col("pages") >= min_pages)
+    )
     return (
         spread_join(counts, sizes, ["doc_id"], F.col("line"))
         .filter(F.col("n") >= F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * F.lit(ratio))))
         .groupBy("doc_id")
-        .agg(F.collect_list("line").alias("furniture"))
+        .agg(F.collect_list("line").alias("furniture"), F.first("last_page").alias("last_page"))
     )
 
 
@@ -64,9 +68,7 @@ def drop_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3
     furniture = repeated_lines(pages, ratio, min_pages)
     kept = F.filter(lines_of(F.col("text")), lambda line: ~F.array_contains(F.col("furniture"), trim_ws(line)))
     text = F.when(F.col("furniture").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return (
-        spread_join(pages, furniture, ["doc_id"], F.col("page"), "left").withColumn("text", text).drop("furniture")
-    )
+    return block_join(pages, furniture, ["doc_id"], "page", "last_page", "left").withColumn("text", text).drop("furniture")
 
 
 def clean_corpus(pages: DataFrame, file_type: Column | None = None) -> DataFrame:

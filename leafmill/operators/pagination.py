@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.blocks import block_join
 from leafmill.functions.text import WS, nonempty
 
 PAGE_CHARS = 2000
@@ -65,11 +66,9 @@ def page_labels(
         *[F.struct(F.lit(s).alias("slot"), F.lit(t).alias("template")) for s, t in chosen.items() if t]
     )
     first = max(1, start_page or 1)
-    joined = (
-        pages.select("doc_id", "page")
-        .filter(F.col("page") >= first)
-        .join(info, "doc_id")
-        .filter(F.col("page") <= F.least(F.lit(end_page), F.col("total")))
+    wanted = pages.select("doc_id", "page").filter(F.col("page") >= first)
+    joined = block_join(wanted, info.withColumn("last", F.col("total")), ["doc_id"], "page", "last").filter(
+        F.col("page") <= F.least(F.lit(end_page), F.col("total"))
     )
     text = F.col("s.template")
     for mark, value in (

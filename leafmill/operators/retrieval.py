@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.blocks import spread_join
+from leafmill.functions.blocks import block_join, spread_join
 from leafmill.functions.text import PAGE_JOINER, clip, nonempty, tokens_of, trim_ws
 from leafmill.functions.vectors import cosine, norm
 
@@ -176,8 +176,8 @@ def sample_context(
         body = body.filter(F.col("chunk_id") * (len(PAGE_JOINER) + 1) <= budget)
         order = [F.col("chunk_id")]
     else:
-        counts = chunks.groupBy("doc_id").agg((F.max("chunk_id") + 1).alias("n"))
-        body = spread_join(body, counts, ["doc_id"], F.col("chunk_id"))
+        counts = chunks.groupBy("doc_id").agg((F.max("chunk_id") + 1).alias("n"), F.max("chunk_id").alias("last"))
+        body = block_join(body, counts, ["doc_id"], "chunk_id", "last")
         if topics is not None:
             lowered = topics.select("doc_id", F.lower("topic").alias("topic")).filter(F.length("topic") > 2)
             needles = lowered.groupBy("doc_id").agg(F.collect_set("topic").alias("topics"))
