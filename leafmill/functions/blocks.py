@@ -59,6 +59,22 @@ def number_rows(
     return numbered.withColumn(name, (F.col(name) + start).cast("int"))
 
 
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, block: Column, name: str) -> DataFrame:
+    """Add the last non-null `value` strictly before each row of its key, without a per-key sort of all rows."""
+    tagged = df.withColumn(_BLK, block).withColumn("_v", value)
+    ends = tagged.filter(F.col("_v").isNotNull()).groupBy(*keys, _BLK).agg(F.max_by("_v", F.struct(*order)).alias("_end"))
+    # a block looks back to the nearest earlier block that set a value
+    blocks = tagged.select(*keys, _BLK).distinct().join(ends, [*keys, _BLK], "left")
+    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*keys, _BLK, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    local = Window.partitionBy(*keys, _BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        tagged.join(carried, [*keys, _BLK])
+        .withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(local), F.col("_carry")))
+        .drop(_BLK, "_v", "_carry")
+    )
+
+
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows holding the smallest unique `order` of their key.
 

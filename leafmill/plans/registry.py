@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("page_queries", "retrieval_queries", "structure_queries", "compare_queries", "grounding_queries", "profile_queries", "source_queries")
+MODULES = ("page_queries", "retrieval_queries", "structure_queries", "compare_queries", "grounding_queries", "profile_queries", "source_queries", "stream_queries")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

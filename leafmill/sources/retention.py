@@ -15,7 +15,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _expired(now: Column, ttl: str) -> Column:
-    return now - F.col("modified") > F.expr(f"INTERVAL '{ttl.split()[0]}' {ttl.split()[1]}")
+    # the bare column on one side lets the comparison reach the scan
+    return F.col("modified") < now - F.expr(f"INTERVAL {ttl}")
 
 
 def retention_sweep(files: DataFrame, now: Column, ttl: str = OUTPUT_TTL) -> DataFrame:
