@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import let, squeeze
+from leafmill.functions.text import let
 
 SHINGLE_WORDS = 4
 MIN_FUZZY_CHARS = 8
@@ -27,9 +27,12 @@ def decompose(c: Column) -> Column:
 
 
 def fold_decomposed(c: Column) -> Column:
-    """Normal form of already decomposed text: no accents, straight quotes, no odd characters, lower case."""
+    """Normal form of already decomposed text: no accents, no odd characters (quotes are), one blank, lower case.
+
+    Odd characters and white space both end as one blank, so one replacement serves both.
+    """
     bare = F.regexp_replace(c, r"[\x{0300}-\x{036F}]+", "")
-    return F.lower(squeeze(F.regexp_replace(bare, r"[^\w\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}.,;:!?()/-]", " ")))
+    return F.lower(F.btrim(F.regexp_replace(bare, r"[^\w.,;:!?()/-]+", " ")))
 
 
 def fold(c: Column) -> Column:
@@ -42,9 +45,13 @@ def split_words(c: Column) -> Column:
 
 def shingles(words: Column, n: int = SHINGLE_WORDS) -> Column:
     """Distinct word n-grams; none for fewer words."""
-    last = F.size(words) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(words, k, F.lit(n)), " "))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(ws: Column) -> Column:
+        last = F.size(ws) - n + 1
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(ws, k, F.lit(n)), " "))
+        return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
 
 
 def fuzzy_contains(hay: Column, needle: Column) -> Column:

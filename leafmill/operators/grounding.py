@@ -9,6 +9,7 @@ from leafmill.functions.blocks import number_rows
 from leafmill.functions.matching import fold, fuzzy_contains, shingles, split_words
 from leafmill.functions.text import clip, nonempty, trim_ws
 from leafmill.operators.cleaning import strip_anchors
+from leafmill.session import stage_table
 
 # Fixed values.
 MIN_SNIPPET_CHARS = 8
@@ -59,9 +60,12 @@ def locate_snippets(snippets: DataFrame, paragraphs: DataFrame) -> DataFrame:
     long_enough = snippets.filter(F.length("snippet") >= MIN_SNIPPET_CHARS)
     asked = long_enough.select("doc_id", "snippet_id", fold(F.col("snippet")).alias("needle")).filter(F.length("needle") > 0)
     needles = asked.groupBy("doc_id", "needle").agg(F.min("snippet_id").alias("nid"))
-    needles = needles.withColumn("nw", split_words(F.col("needle")))
+    # five branches read each side: written once, not folded five times
+    needles = stage_table(needles.withColumn("nw", split_words(F.col("needle"))))
     folded = paragraphs.select("doc_id", "paragraph_index", fold(F.col("text")).alias("hay")).filter(F.length("hay") > 0)
-    hays = folded.groupBy("doc_id", "hay").agg(F.min("paragraph_index").alias("pid")).withColumn("hw", split_words(F.col("hay")))
+    hays = stage_table(
+        folded.groupBy("doc_id", "hay").agg(F.min("paragraph_index").alias("pid")).withColumn("hw", split_words(F.col("hay")))
+    )
 
     pair = ["doc_id", "nid", "pid"]
     n_size, h_size = F.size("nw"), F.size("hw")
@@ -196,14 +200,14 @@ def merge_highlights(highlights: DataFrame, max_n: int = MAX_HIGHLIGHTS, min_ove
     """
     weight = F.when(F.col("importance") == "critical", 0).when(F.col("importance") == "high", 1).otherwise(2)
     rank = F.struct(weight.alias("w"), (-F.col("confidence")).alias("c"), F.col("hl_id").alias("hl_id"))
-    ranked = highlights.withColumn("_rank", rank).withColumn("_norm", fold(F.col("text")))
+    ranked = stage_table(highlights.withColumn("_rank", rank).withColumn("_norm", fold(F.col("text"))))
     lead = ranked.groupBy("doc_id", "_norm").agg(F.min("_rank").alias("_rank"))
     sets = lead.select("doc_id", F.col("_rank.hl_id").alias("hl_id"), "_rank", F.explode(shingles(split_words(F.col("_norm")))).alias("g"))
     df = sets.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("df"))
     grams = sets.join(df.filter("df > 1"), ["doc_id", "g"], "left").fillna(1, ["df"])
     per_hl = Window.partitionBy("doc_id", "hl_id")
-    placed = grams.withColumn("n", F.count(F.lit(1)).over(per_hl)).withColumn(
-        "pos", F.row_number().over(per_hl.orderBy("df", "g"))
+    placed = stage_table(
+        grams.withColumn("n", F.count(F.lit(1)).over(per_hl)).withColumn("pos", F.row_number().over(per_hl.orderBy("df", "g")))
     )
     prefix = placed.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_overlap)) + 1) & (F.col("df") > 1))
     shared = placed.filter("df > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.blocks import block_of, number_rows, point_segments, prefix_sums
-from leafmill.functions.text import WS, clip, let, lines_of, squeeze, trim_ws
+from leafmill.functions.text import WS, clip, lines_of, squeeze, trim_ws
 
 # Fixed values.
 MIN_CHAPTER_CHARS = 5
@@ -161,8 +161,7 @@ _HEAD, _HEAD_END, _BREAK, _LINE = "﷐", "﷑", "﷒", "﷓"
 def page_paragraphs(text: Column) -> Column:
     """Array of (section, text) of one page, by marking its lines and splitting, in linear time."""
 
-    def mark(raw: Column) -> Column:
-        line = trim_ws(raw)
+    def mark(line: Column) -> Column:
         heading = ((F.length(line) <= 80) & F.rlike(line, F.lit(HEADING_CAPS))) | (
             (F.length(line) <= 70) & F.rlike(line, F.lit(HEADING_TITLE)) & ~F.endswith(line, F.lit("."))
         )
@@ -172,7 +171,7 @@ def page_paragraphs(text: Column) -> Column:
             .otherwise(line)
         )
 
-    marked = F.array_join(F.transform(F.split(text, r"\r?\n"), mark), _LINE)
+    marked = F.array_join(F.transform(F.transform(F.split(text, r"\r?\n"), trim_ws), mark), _LINE)
 
     def paragraphs(body: Column, section: Column) -> Column:
         joined = F.transform(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import WS, WS_CHARS
 from leafmill.operators.chunking import chunk_pages
 from leafmill.operators.pagination import paginate_fixed
-from leafmill.session import table
+from leafmill.session import stage_table, table
 
 SMALL_PAGE = 400
 SMALL_CHUNK = 900
@@ -82,8 +82,8 @@ def book_pages_sql(name: str = "book_pages") -> str:
 
 
 def small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short chunks, so that most documents have several."""
-    return chunk_pages(doc_pages(spark, sf_dir, SMALL_PAGE), SMALL_CHUNK)
+    """Short chunks, so that most documents have several; stored once, as an ingest does, for the queries on them."""
+    return stage_table(chunk_pages(doc_pages(spark, sf_dir, SMALL_PAGE), SMALL_CHUNK))
 
 
 def chunks_sql(pages: str, max_chars: int, name: str = "chunks") -> str:

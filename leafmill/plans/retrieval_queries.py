@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import chunking, cleaning, lexical, pagination, retrieval
 from leafmill.plans import inputs as i
 from leafmill.plans.inputs import tokens_sql, trim_sql, with_ctes
-from leafmill.session import table
+from leafmill.session import stage_table, table
 
 QUERIES = {}
 ORACLES = {}
@@ -373,7 +373,8 @@ JOIN ctx x USING (query_id) LEFT JOIN past p ON p.conv_id = q.doc_id""",
 
 def _flagship(s, d):
     """Documents -> pages -> cleaned -> chunks -> term index -> keyword ranking -> contexts."""
-    chunks = chunking.chunk_pages(cleaning.clean_corpus(pagination.paginate_fixed(i.documents(s, d))))
+    cleaned = stage_table(cleaning.clean_pages(pagination.paginate_fixed(i.documents(s, d))))
+    chunks = stage_table(chunking.chunk_pages(cleaning.drop_repeated_lines(cleaned)))
     top = retrieval.keyword_topk(questions(s, d), lexical.chunk_terms(chunks), chunks)
     return retrieval.pack_context(retrieval.attach_text(top, chunks))
 

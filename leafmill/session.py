@@ -1,9 +1,10 @@
-"""Session helpers: a local session for tests, and the shared checkpoint folder."""
+"""Session helpers: a local session for tests, and tables staged in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("leafmill")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -26,19 +28,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` into the folder the cluster names, so a lost executor does not replay its whole history.
-
-    Only a session without any folder (a test) gets a temporary one.
-    """
-    spark = df.sparkSession
-    if spark.conf.get(CHECKPOINT_CONF, None) is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; only a local session without one gets its own."""
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder")
-        folder = tempfile.mkdtemp(prefix="leafmill-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set(CHECKPOINT_CONF, folder)
-    return df.checkpoint()
+    return folder
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write `df` once into the shared folder and go on from the written table.
+
+    For results several later branches read: they are computed once, read back by column, and survive lost executors.
+    """
+    path = os.path.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from leafmill.session import CHECKPOINT_CONF
+from leafmill.session import shared_folder
 
 STATE_PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,19 +25,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 6
     )
 
 
-def work_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get(CHECKPOINT_CONF, None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder")
-        shared = tempfile.mkdtemp(prefix="leafmill-stream-")
-    return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
-
-
 def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     """Process everything available, exactly once, and hand back the resulting table."""
     spark = stream.sparkSession
-    folder = work_folder(spark)
+    folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     previous = spark.conf.get(STATE_PROVIDER_CONF, None)
     spark.conf.set(STATE_PROVIDER_CONF, ROCKSDB)
     try:
