@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import tokens_of
+from leafmill.functions.text import let, tokens_of
+from leafmill.session import stage_table
 
 # Fixed values.
 VECTOR_DIM = 256
@@ -61,14 +62,20 @@ def tfidf_weights(terms: DataFrame, vocab: DataFrame, group: str = "doc_id") ->
 
 def dense_vector(cells: Column, dim: int = VECTOR_DIM) -> Column:
     """Array of `dim` doubles from an array of (idx, weight) cells."""
-    by_idx = F.map_from_entries(cells)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(by_idx[k], F.lit(0.0)))
+    slots = F.sequence(F.lit(0), F.lit(dim - 1))
+    return let(F.map_from_entries(cells), lambda m: F.transform(slots, lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))))
 
 
-def tfidf_vectors(chunks: DataFrame, dim: int = VECTOR_DIM, max_df: float = MAX_DF_RATIO) -> DataFrame:
-    """Chunks with a dense `embedding`; a chunk without vocabulary terms gets the zero vector."""
-    terms = chunk_terms(chunks)
-    weights = tfidf_weights(terms, vocab_topn(terms, chunks, dim, max_df))
+def tfidf_vectors(
+    chunks: DataFrame, dim: int = VECTOR_DIM, max_df: float = MAX_DF_RATIO, terms: DataFrame | None = None, vocab: DataFrame | None = None
+) -> DataFrame:
+    """Chunks with a dense `embedding`; a chunk without vocabulary terms gets the zero vector.
+
+    Terms and vocabulary already at hand can be passed in; otherwise the terms are staged, as both steps read them.
+    """
+    terms = stage_table(chunk_terms(chunks)) if terms is None else terms
+    vocab = vocab_topn(terms, chunks, dim, max_df) if vocab is None else vocab
+    weights = tfidf_weights(terms, vocab)
     cells = weights.groupBy("doc_id", "chunk_id").agg(F.collect_list(F.struct("idx", "weight")).alias("cells"))
     empty = F.array().cast("array<struct<idx:int,weight:double>>")
     return (

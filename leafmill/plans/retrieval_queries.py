@@ -63,7 +63,8 @@ ORACLES["vocab_topn"] = with_ctes([i.small_chunks_sql(), terms_sql(), vocab_sql(
 
 def _weights(s, d):
     chunks = i.small_chunks(s, d)
-    return lexical.tfidf_weights(lexical.chunk_terms(chunks), _vocab(chunks)).withColumn("weight", F.round("weight", 6))
+    terms = stage_table(lexical.chunk_terms(chunks))
+    return lexical.tfidf_weights(terms, lexical.vocab_topn(terms, chunks, DIM)).withColumn("weight", F.round("weight", 6))
 
 
 QUERIES["tfidf_weights"] = _weights
@@ -157,10 +158,10 @@ WHERE rank <= 5"""
 
 def _hybrid(s, d, query_vocab):
     chunks = i.small_chunks(s, d)
-    terms = lexical.chunk_terms(chunks)
-    vocab = lexical.vocab_topn(terms, chunks, DIM)
+    terms = stage_table(lexical.chunk_terms(chunks))
+    vocab = stage_table(lexical.vocab_topn(terms, chunks, DIM))
     asked = lexical.query_vectors(questions(s, d), vocab, DIM, query_vocab)
-    top = retrieval.hybrid_topk(asked, lexical.tfidf_vectors(chunks, DIM), 3)
+    top = retrieval.hybrid_topk(asked, lexical.tfidf_vectors(chunks, DIM, terms=terms, vocab=vocab), 3)
     return top.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("score", "embedding_score", "keyword_score")])
 
 

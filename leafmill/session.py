@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -23,6 +24,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # so few shuffle partitions need no merging; merged, heavy text work would run on one core
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -46,8 +49,19 @@ def stage_table(df: DataFrame) -> DataFrame:
     """
     path = os.path.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return deal_out(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def deal_out(df: DataFrame) -> DataFrame:
+    """Spread a table read in fewer splits than the cluster has cores.
+
+    Text work is heavy per row, so a small file must not leave it to one core; a large table has splits enough and is
+    never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return deal_out(df) if name in TEXT_TABLES else df
