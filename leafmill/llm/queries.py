@@ -9,6 +9,8 @@ import public_tokenizers
 from leafmill.llm.bpe import decode_bpe, encode_bpe
 from leafmill.llm.common import read_table
 from leafmill.llm.mixing import mix_sources
+from leafmill.llm.quality import fit_quality, quality_rules
+from leafmill.llm.substring_dedup import dedup_substrings
 from leafmill.llm.token_counts import count_tokens
 
 MAX_TOKENS = 4096
@@ -19,11 +21,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_rules(docs, model)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = encode_bpe(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -31,7 +45,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op7_token_counts": op7_token_counts, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 
 ORACLES = {
     "op1_mix_sources": r"""
