@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a shared folder that tasks write files to, named by URI or by an absolute path."""
+    return fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+
+
 def text_bytes(column: str | Column) -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 

@@ -12,6 +12,8 @@ from leafmill.llm.mixing import mix_sources
 from leafmill.llm.quality import fit_quality, quality_rules
 from leafmill.llm.substring_dedup import dedup_substrings
 from leafmill.llm.token_counts import count_tokens
+from leafmill.llm.warc import archive_pages, read_archives
+from leafmill.llm.wavelet import read_shards, write_shards
 
 MAX_TOKENS = 4096
 
@@ -26,6 +28,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "spans")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read_archives(archive_pages(read_table(spark, sf_dir, "pages")), with_data=False)
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_shards(shards, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -48,6 +60,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_warc": op5_warc,
+    "op6_token_shards": op6_token_shards,
     "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
