@@ -9,6 +9,7 @@ import public_tokenizers
 from leafmill.llm.bpe import decode_bpe, encode_bpe
 from leafmill.llm.common import read_table
 from leafmill.llm.mixing import mix_sources
+from leafmill.llm.near_dedup import near_duplicates
 from leafmill.llm.quality import fit_quality, quality_rules
 from leafmill.llm.substring_dedup import dedup_substrings
 from leafmill.llm.token_counts import count_tokens
@@ -43,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_shards": op6_token_shards,
     "op7_token_counts": op7_token_counts,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
