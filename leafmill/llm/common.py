@@ -44,6 +44,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of files to read, one to a partition: its rows are small, so left alone they would share one task."""
+    return files.repartition(max(1, min(files.count(), most)))
+
+
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a shared folder that tasks write files to, named by URI or by an absolute path."""
     return fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import new_folder, open_folder, pack_ints, pieces_of, unpack_ints
+from leafmill.llm.common import dealt_out, new_folder, open_folder, pack_ints, pieces_of, unpack_ints
 
 MAGIC = b"WVLT0001"
 SHARD_TOKENS = 4 << 20
@@ -147,39 +148,63 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.nd
     return WaveletMatrix(header["tokens"], np.frombuffer(parts[3], "<u4").astype(np.int64), planes, ranks, header["zeros"]), docs, known, lengths
 
 
-class WordCache:
-    """Encodes texts word by word and keeps the ids of words seen.
+#: letters that are their own composed form and have a lower case that depends on nothing around them
+PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
 
-    Only for tokenizers whose normaliser and pre-tokenizer never join text across white space, which is checked; then the
-    ids of a text are those of its words, one after the other.
+
+class WordCache(dict):
+    """Encodes texts word by word and keeps the ids of up to `LIMIT` words; the rest are encoded every time.
+
+    Only for tokenizers that drop white space and never join text across it, lower-case, and cut letters from other
+    characters; this is checked. Then the ids of a text are those of its words, one after the other; a plain word and
+    the full stop or comma behind it are encoded apart; and the model takes a plain word's bytes as they are. Any other
+    word takes the library's whole way.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            parts = json.load(f)
-        splits = [p for p in parts["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]]
-        sample = "Ab1, c'd  e\t\nf-g <|x|> É"
-        self._tokenizer = Tokenizer.from_file(path)
-        whole = self._tokenizer.encode(sample, add_special_tokens=False).ids
-        if not splits or whole != [i for w in sample.split() for i in self._tokenizer.encode(w, add_special_tokens=False).ids]:
-            raise ValueError(f"{path} doesn't drop white space")
-        self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._known: dict[bytes, bytes] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self._whole = Tokenizer.from_file(path)
+        self._model = self._whole.model
+        # the visible character that stands for each byte in a byte-level vocabulary, of a character's last or first byte
+        spelling = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = lambda code: spelling.pre_tokenize_str(chr(code))[0][0]
+        self._spelled = {i: shown(i)[-1] for i in range(0xC0)} | {0xC0 + i: shown(0x40 * i)[0] for i in range(2, 0x20)}
+        self.kind = np.dtype("<u2" if self._whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self._after = {c: self._pack(self._whole.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        sample = "Ab1, c'd  e\t\nf-g <|x|> \u00c9t\u00e9. \u01d5lt, w\u00fcrde zz, \u00d7 Q. \u0130 a\u0301. \u00ff\u0100"
+        if self._whole.encode(sample, add_special_tokens=False).ids != self.encode([sample])[0].tolist():
+            raise ValueError(f"{path} can't be used word by word")
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text[:-1] if text[-1] in ".," else text
+        if PLAIN.fullmatch(stem):
+            low = stem.lower().encode()
+            ids = self.get(low)
+            if ids is None:
+                spelled = low.decode() if low.isascii() else low.decode("latin-1").translate(self._spelled)
+                ids = self._keep(low, self._pack([t.id for t in self._model.tokenize(spelled)]))
+            if len(stem) < len(text):
+                ids += self._after[text[-1]]
+        else:
+            ids = self._pack(self._whole.encode(text, add_special_tokens=False).ids)
+        return self._keep(word, ids)
+
+    def _keep(self, word: bytes, ids: bytes) -> bytes:
+        if len(self) < self.LIMIT:
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self._known})
-        if len(self._known) + len(new) > self.LIMIT:
-            self._known.clear()
-            new = list({w for ws in words for w in ws})
-        for w, e in zip(new, self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self._known[w] = np.array(e.ids, self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(self._known.__getitem__, ws)), self.kind) for ws in words]
+        ids = self.__getitem__
+        return [np.frombuffer(b"".join(map(ids, (t or "").encode().split())), self.kind) for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -258,4 +283,4 @@ def read_shards(manifest: DataFrame, *, with_ids: bool = True) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(x) for x in runs], pa.int64()), "ids": pa.array(runs if with_ids else [None] * len(runs), pa.binary()),
                 })
 
-    return manifest.repartition(F.col("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return dealt_out(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
