@@ -10,6 +10,8 @@ from leafmill.llm.bpe import decode_bpe, encode_bpe
 from leafmill.llm.common import read_table
 from leafmill.llm.mixing import mix_sources
 from leafmill.llm.near_dedup import near_duplicates
+from leafmill.llm.page_diff import extract_pages
+from leafmill.llm.pivot_search import exact_top_k
 from leafmill.llm.quality import fit_quality, quality_rules
 from leafmill.llm.substring_dedup import dedup_substrings
 from leafmill.llm.token_counts import count_tokens
@@ -24,6 +26,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_substrings(read_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "spans")
@@ -64,6 +74,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op3_page_text": op3_page_text,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_warc": op5_warc,
     "op6_token_shards": op6_token_shards,
@@ -99,4 +111,13 @@ drawn AS (
 SELECT doc_id, size, source_size, target,
        ((whole + CASE WHEN before * 2 + size <= extra * 2 AND extra > 0 AND source_size > 0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM drawn""",
+    "op2_exact_top_k": r"""
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }
