@@ -17,28 +17,30 @@ SHINGLE = 5
 #: link at 100 * intersection >= PERCENT * union
 PERCENT = 75
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: sketches that differ in more bits can be passed over: five standard deviations below the linking similarity
+#: samples and bits of the coarse sketch, and of the sharp one that pairs of different components must pass
+COARSE, SHARP = (BANDS * ROWS, 512), (1024, 4096)
 STAR_ROUNDS = 3
+#: members of a bucket that are compared in one task at once, twice over
+BLOCK = 2000
 
-_A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
-_B = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.uint32)
+_A = mix(np.arange(1, SHARP[0] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
+_B = mix(np.arange(1, SHARP[0] + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.uint32)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_WORDS = [f"s{i}" for i in range(COARSE[1] // 64)]
 
 
-def expected_bits(similarity: float) -> float:
+def expected_bits(similarity: float, samples: int, bits: int) -> float:
     """Differing bits two odd sketches are expected to have: each of the 2k(1 - J) samples on one side flips a bit."""
-    return SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - similarity)))
+    return bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity)))
 
 
-def most_bits(similarity: float) -> int:
+def most_bits(similarity: float, samples: int, bits: int) -> int:
     """Bits in which the sketches of sets of at least this similarity differ at most, five standard deviations included."""
-    samples = 2 * math.sqrt(SAMPLES * similarity * (1 - similarity))
-    slope = (expected_bits(similarity - 0.01) - expected_bits(similarity)) / (2 * SAMPLES * 0.01)
-    folding = math.sqrt(expected_bits(similarity) * (1 - expected_bits(similarity) / SKETCH_BITS))
-    return math.ceil(expected_bits(similarity) + 5 * math.hypot(samples * slope, folding))
+    flips = 2 * samples * (1 - similarity)
+    here, fade = expected_bits(similarity, samples, bits), math.exp(-4 * flips / bits)
+    drawn = 2 * math.sqrt(samples * similarity * (1 - similarity) * fade)  # of the samples, as it shows in the bits
+    folded = math.sqrt(bits / 4 * (1 - fade) - flips * fade)  # of the places they flip
+    return math.ceil(here + 5 * math.hypot(drawn, folded))
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -61,12 +63,12 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
+def min_hashes(shingles: np.ndarray, samples: int) -> np.ndarray:
     """The smallest value of every hash function over a set, one function a sample."""
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    least = np.full(samples, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 2048):
-        np.minimum(least, (x[None, at : at + 2048] * _A[:, None] + _B[:, None]).min(axis=1), out=least)
+        np.minimum(least, (x[None, at : at + 2048] * _A[:samples, None] + _B[:samples, None]).min(axis=1), out=least)
     return least
 
 
@@ -79,12 +81,13 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """(documents, words) of 64 bits: every sample, with its number, flips one bit."""
-    numbers = np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32)
-    place = (mix(samples.astype(np.uint64) + numbers) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flat = place + SKETCH_BITS * np.arange(len(samples))[:, None]
-    odd = np.bincount(flat.ravel(), minlength=len(samples) * SKETCH_BITS) & 1
+def odd_sketches(samples: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """(documents, words) of 64 bits: each sample, with its number, flips one bit."""
+    count, bits = size
+    numbers = np.arange(1, count + 1, dtype=np.uint64) << np.uint64(32)
+    place = (mix(samples.astype(np.uint64) + numbers) % np.uint64(bits)).astype(np.int64)
+    flat = place + bits * np.arange(len(samples))[:, None]
+    odd = np.bincount(flat.ravel(), minlength=len(samples) * bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(samples), -1)
 
 
@@ -97,26 +100,25 @@ def differing_bits(a: str, b: str) -> Column:
 
 
 def _describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n, node (the key of the shingle set), bands, sketch words; bands and sketch are null for an empty set."""
+    """doc_id, n, node (the key of the shingle set), bands, and the words of the coarse sketch."""
     fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), *[(w, pa.int64()) for w in _WORDS]]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column("text"), shingle)
-                samples = np.stack([min_hashes(s) for s in sets])
-                empty = np.array([not len(s) for s in sets])
-                bands, words = band_keys(samples), odd_sketches(samples)
+                samples = np.stack([min_hashes(s, COARSE[0]) for s in sets])
+                bands, words = band_keys(samples), odd_sketches(samples, COARSE)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
                 columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary()), lists]
-                columns += [pa.array(words[:, k], mask=empty) for k in range(len(_WORDS))]
+                columns += [pa.array(words[:, k]) for k in range(len(_WORDS))]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return docs.mapInArrow(describe, "doc_id long, n long, node binary, bands array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
-    """(nid, n, shingles) of the documents that stand for a set; (nid, node, text) in."""
+    """(nid, shingles, sharp sketch) of the documents that stand for a set; (nid, node, text) in."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -131,9 +133,11 @@ def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
                         rows.append((nid, s.view(np.int64)))
                 if rows:
                     lists = pa.array([s for _, s in rows], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), lists], ["nid", "shingles"])
+                    sharp = odd_sketches(np.stack([min_hashes(s.view(np.uint64), SHARP[0]) for _, s in rows]), SHARP)
+                    columns = [pa.array([i for i, _ in rows]), lists, pa.array([w.tobytes() for w in sharp], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["nid", "shingles", "sharp"])
 
-    return wanted.mapInArrow(build, "nid long, shingles array<long>")
+    return wanted.mapInArrow(build, "nid long, shingles array<long>, sharp binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,6 +148,69 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y")
 
 
+def _pairs_across(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of members of a bucket in different components whose sharp sketches allow the similarity.
+
+    One of the two is outside the bucket's main component. A pair is given by the first band key the two share, so once
+    in all. Buckets are cut into blocks and each pair of blocks is compared in numpy by one task; nothing but the pairs
+    that pass leaves it. Rows in: key, nid, comp, main, n, sharp, bands, size (of the bucket).
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    by = ["key", "i", "j"]
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "size")
+    limit = most_bits(percent / 100, *SHARP)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if held is not None:
+                    batch = pa.concat_batches([held, batch])
+                keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield batch.slice(a, b - a)
+                held = batch.slice(cuts[-1])
+            if held is not None and held.num_rows:
+                yield held
+
+        for group in groups():
+            x, y = _compare(group, limit, percent)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+    return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "x long, y long")
+
+
+def _compare(group: pa.RecordBatch, limit: int, percent: int, words_at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    nid, comp, main, own, n = (group.column(c).to_numpy() for c in ("nid", "comp", "main", "own", "n"))
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    sharp = np.frombuffer(b"".join(group.column("sharp").to_pylist()), "<u8").reshape(len(nid), -1)
+    bands = group.column("bands").flatten().to_numpy().reshape(len(nid), -1)
+    rest = np.flatnonzero(comp != main)
+    found_x, found_y = [nid[:0]], [nid[:0]]
+    step = max(1, words_at_once // sharp.size)
+    for at in range(0, len(rest), step):
+        r = rest[at : at + step]
+        ok = comp[r][:, None] != comp[None, :]
+        ok &= (comp == main)[None, :] | (nid[r][:, None] < nid[None, :])
+        ok &= 100 * np.minimum(n[r][:, None], n[None, :]) >= percent * np.maximum(n[r][:, None], n[None, :])
+        if i != j:
+            ok &= own[r][:, None] != own[None, :]
+        a, b = np.nonzero(ok)
+        a = r[a]
+        for k in range(0, len(a), words_at_once // sharp.shape[1]):
+            p, q = a[k : k + words_at_once // sharp.shape[1]], b[k : k + words_at_once // sharp.shape[1]]
+            near = np.bitwise_count(sharp[p] ^ sharp[q]).sum(axis=1, dtype=np.int64) <= limit
+            p, q = p[near], q[near]
+            shared = bands[p] == bands[q]
+            first = bands[p, shared.argmax(axis=1)] == key
+            found_x.append(nid[p[first]])
+            found_y.append(nid[q[first]])
+    return np.concatenate(found_x), np.concatenate(found_y)
+
+
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(nid, comp) after the linked components are joined: each takes the smallest label it reaches.
 
@@ -176,15 +243,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Returns one row per input row: doc_id, n_shingles, node (16 bytes that name the set), component_id (smallest doc_id
     of the group), kept (doc_id = component_id).
 
-    1. Every text gets 128 MinHash samples, 32 band keys of four samples, and an odd sketch: 512 bits of which sample
-       (i, value) flips one, so that the XOR population count of two sketches estimates the similarity of sets that are
-       alike. Equal sets are one node from here on, so exact copies never meet as pairs.
+    1. Every text gets 128 MinHash samples, 32 band keys of four of them, and an odd sketch of 512 bits; those that share
+       a band key get a sharper one later, of 1024 samples in 4096 bits. Sample (i, value) flips one bit, so the XOR population count of two sketches estimates
+       the similarity of sets that are alike. Equal sets are one node from here on, so exact copies never meet as pairs.
     2. Nodes that share a band key are candidates. Three rounds link every node to the most similar of its buckets'
        leaders (by a seeded draw, another one each round); linked nodes count as one. Then every pair in a bucket that is
        still in different components is taken: the members outside the bucket's largest component against the others.
        So all candidate pairs are linked, in one component, or compared; a bucket of n members of one group costs n
        comparisons a round, not n * n. Candidates whose sketches differ too much (five standard deviations) are passed
-       over; all others are confirmed on their full sets.
+       over (coarse sketches in the rounds, sharp ones at the end); all others are confirmed on their full sets.
     3. Components are joined by spreading smallest labels with pointer jumping; every step is a table in the shared
        folder.
 
@@ -206,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     labels = stage(members.select("nid").distinct().withColumn("comp", F.col("nid")))
     wanted = rows.join(nodes.select("nid", "node", F.col("min_id").alias("doc_id")).join(labels, "nid"), "doc_id").select("nid", "node", "text")
     sets = stage(_full_sets(wanted, shingle))
-    limit = most_bits(percent / 100)
+    limit = most_bits(percent / 100, *COARSE)
     alike = (differing_bits("m", "o") <= limit) & (100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n"))
 
     for turn in range(STAR_ROUNDS):
@@ -219,15 +286,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = stage(_confirm(best.select("x", F.col("best.y").alias("y")), sets, percent))
         labels = connect(labels, links)
 
-    now = members.join(labels, "nid")
+    now = members.select("key", "nid").join(labels, "nid")
     sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    now = now.join(mixed.select("key", F.col("main.comp").alias("main")), "key")
-    rest = now.where("comp <> main")
-    across = (F.col("m.comp") != F.col("o.comp")) & ((F.col("o.comp") == F.col("o.main")) | (F.col("m.nid") < F.col("o.nid")))
-    pairs = rest.alias("m").join(now.alias("o"), "key").where(across & alike).select(F.col("m.nid").alias("x"), F.col("o.nid").alias("y"))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    labels = connect(labels, stage(_confirm(pairs, sets, percent)))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
+    now = now.join(mixed.select("key", F.col("main.comp").alias("main"), "size"), "key").join(nodes.select("nid", "n", "bands"), "nid").join(sets.select("nid", "sharp"), "nid")
+    links = _confirm(stage(_pairs_across(now, percent)), sets, percent)
+    labels = connect(labels, stage(links))
 
     placed = nodes.select("node", "nid", "min_id").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = placed.groupBy("comp").agg(F.min("min_id").alias("component_id"))
