@@ -54,6 +54,11 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
 
 
+def whole_row(columns: tuple[str, ...]) -> Column:
+    """Columns to be carried along, packed so that their names meet no other."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+
+
 def text_bytes(column: str | Column) -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import WORD, stage
+from leafmill.llm.common import WORD, stage, whole_row
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -88,7 +88,7 @@ def mix_sources(
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(
         *source_key(F.col(source)), F.substring(digest, 1, BUCKET_DIGITS).alias("bucket"), digest.alias("draw"),
-        F.col(key).alias("doc_id"), n_words(text).alias("size"), *([F.struct(*carry).alias("row")] if carry else []),
+        F.col(key).alias("doc_id"), n_words(text).alias("size"), *([whole_row(carry)] if carry else []),
     )
     by = ["s", "s_null"]
     buckets = stage(rows.groupBy(*by, "bucket").agg(F.sum("size").alias("bucket_size")))

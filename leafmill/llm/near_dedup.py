@@ -100,8 +100,8 @@ def differing_bits(a: str, b: str) -> Column:
 
 
 def _describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n, node (the key of the shingle set), bands, and the words of the coarse sketch."""
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), *[(w, pa.int64()) for w in _WORDS]]
+    """doc_id, text_hash, n, node (the key of the shingle set), bands, and the words of the coarse sketch."""
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), *[(w, pa.int64()) for w in _WORDS]]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +110,11 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
                 samples = np.stack([min_hashes(s, COARSE[0]) for s in sets])
                 bands, words = band_keys(samples), odd_sketches(samples, COARSE)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary()), lists]
+                columns = [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary()), lists]
                 columns += [pa.array(words[:, k]) for k in range(len(_WORDS))]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.mapInArrow(describe, "doc_id long, n long, node binary, bands array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
+    return docs.mapInArrow(describe, "doc_id long, text_hash long, n long, node binary, bands array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """Groups of documents linked, directly or through others, by 100 * intersection >= `percent` * union of their sets
     of `shingle`-word shingles (A-Z lower-cased).
 
-    Returns one row per input row: doc_id, n_shingles, node (16 bytes that name the set), component_id (smallest doc_id
+    Returns one row per input row: doc_id, text_hash (xxhash64 of the text), n_shingles, node (16 bytes that name the set), component_id (smallest doc_id
     of the group), kept (doc_id = component_id).
 
     1. Every text gets 128 MinHash samples, 32 band keys of four of them, and an odd sketch of 512 bits; those that share
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     repeated rows share a set and so a group; different texts under one key are judged by themselves; an empty table
     gives an empty result; other columns are ignored. The key must be an integer.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     described = stage(_describe(rows, shingle))
     part = described.where("n > 0 AND doc_id IS NOT NULL")
     nodes = part.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(w).alias(w) for w in _WORDS])
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     least = placed.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     groups = stage(placed.join(least, "comp").select("node", "component_id"))
     alone = (F.col("n") == 0) & F.col("doc_id").isNotNull()
-    out = described.select("doc_id", "n", "node").join(groups, "node", "left")
+    out = described.select("doc_id", "text_hash", "n", "node").join(groups, "node", "left")
     component = F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "node", component.alias("component_id"))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

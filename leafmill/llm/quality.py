@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import joined, mix, pieces_of, rolling, word_hashes, word_spans
+from leafmill.llm.common import joined, mix, pieces_of, rolling, whole_row, word_hashes, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -216,7 +216,7 @@ def quality_rules(docs: DataFrame, model: QualityModel | None, *, key: str = "do
     Edge cases: a null or empty text has no words and fails the base rules; null and repeated keys are ordinary rows; an
     empty table gives an empty result; other columns are ignored unless carried.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *([whole_row(carry)] if carry else []))
     types = dict(rows.dtypes)
     schema = f"doc_id {types['doc_id']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, p_good double, kept boolean"
     schema += f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""

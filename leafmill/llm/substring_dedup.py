@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import joined, pack_ints, pieces_of, power_of_two, rolling, run_starts, text_bytes, unpack_ints, word_hashes, word_spans
+from leafmill.llm.common import joined, pack_ints, pieces_of, power_of_two, rolling, run_starts, text_bytes, unpack_ints, whole_row, word_hashes, word_spans
 
 WINDOW = 13
 #: text bytes whose windows are sorted together before the shuffle
@@ -156,7 +156,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     other columns are ignored unless carried. The key must be an integer.
     """
     names = ["doc_id", "text", *(["row"] if carry else [])]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([whole_row(carry)] if carry else []))
     total = rows.agg(F.sum(text_bytes("text"))).first()[0] or 0
     buckets = power_of_two(total / GROUP_BYTES, 64)
     bits = buckets.bit_length() - 1
