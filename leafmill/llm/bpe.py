@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.chunks import CHUNK_CHARS, OVERLAP_CHARS, overlapping_chunks, own_part
-from leafmill.llm.common import pieces_of
+from leafmill.llm.common import lean, pieces_of
 
 #: before white space that follows other text: whatever stands before, a pre-token ends here, because in the pattern
 #: white space only ever begins a match or fills one, and the pattern never looks back
@@ -70,9 +70,9 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "do
         ids = b"".join(i for _, i in sorted(zip(group["k"].to_pylist(), group["ids"].to_pylist())))
         return pa.table({"row": group["row"][:1], "ids": pa.array([ids], pa.binary())})
 
-    encoded = rows.where(length <= chunk).mapInArrow(whole, f"doc_id {key_type}, n_tokens long, ids binary")
+    encoded = rows.where(length <= chunk).mapInArrow(lean(whole), f"doc_id {key_type}, n_tokens long, ids binary")
     huge = rows.where(length > chunk).withColumn("row", F.monotonically_increasing_id())
-    chunks = overlapping_chunks(huge, STABLE, chunk, overlap).mapInArrow(parts, "row long, k int, ids binary")
+    chunks = overlapping_chunks(huge, STABLE, chunk, overlap).mapInArrow(lean(parts), "row long, k int, ids binary")
     stitched = chunks.groupBy("row").applyInArrow(stitch, "row long, ids binary")
     spliced = huge.select("row", "doc_id").join(stitched, "row").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
     return encoded.unionByName(spliced)
@@ -90,4 +90,4 @@ def decode_bpe(encoded: DataFrame, ranks_path: str, pattern: str, *, ids: str =
                 texts = [None if i is None else encoding.decode_bytes(np.frombuffer(i, "<u4").tolist()) for i in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.select(*[f"`{f.name}`" for f in fields]).mapInArrow(decode, schema)
+    return encoded.select(*[f"`{f.name}`" for f in fields]).mapInArrow(lean(decode), schema)

@@ -9,6 +9,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import lean
+
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
 
@@ -49,7 +51,7 @@ def overlapping_chunks(huge: DataFrame, boundary: str, chunk: int = CHUNK_CHARS,
                         break
                     start, k = stop, k + 1
 
-    pieces = huge.select("row", "text").mapInArrow(cut, schema)
+    pieces = huge.select("row", "text").mapInArrow(lean(cut), schema)
     return pieces.repartition(F.col("row"), F.col("k"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,22 @@ def whole_row(columns: tuple[str, ...]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
 
 
+def lean(work):
+    """Wraps a function over Arrow batches so that its worker, which Spark keeps for later tasks, gives memory back at the end."""
+
+    @wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_bytes(column: str | Column) -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 

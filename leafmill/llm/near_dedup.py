@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import joined, mix, pieces_of, rolling, stage, word_hashes, word_spans
+from leafmill.llm.common import joined, lean, mix, pieces_of, rolling, stage, word_hashes, word_spans
 
 SHINGLE = 5
 #: link at 100 * intersection >= PERCENT * union
@@ -114,7 +114,7 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
                 columns += [pa.array(words[:, k]) for k in range(len(_WORDS))]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
-    return docs.mapInArrow(describe, "doc_id long, text_hash long, n long, node binary, bands array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
+    return docs.mapInArrow(lean(describe), "doc_id long, text_hash long, n long, node binary, bands array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
                     columns = [pa.array([i for i, _ in rows]), lists, pa.array([w.tobytes() for w in sharp], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["nid", "shingles", "sharp"])
 
-    return wanted.mapInArrow(build, "nid long, shingles array<long>, sharp binary")
+    return wanted.mapInArrow(lean(build), "nid long, shingles array<long>, sharp binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _pairs_across(members: DataFrame, percent: int) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
-    return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "x long, y long")
+    return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(compare), "x long, y long")
 
 
 def _compare(group: pa.RecordBatch, limit: int, percent: int, words_at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:

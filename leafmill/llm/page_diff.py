@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import lean
+
 #: fixed values: element names as HTML defines them
 RAW = "script style noscript template textarea iframe object svg math head title".split()
 BREAKS = (
@@ -184,8 +186,8 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", s
     host, with more of its path in common (the one before on a tie); the first and last page of a range look to one side
     only. Their lines are aligned by longest common subsequence and shared lines are deleted. What differencing cannot
     see is told from the markup: menus, adverts and the like that differ from page to page are asides by element, role or
-    class name, and lines of an article are never boilerplate. Pages that are exact copies share everything; outside an
-    article a copy by text is no neighbour, the next page on the other side is taken if it differs.
+    class name, and lines of an article are never boilerplate. Pages that are copies by text share everything and
+    are no neighbours; a copy looks at the neighbour of the page it follows, or at the other side.
 
     Edge cases: null and empty html give an empty text; a null url has host and path empty; a lone page of a host is not
     compared; null and repeated keys are ordinary rows; an empty table gives an empty result; other columns are ignored.
@@ -219,7 +221,9 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", s
                 after["texts"] = [t for t, _ in after["lines"]]
                 if page:
                     done(page, before, after)
-                before, page = page, after
+                if not (page and page["host"] == after["host"] and page["texts"] == after["texts"]):
+                    before = page
+                page = after
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_pylist(out, schema=kinds)
                     out.clear()
@@ -227,4 +231,4 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", s
             done(page, before, None)
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(extract, schema)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(extract), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import stage
+from leafmill.llm.common import lean, stage
 
 #: at most so many vectors, the first by a seeded hash of their ids, are pivots
 PIVOTS = 64
@@ -101,8 +101,8 @@ def _packed(rows: DataFrame, pivots: _Pivots, size: int, *, queries: bool) -> Da
             yield pa.RecordBatch.from_pylist([block(held)], schema=fields)
 
     order = ["pivot", "distance", "id"]
-    placed = rows.mapInArrow(place, "id long, v array<long>, pivot int, distance double")
-    blocks = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, "pivot int, low double, high double, ids binary, kind string, data binary")
+    placed = rows.mapInArrow(lean(place), "id long, v array<long>, pivot int, distance double")
+    blocks = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(pack), "pivot int, low double, high double, ids binary, kind string, data binary")
     return stage(blocks.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -160,7 +160,7 @@ def _search(pairs: DataFrame, pivots: _Pivots, k: int) -> DataFrame:
             yield best.rows()
 
     columns = ["chunk", "part", "gap", "pivot", "low", "high", "ids", "kind", "data", "q_ids", "q_kind", "q_data", "known"]
-    return pairs.select(*columns).repartition("chunk", "part").sortWithinPartitions("chunk", "part", "gap").mapInArrow(search, "query_id long, vec_id long, score long")
+    return pairs.select(*columns).repartition("chunk", "part").sortWithinPartitions("chunk", "part", "gap").mapInArrow(lean(search), "query_id long, vec_id long, score long")
 
 
 def _first_k(found: DataFrame, k: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _reached(asked: DataFrame, kth: DataFrame, pivots: _Pivots) -> DataFrame:
                     schema=pa.schema([("chunk", pa.int64()), ("known", pa.binary()), ("from", pa.list_(pa.float64())), ("to", pa.list_(pa.float64()))]),
                 )
 
-    places = asked.select("chunk", "q_ids").mapInArrow(unpack, "chunk long, place int, query_id long")
+    places = asked.select("chunk", "q_ids").mapInArrow(lean(unpack), "chunk long, place int, query_id long")
     # a chunk has at most CHUNK queries, so its list is bounded
     scores = places.join(kth, "query_id").groupBy("chunk").agg(F.collect_list(F.struct("place", "score")).alias("scores"))
-    return asked.join(scores, "chunk", "left").mapInArrow(bound, "chunk long, known binary, from array<double>, to array<double>")
+    return asked.join(scores, "chunk", "left").mapInArrow(lean(bound), "chunk long, known binary, from array<double>, to array<double>")

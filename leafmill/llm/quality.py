@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import joined, mix, pieces_of, rolling, whole_row, word_hashes, word_spans
+from leafmill.llm.common import joined, lean, mix, pieces_of, rolling, whole_row, word_hashes, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -237,4 +237,4 @@ def quality_rules(docs: DataFrame, model: QualityModel | None, *, key: str = "do
                 out |= {"row": part.column("row")} if carry else {}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(lean(score), schema)

@@ -10,13 +10,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import joined, pack_ints, pieces_of, power_of_two, rolling, run_starts, text_bytes, unpack_ints, whole_row, word_hashes, word_spans
+from leafmill.llm.common import joined, lean, mix, pack_ints, pieces_of, power_of_two, rolling, run_starts, text_bytes, unpack_ints, whole_row, word_hashes, word_spans
 
 WINDOW = 13
 #: text bytes whose windows are sorted together before the shuffle
-SHEET_BYTES = 8 << 20
+SHEET_BYTES = 4 << 20
 #: text bytes per hash bucket and per group of documents, on average
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: so many low bits of a window's hash name it inside one group of documents
 _REPLY = np.uint64((1 << 48) - 1)
 
@@ -34,15 +34,18 @@ def _windows(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[inside], rows[: len(hashes)][inside]
 
 
-def _sheet(texts: list[pa.Array], ids: np.ndarray, window: int, bits: int, group_of: np.ndarray) -> Iterator[dict]:
+def _group_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The group of documents that a document is in."""
+    return (mix(_unsigned(ids)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sheet(texts: list[pa.Array], ids: np.ndarray, window: int, bits: int) -> Iterator[dict]:
     """Rows of one sheet of documents: per hash bucket the distinct hashes, each with its smallest document, and what the
     sheet already decides, the windows of its larger documents."""
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[order] = np.cumsum(run_starts(ids[order])) - 1  # equal ids are one document
     distinct = ids[order][run_starts(ids[order])]
-    groups = np.empty(len(distinct), np.int64)
-    groups[place] = group_of
     hashes, docs, at = [], [], 0
     for t in texts:
         h, r = _windows(t, window)
@@ -56,12 +59,12 @@ def _sheet(texts: list[pa.Array], ids: np.ndarray, window: int, bits: int, group
     least = d[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else d
     later = (d > least) & (first | run_starts(d))
     if later.any():
-        yield from _replies(h[later], distinct[d[later]], groups[d[later]])
+        yield from _replies(h[later], distinct[d[later]], bits)
     h, d = h[first], d[first]
     for bucket, a, b in _slices(h >> np.uint64(64 - bits)):
         used, index = np.unique(d[a:b], return_inverse=True)
         narrow = index.astype("<u1" if len(used) <= 1 << 8 else "<u2" if len(used) <= 1 << 16 else "<u4")
-        yield {"bucket": bucket, "reply": False, "hashes": pack_ints(h[a:b]), "ids": pack_ints(_unsigned(distinct[used])), "which": narrow.tobytes(), "groups": groups[used].astype("<u4").tobytes()}
+        yield {"bucket": bucket, "reply": False, "hashes": pack_ints(h[a:b]), "ids": pack_ints(_unsigned(distinct[used])), "which": narrow.tobytes()}
 
 
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -76,20 +79,20 @@ def _unsigned(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _replies(h: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> Iterator[dict]:
+def _replies(h: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[dict]:
     """Rows that tell each group of documents which windows (low bits of the hash) of which documents go."""
-    low, ids = h & _REPLY, _unsigned(ids)
+    low, groups, ids = h & _REPLY, _group_of(ids, bits), _unsigned(ids)
     order = np.lexsort((low, ids, groups))
     low, ids, groups = low[order], ids[order], groups[order]
     for group, a, b in _slices(groups):
         cuts = np.flatnonzero(run_starts(ids[a:b]))
         counts = np.diff(np.append(cuts, b - a)).astype("<u4")
         six = low[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        yield {"bucket": group, "reply": True, "hashes": six.tobytes(), "ids": pack_ints(ids[a:b][cuts]), "which": counts.tobytes(), "groups": b""}
+        yield {"bucket": group, "reply": True, "hashes": six.tobytes(), "ids": pack_ints(ids[a:b][cuts]), "which": counts.tobytes()}
 
 
-_ROW = pa.schema([("bucket", pa.int64()), ("reply", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary()), ("which", pa.binary()), ("groups", pa.binary())])
-_ROW_SQL = "bucket long, reply boolean, hashes binary, ids binary, which binary, groups binary"
+_ROW = pa.schema([("bucket", pa.int64()), ("reply", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary()), ("which", pa.binary())])
+_ROW_SQL = "bucket long, reply boolean, hashes binary, ids binary, which binary"
 
 
 def _rows(rows: Iterator[dict], at_once: int = 256) -> Iterator[pa.RecordBatch]:
@@ -103,26 +106,25 @@ def _rows(rows: Iterator[dict], at_once: int = 256) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema=_ROW)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decide(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """One hash bucket: every document but the smallest of a hash gets a reply."""
-    hashes, ids, groups = [], [], []
+    hashes, ids = [], []
     for batch in batches:
         for r in batch.to_pylist():
             h, known = unpack_ints(r["hashes"]), unpack_ints(r["ids"])
             which = np.frombuffer(r["which"], f"<u{len(r['which']) // len(h)}")
             hashes.append(h)
             ids.append(known[which])
-            groups.append(np.frombuffer(r["groups"], "<u4")[which])
-    h, d, g = np.concatenate(hashes), np.concatenate(ids), np.concatenate(groups)
-    del hashes, ids, groups
+    h, d = np.concatenate(hashes), np.concatenate(ids)
+    del hashes, ids
     order = np.argsort(h, kind="stable")
-    h, d, g = h[order], d[order], g[order]
+    h, d = h[order], d[order]
     first = run_starts(h)
     runs = np.flatnonzero(first)
     least = np.minimum.reduceat(d, runs)[np.cumsum(first) - 1]
     later = d > least
     signed = (d[later] ^ np.uint64(1 << 63)).view(np.int64)
-    yield from _rows(_replies(h[later], signed, g[later].astype(np.int64)))
+    yield from _rows(_replies(h[later], signed, bits))
 
 
 def _cover(removed: np.ndarray, n_words: int, window: int) -> list[tuple[int, int]]:
@@ -141,13 +143,13 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     Returns one row per input row: doc_id, text (kept words joined by one space), n_words, n_removed, spans (maximal
     removed intervals of word numbers, end excluded), and, if columns are to be carried, a struct `row` of them.
 
-    1. Sheets of 8 MB of text hash all their windows (64 bits, Rabin-Karp over word hashes) and send each distinct hash
+    1. Sheets of 4 MB of text hash all their windows (64 bits, Rabin-Karp over word hashes) and send each distinct hash
        once, with the sheet's smallest document, to the bucket of its top bits. Equal windows inside a sheet are decided
        there, so a passage in a third of all documents sends one entry per sheet.
     2. A bucket compares the documents of equal hashes and tells the groups of the larger documents which windows go.
     3. Documents (compressed rows) meet the replies by group; windows become intervals and the kept text is built.
 
-    Buckets and groups hold about 8 MB of text's windows each; their number follows the input. Rows with one key are one
+    Buckets and groups hold about 4 MB of text's windows each; their number follows the input. Rows with one key are one
     document: they never remove each other's windows. Only 64-bit hashes are compared, so a window is removed wrongly
     with probability (number of windows) / 2**64.
 
@@ -160,22 +162,20 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     total = rows.agg(F.sum(text_bytes("text"))).first()[0] or 0
     buckets = power_of_two(total / GROUP_BYTES, 64)
     bits = buckets.bit_length() - 1
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
 
     def hash_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sheets() -> Iterator[dict]:
-            texts, ids, groups, held = [], [], [], 0
+            texts, ids, held = [], [], 0
             for batch in batches:
                 for part in pieces_of(batch, "text", 1 << 20):
                     texts.append(part.column("text"))
                     ids.append(part.column("doc_id").to_numpy())
-                    groups.append(part.column("bucket").to_numpy())
                     held += part.column("text").nbytes
                     if held >= SHEET_BYTES:
-                        yield from _sheet(texts, np.concatenate(ids), window, bits, np.concatenate(groups))
-                        texts, ids, groups, held = [], [], [], 0
+                        yield from _sheet(texts, np.concatenate(ids), window, bits)
+                        texts, ids, held = [], [], 0
             if texts:
-                yield from _sheet(texts, np.concatenate(ids), window, bits, np.concatenate(groups))
+                yield from _sheet(texts, np.concatenate(ids), window, bits)
 
         yield from _rows(sheets())
 
@@ -184,7 +184,10 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         for batch in batches:
             for part in pieces_of(batch, "text"):
                 packed = [None if t is None else pack.compress(t.encode()) for t in part.column("text").to_pylist()]
-                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(packed, pa.binary()))
+                ids = part.column("doc_id")
+                # rows without a key get no replies and may be anywhere
+                group = _group_of(np.where(ids.is_null(), np.arange(len(ids)), ids.fill_null(0)), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(group), ids, pa.array(packed, pa.binary()), *part.columns[2:]], ["bucket", *part.schema.names])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -218,8 +221,8 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         columns = {"doc_id": left["doc_id"]} | dict(zip(out, arrays))
         return pa.table(columns | ({"row": left["row"]} if carry else {}))
 
-    keyed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", group)
-    hashed = keyed.mapInArrow(hash_sheets, _ROW_SQL)
+    keyed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    hashed = keyed.mapInArrow(lean(hash_sheets), _ROW_SQL)
     # what a sheet has decided passes the buckets by: it is computed with them and split off behind
     mixed = hashed.withColumn("to", F.when(F.col("reply"), -1 - F.col("bucket")).otherwise(F.col("bucket")))
 
@@ -229,10 +232,10 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
             yield from (b.drop_columns(["to"]) for b in [first])
             yield from (b.drop_columns(["to"]) for b in batches)
         else:
-            yield from _decide(b for part in ([first], batches) for b in part)
+            yield from _decide((b for part in ([first], batches) for b in part), bits)
 
-    replies = mixed.groupBy("to").applyInArrow(decide, _ROW_SQL).select("bucket", "hashes", "ids", "which")
+    replies = mixed.groupBy("to").applyInArrow(lean(decide), _ROW_SQL).select("bucket", "hashes", "ids", "which")
     row_type = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
-    packed = rows.select(group, *names).mapInArrow(compress, f"bucket long, doc_id long, text binary{row_type}")
+    packed = rows.select(*names).mapInArrow(lean(compress), f"bucket long, doc_id long, text binary{row_type}")
     schema = f"doc_id long, text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>{row_type}"
     return packed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(apply, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.chunks import CHUNK_CHARS, OVERLAP_CHARS, overlapping_chunks, own_part
-from leafmill.llm.common import pieces_of, text_bytes
+from leafmill.llm.common import lean, pieces_of, text_bytes
 
 #: before a space that follows neither a space nor the escaped space: no piece of such a vocabulary crosses this place
 STABLE = "[^ ▁](?= )"
@@ -64,9 +64,9 @@ def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
 
     key_type = rows.schema["doc_id"].dataType.simpleString()
     small = rows.where(length <= chunk).withColumn("n_bytes", text_bytes("text"))
-    counted = small.mapInArrow(whole, f"doc_id {key_type}, n_bytes long, n_tokens long")
+    counted = small.mapInArrow(lean(whole), f"doc_id {key_type}, n_bytes long, n_tokens long")
     huge = rows.where(length > chunk).withColumn("row", F.monotonically_increasing_id())
-    sums = overlapping_chunks(huge, STABLE, chunk, overlap).mapInArrow(parts, "row long, n_tokens long").groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"))
+    sums = overlapping_chunks(huge, STABLE, chunk, overlap).mapInArrow(lean(parts), "row long, n_tokens long").groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"))
     spliced = huge.select("row", "doc_id", text_bytes("text").alias("n_bytes")).join(sums, "row").select("doc_id", "n_bytes", "n_tokens")
     return counted.unionByName(spliced)
 

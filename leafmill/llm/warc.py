@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dealt_out, new_folder, open_folder
+from leafmill.llm.common import dealt_out, lean, new_folder, open_folder
 
 CHUNK_BYTES = 1 << 20
 ARCHIVE_BYTES = 256 << 20
@@ -102,7 +102,7 @@ def write_archives(marked: DataFrame, folder: str, *, archive_bytes: int = ARCHI
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     manifest = f"{folder}/manifest"
-    marked.mapInArrow(write, "archive string, records long, bytes long").write.parquet(manifest)
+    marked.mapInArrow(lean(write), "archive string, records long, bytes long").write.parquet(manifest)
     return marked.sparkSession.read.schema("archive string, records long, bytes long").parquet(manifest)
 
 
@@ -230,7 +230,7 @@ def read_archives(manifest: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_d
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     names = manifest.select("archive", F.col("folder") if "folder" in manifest.columns else F.lit("file:///").alias("folder"))
-    return dealt_out(names).mapInArrow(read, schema)
+    return dealt_out(names).mapInArrow(lean(read), schema)
 
 
 def chunk_row(path: str, r: dict, with_data: bool) -> dict:

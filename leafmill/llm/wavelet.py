@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dealt_out, new_folder, open_folder, pack_ints, pieces_of, unpack_ints
+from leafmill.llm.common import dealt_out, lean, new_folder, open_folder, pack_ints, pieces_of, unpack_ints
 
 MAGIC = b"WVLT0001"
 SHARD_TOKENS = 4 << 20
@@ -258,7 +258,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             yield close()
 
     path = f"{folder}/manifest"
-    ordered.mapInArrow(write, types).write.parquet(path)
+    ordered.mapInArrow(lean(write), types).write.parquet(path)
     files = docs.sparkSession.read.schema(types).parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -283,4 +283,4 @@ def read_shards(manifest: DataFrame, *, with_ids: bool = True) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(x) for x in runs], pa.int64()), "ids": pa.array(runs if with_ids else [None] * len(runs), pa.binary()),
                 })
 
-    return dealt_out(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return dealt_out(manifest).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
