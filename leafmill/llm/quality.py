@@ -164,7 +164,7 @@ def _train(texts: list[str], labels: np.ndarray, held_out: float, epochs: int =
         grams, words = _char_slots(data).astype(np.int64), DIMENSIONS + (mix(word_hashes(data, starts, ends) ^ _WORD) % np.uint64(DIMENSIONS)).astype(np.int64)
         slots, n = np.unique(grams, return_counts=True)
         more, m = np.unique(words, return_counts=True)
-        rows.append((np.concatenate([slots, more]), np.concatenate([n / len(grams), m / len(words)])))
+        rows.append((np.concatenate([slots, more]).astype(np.int32), np.concatenate([n / len(grams), m / len(words)]).astype(np.float32)))
     held = np.zeros(len(rows), bool)
     held[len(rows) - int(len(rows) * held_out) :] = True
     if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
