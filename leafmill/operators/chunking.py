@@ -148,9 +148,13 @@ def chunk_pages(pages: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
 
 
 def chunk_overlap(
-    docs: DataFrame, size: int = PART_CHARS, overlap: int = PART_OVERLAP, max_parts: int = MAX_PARTS
+    docs: DataFrame, size: int = PART_CHARS, overlap: int = PART_OVERLAP, max_parts: int | None = None
 ) -> DataFrame:
-    """Overlapping character parts (doc_id, chunk_no, text) that back off to the right-most break near their end."""
+    """Overlapping character parts (doc_id, chunk_no, text) that back off to the right-most break near their end.
+
+    All of a document is cut unless `max_parts` (suggested: MAX_PARTS) is given; then the last part takes the rest, or a
+    marker where that is longer than a part.
+    """
     if size < PART_TAIL:
         raise ValueError(f"size must be at least {PART_TAIL}")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -174,10 +178,13 @@ def chunk_overlap(
         return F.when(acc["pos"] < 0, acc).otherwise(let(cut_at(acc["pos"]), lambda cut: advance(acc, cut)))
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int>>").alias("cuts"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(max_parts)), start, step)
+    # every part but the last moves on by this much at least
+    least_step = max(1, size - overlap - PART_BACKOFF)
+    steps = F.ceil(n / least_step).cast("int") + 1 if max_parts is None else F.lit(max_parts)
+    folded = F.aggregate(F.sequence(F.lit(1), steps), start, step)
     cut = F.substring(text, F.col("cut.s") + 1, F.col("cut.e") - F.col("cut.s"))
     rest = F.substring(text, F.col("pos") + 1, n)
-    is_last = (F.col("chunk_no") == max_parts - 1) & (F.col("pos") >= 0)
+    is_last = F.lit(False) if max_parts is None else (F.col("chunk_no") == max_parts - 1) & (F.col("pos") >= 0)
     tail = (
         F.when(~is_last | (F.length(rest) == 0) | (rest == cut), F.lit(""))
         .when(F.length(rest) > size, F.lit(PART_TRUNCATED))
@@ -203,13 +210,13 @@ def map_reduce_docs(
     threshold: int = LONG_TEXT_CHARS,
     size: int = PART_CHARS,
     overlap: int = PART_OVERLAP,
-    max_parts: int = MAX_PARTS,
+    max_parts: int | None = None,
 ) -> DataFrame:
     """User map and reduce functions over the parts of each document.
 
     A short document runs `map_fn` once. A long one is cut, each part is mapped on its own (a failing part is dropped),
-    and `reduce_fn` gets the surviving parts in order; a document fails only if all its parts fail. A document has at
-    most `max_parts` parts, so the regrouping is bounded.
+    and `reduce_fn` gets the surviving parts in order; a document fails only if all its parts fail. The parts of
+    one document, which is one cell, are regrouped together.
     """
     is_long = F.coalesce(F.length("text"), F.lit(0)) > threshold
     whole = docs.filter(~is_long).select(

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import trim_ws, words_of
 
 # Fixed values.
-MAX_SEGMENTS = 20
 MAX_WORDS = 100
 
 
-def page_diffs(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
-    """(doc_id, page, status, removed, added): sentence or line segments found on one side only, repeats kept."""
+def page_diffs(pages_a: DataFrame, pages_b: DataFrame, max_segments: int | None = None) -> DataFrame:
+    """(doc_id, page, status, removed, added): sentence or line segments found on one side only, repeats kept.
+
+    All of them, or the first `max_segments` (suggested: 20) of each side.
+    """
     side = lambda df, c: df.select("doc_id", "page", trim_ws(F.col("text")).alias(c))
     both = side(pages_a, "a").join(side(pages_b, "b"), ["doc_id", "page"], "full_outer").fillna("", ["a", "b"])
     segments = lambda c: F.filter(F.transform(F.split(c, r"[.\n]+"), trim_ws), lambda s: F.length(s) > 0)
     cut = both.withColumn("sa", segments(F.col("a"))).withColumn("sb", segments(F.col("b")))
     same = F.col("a") == F.col("b")
-    only = lambda x, y: F.slice(F.filter(x, lambda s: ~F.array_contains(F.col(y), s)), 1, MAX_SEGMENTS)
+    missing = lambda x, y: F.filter(x, lambda s: ~F.array_contains(F.col(y), s))
+    only = missing if max_segments is None else lambda x, y: F.slice(missing(x, y), 1, max_segments)
     empty = F.array().cast("array<string>")
     return cut.select(
         "doc_id",

@@ -22,7 +22,6 @@ SNIPPET_FALLBACK = 200
 IMPORTANCES = ("critical", "high", "medium")
 DIFFICULTIES = ("easy", "medium", "hard")
 QUESTION_TYPES = ("mcq", "true_false", "short")
-MAX_OPTIONS = 4
 QUESTION_COUNTS = {"quick": 5, "standard": 10, "deep": 15}
 DEFAULT_QUESTIONS = 10
 MIN_QUESTIONS, MAX_QUESTIONS = 3, 20
@@ -279,8 +278,12 @@ def check_questions(questions: DataFrame, docs: DataFrame) -> DataFrame:
     return q.withColumn("reason", reason).withColumn("type", kind).drop("_src", "_ans", "_hay")
 
 
-def validate_questions(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): `questions` has (doc_id, pos, id, type, question, options, answer, …)."""
+def validate_questions(questions: DataFrame, docs: DataFrame, max_options: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): `questions` has (doc_id, pos, id, type, question, options, answer, …).
+
+    Options are kept whole, or cut to the first `max_options` (suggested: 4), which may cut the right answer out.
+    """
+    options = F.col("options") if max_options is None else F.slice("options", 1, max_options)
     checked = check_questions(questions, docs)
     kept = number_rows(checked.filter(F.col("reason").isNull()), ["doc_id"], ["pos"], F.floor(F.col("pos") / 4096).cast("bigint"), "_n")
     tf = F.col("type") == "true_false"
@@ -290,7 +293,7 @@ def validate_questions(questions: DataFrame, docs: DataFrame) -> tuple[DataFrame
         nonempty(F.col("id"), F.concat(F.lit("q"), F.col("_n").cast("string"))).alias("id"),
         "type",
         "question",
-        F.when(F.col("type") == "mcq", F.slice("options", 1, MAX_OPTIONS)).alias("options"),
+        F.when(F.col("type") == "mcq", options).alias("options"),
         F.when(tf, F.initcap("answer")).otherwise(F.col("answer")).alias("answer"),
         F.coalesce("explanation", F.lit("")).alias("explanation"),
         "source_text",

@@ -72,9 +72,12 @@ def group_annotations(annotations: DataFrame, by: str = "page", items_per_part:
 
 
 def annotation_breakdown(annotations: DataFrame) -> DataFrame:
-    """(doc_id, type, count): per document and type, with totals per document and for the corpus as null keys."""
-    wanted = annotations.filter(F.col("type").isin(*ANNOTATION_TYPES))
-    return wanted.rollup("doc_id", "type").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("page").alias("pages"))
+    """(doc_id, type, count, pages): per document and type, with totals per document and for the corpus as null keys.
+
+    A page is a page of one document: two documents with a first page each have two.
+    """
+    wanted = annotations.filter(F.col("type").isin(*ANNOTATION_TYPES)).withColumns({"_doc": F.col("doc_id"), "_page": F.col("page")})
+    return wanted.rollup("doc_id", "type").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("_doc", "_page").alias("pages"))
 
 
 # ---- forms ----------------------------------------------------------------------------------------------------------
@@ -91,9 +94,12 @@ def form_counts(fields: DataFrame) -> DataFrame:
     return form_table(fields).groupBy("doc_id").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("value") != "").alias("filled"))
 
 
-def fill_form(fields: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(filled fields, unknown names): `values` is (doc_id, name, value). A check box is on for true, yes or 1 only."""
-    given = values.select("doc_id", "name", F.col("value").alias("_given"))
+def fill_form(fields: DataFrame, values: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(filled fields, unknown names): `values` is (doc_id, name, value). A check box is on for true, yes or 1 only.
+
+    Of several values for one field the last by the column `order` counts, without one the largest.
+    """
+    given = values.groupBy("doc_id", "name").agg(F.max_by("value", F.col(order or "value")).alias("_given"))
     joined = form_table(fields).join(given, ["doc_id", "name"], "left")
     ticked = F.when(F.col("_given").isin(*TRUE_VALUES), "true").otherwise("false")
     new = F.when(F.col("_given").isNull(), F.col("value")).when(F.col("type") == "checkbox", ticked).otherwise(F.col("_given"))

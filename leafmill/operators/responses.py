@@ -144,12 +144,14 @@ def merge_tasks(tasks: DataFrame) -> DataFrame:
     return numbered.withColumn("id", F.concat(F.lit("task-"), F.col("_n").cast("string"))).drop("_n")
 
 
-def merge_analyses(parts: DataFrame) -> DataFrame:
-    """One analysis per document: mean sentiment score, lists joined without repeats and cut to their caps.
+def merge_analyses(parts: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """One analysis per document: mean sentiment score, lists joined without repeats.
+
+    Lists are whole unless `caps` (suggested: LIST_CAPS) gives some of them a length.
 
     `parts` is (doc_id, part, sentiment_score, insights, strengths, weaknesses, recommendations, topics).
     """
-    lists = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(cap).alias("cap"), F.col(f).alias("xs")) for f, cap in LIST_CAPS.items()])
+    lists = F.array(*[F.struct(F.lit(f).alias("field"), F.lit((caps or {}).get(f)).cast("int").alias("cap"), F.col(f).alias("xs")) for f in LIST_CAPS])
     items = (
         parts.select("doc_id", "part", F.explode(lists).alias("l"))
         .select("doc_id", "part", F.col("l.field").alias("field"), F.col("l.cap").alias("cap"), F.posexplode("l.xs").alias("k", "item"))
@@ -157,7 +159,7 @@ def merge_analyses(parts: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("part", "k")).alias("seen"))
     )
     rank = F.row_number().over(Window.partitionBy("doc_id", "field").orderBy("seen"))
-    top = items.withColumn("r", rank).filter(F.col("r") <= F.lit(max(LIST_CAPS.values()))).filter(F.col("r") <= F.col("cap"))
+    top = items.withColumn("r", rank).filter(F.col("cap").isNull() | (F.col("r") <= F.col("cap")))
     none = F.array().cast("array<string>")
     merged = top.groupBy("doc_id").agg(
         *[
@@ -170,12 +172,14 @@ def merge_analyses(parts: DataFrame) -> DataFrame:
     return joined.select("doc_id", "parts", "sentiment_score", *[F.coalesce(f, none).alias(f) for f in LIST_CAPS])
 
 
-def summary_lines(responses: DataFrame, n: int = SUMMARY_LINES) -> DataFrame:
-    """(resp_id, line_no, line): first lines of a free-text summary without bullets and numbers."""
+def summary_lines(responses: DataFrame, n: int | None = None) -> DataFrame:
+    """(resp_id, line_no, line): lines of a free-text summary without bullets and numbers, all or the first `n`
+    (suggested: SUMMARY_LINES)."""
     stripped = F.transform(
         F.split(F.coalesce("content", F.lit("")), r"\r?\n"), lambda line: trim_ws(F.regexp_replace(line, f"^[-*•\\d.{WS[1:-1]}]+", ""))
     )
-    lines = F.slice(F.filter(stripped, lambda line: F.length(line) > 0), 1, n)
+    lines = F.filter(stripped, lambda line: F.length(line) > 0)
+    lines = lines if n is None else F.slice(lines, 1, n)
     return responses.select("resp_id", F.posexplode(lines).alias("k", "line")).select("resp_id", (F.col("k") + 1).alias("line_no"), "line")
 
 

@@ -133,16 +133,17 @@ def replace_text(docs: DataFrame, search: str, replacement: str, case_sensitive:
 
 
 def change_audit(before: DataFrame, after: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """One row per key: hashes, sizes, delta, whether anything changed, size reduction in per cent.
+    """One row per key: hashes, sizes, delta, whether anything changed, size reduction in per cent, and on which side.
 
-    Hashes and sizes are taken before the join, so no content is shuffled.
+    A key on one side only has null for the other side's columns and counts as changed. Hashes and sizes are taken before the join, so no content is shuffled.
     """
     digest = lambda df, p: df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias(f"{p}_hash"), F.octet_length(content).alias(f"{p}_size"))
     reduction = (F.col("input_size") - F.col("output_size")) / F.col("input_size") * 100
-    return digest(before, "input").join(digest(after, "output"), key).select(
+    return digest(before, "input").join(digest(after, "output"), key, "full_outer").select(
         "*",
+        F.when(F.col("output_hash").isNull(), "before only").when(F.col("input_hash").isNull(), "after only").otherwise("both").alias("status"),
         (F.col("output_size") - F.col("input_size")).alias("size_delta"),
-        (F.col("input_hash") != F.col("output_hash")).alias("changed"),
+        (~F.col("input_hash").eqNullSafe(F.col("output_hash"))).alias("changed"),
         F.round(reduction, 1).alias("reduction_pct"),
     )
 

@@ -111,14 +111,19 @@ FROM (SELECT doc_id, lang, CASE lang WHEN 'es' THEN ' ' || chr(10) || ' ' ELSE t
 def _audit(s, d):
     docs = i.documents(s, d)
     after = docs.select("doc_id", F.when(F.col("lang") == "de", F.col("text")).otherwise(F.replace("text", F.lit("e"), F.lit(""))).alias("content"))
-    return search.change_audit(docs.select("doc_id", F.col("text").alias("content")), after)
+    before = docs.select("doc_id", F.col("text").alias("content"))
+    # besides the whole corpus, keys that stand on one side only
+    extra = lambda lang, base: docs.where(F.col("lang") == lang).select((base - F.col("doc_id")).alias("doc_id"), F.col("text").alias("content"))
+    return search.change_audit(before.unionByName(extra("fr", -1_000_000)), after.unionByName(extra("es", -1)))
 
 
 QUERIES["change_audit"] = _audit
 _AUDIT_SQL = """audit AS (
   SELECT doc_id, sha256(a) AS input_hash, strlen(a)::INTEGER AS input_size, sha256(b) AS output_hash, strlen(b)::INTEGER AS output_size,
-    (strlen(b) - strlen(a))::INTEGER AS size_delta, a <> b AS changed, round((strlen(a) - strlen(b)) / strlen(a) * 100, 1) AS reduction_pct
-  FROM (SELECT doc_id, text AS a, CASE lang WHEN 'de' THEN text ELSE replace(text, 'e', '') END AS b FROM documents))"""
+    (strlen(b) - strlen(a))::INTEGER AS size_delta, a IS DISTINCT FROM b AS changed,
+    CASE WHEN b IS NULL THEN 'before only' WHEN a IS NULL THEN 'after only' ELSE 'both' END AS status, round((strlen(a) - strlen(b)) / strlen(a) * 100, 1) AS reduction_pct
+  FROM (SELECT doc_id, text AS a, CASE lang WHEN 'de' THEN text ELSE replace(text, 'e', '') END AS b FROM documents
+    UNION ALL SELECT -1000000 - doc_id, text, NULL FROM documents WHERE lang = 'fr' UNION ALL SELECT -1 - doc_id, NULL, text FROM documents WHERE lang = 'es'))"""
 ORACLES["change_audit"] = with_ctes(_AUDIT_SQL, "SELECT * FROM audit")
 QUERIES["audit_totals"] = lambda s, d: search.audit_totals(_audit(s, d))
 ORACLES["audit_totals"] = with_ctes(
@@ -181,8 +186,8 @@ ORACLES["page_diffs"] = with_ctes(
   FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.page = b.page),
 cut AS (SELECT *, {_segments_sql('ta')} AS sa, {_segments_sql('tb')} AS sb FROM both_sides)
 SELECT doc_id, page, CASE WHEN ta = tb THEN 'identical' ELSE 'changed' END AS status,
-  CASE WHEN ta = tb THEN '' ELSE array_to_string(list_filter(sa, lambda x: NOT list_contains(sb, x))[1:20], '|') END AS removed,
-  CASE WHEN ta = tb THEN '' ELSE array_to_string(list_filter(sb, lambda x: NOT list_contains(sa, x))[1:20], '|') END AS added FROM cut""",
+  CASE WHEN ta = tb THEN '' ELSE array_to_string(list_filter(sa, lambda x: NOT list_contains(sb, x)), '|') END AS removed,
+  CASE WHEN ta = tb THEN '' ELSE array_to_string(list_filter(sb, lambda x: NOT list_contains(sa, x)), '|') END AS added FROM cut""",
 )
 
 

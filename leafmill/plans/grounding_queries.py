@@ -181,7 +181,7 @@ items AS (
       SELECT source, doc_id, 'insights' AS field, 8 AS cap, ws[1:2] AS xs FROM src UNION ALL SELECT source, doc_id, 'strengths', 6, ws[2:3] FROM src
       UNION ALL SELECT source, doc_id, 'weaknesses', 6, ws[3:4] FROM src UNION ALL SELECT source, doc_id, 'recommendations', 6, ws[4:4] FROM src
       UNION ALL SELECT source, doc_id, 'topics', 6, [lang] FROM src)) GROUP BY source, field, cap, item),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY seen) AS r FROM items) WHERE r <= cap),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY seen) AS r FROM items)),
 scores AS (SELECT source, count(*) AS parts, round(avg((length(text) % 100)::DOUBLE), 6) AS sentiment_score FROM src GROUP BY source)""",
     "SELECT s.source AS doc_id, any_value(s.parts) AS parts, any_value(s.sentiment_score) AS sentiment_score, "
     + ", ".join(f"coalesce(string_agg(item, '|' ORDER BY r) FILTER (WHERE field = '{f}'), '') AS {f}" for f in responses.LIST_CAPS)
@@ -286,7 +286,7 @@ ORACLES["summary_lines"] = with_ctes(
   SELECT doc_id, CASE lang WHEN 'de' THEN '{{"tasks": [ {{"action": "open"' || chr(10) || substring(text, 1, 50)
     WHEN 'en' THEN 'Here:' || chr(10) || '```json' || chr(10) || 'note {{"tasks":[{{"id":"T9","title":"' || w || '","owner":"","deadline":"Unspecified","priority":"urgent"}},{{"action":"' || w || ' x","owner":"Ann","deadline":"' || source || '","priority":"asap","category":"legal"}},{{}}]}} end' || chr(10) || '```'
     ELSE '1. ' || replace(text, chr(10), chr(10) || '- ') || chr(10) || '12) • short' || chr(10) || '2) -  ' || chr(10) || '  3. indented line' END AS c FROM tw),
-cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(c, '\\r?\\n'), lambda x: {trim_sql(f"regexp_replace(x, {q('^[-*•' + chr(92) + 'd.' + WS[1:-1] + ']+')}, '')")}), lambda x: x <> '')[1:5] AS ls FROM content)
+cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(c, '\\r?\\n'), lambda x: {trim_sql(f"regexp_replace(x, {q('^[-*•' + chr(92) + 'd.' + WS[1:-1] + ']+')}, '')")}), lambda x: x <> '') AS ls FROM content)
 SELECT doc_id AS resp_id, generate_subscripts(ls, 1)::INTEGER AS line_no, unnest(ls) AS line FROM cut""".replace("{{", "{").replace("}}", "}"),
 )
 
@@ -440,7 +440,7 @@ QUERIES["validate_questions"] = lambda s, d: _validated(s, d)[0].withColumn("opt
 ORACLES["validate_questions"] = with_ctes(
     CHECKED_SQL,
     """SELECT doc_id, pos, coalesce(id, 'q' || row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS id, type, question,
-  array_to_string(options[1:4], '|') AS options, CASE type WHEN 'true_false' THEN 'False' ELSE answer END AS answer, '' AS explanation, source_text, difficulty, topic
+  array_to_string(options, '|') AS options, CASE type WHEN 'true_false' THEN 'False' ELSE answer END AS answer, '' AS explanation, source_text, difficulty, topic
 FROM checked WHERE reason IS NULL""",
 )
 QUERIES["dropped_questions"] = lambda s, d: _validated(s, d)[1]

@@ -167,10 +167,11 @@ ORACLES["chunk_book_pages"] = with_ctes(
     "SELECT doc_id, chunk_id, text, array_to_string(pages, ',') AS pages FROM chunks",
 )
 
-QUERIES["chunk_overlap"] = lambda s, d: chunking.chunk_overlap(i.documents(s, d), 2000, 100, 5)
+QUERIES["chunk_overlap"] = lambda s, d: chunking.chunk_overlap(i.documents(s, d), 2000, 100)
+QUERIES["chunk_overlap_limited"] = lambda s, d: chunking.chunk_overlap(i.documents(s, d), 2000, 100, 5)
 
 
-def parts_sql(size: int, overlap: int, max_parts: int, name: str = "parts") -> str:
+def parts_sql(size: int, overlap: int, max_parts: int = 1_000_000, name: str = "parts") -> str:
     tail = f"substring(text, least(pos + {size}, length(text)) - 1999, 2000)"
 
     def last(mark: str, n: int) -> str:
@@ -197,7 +198,8 @@ def parts_sql(size: int, overlap: int, max_parts: int, name: str = "parts") -> s
   FROM {name}_raw)"""
 
 
-ORACLES["chunk_overlap"] = with_ctes(parts_sql(2000, 100, 5), "SELECT doc_id, chunk_no, text FROM parts")
+ORACLES["chunk_overlap"] = with_ctes(parts_sql(2000, 100), "SELECT doc_id, chunk_no, text FROM parts")
+ORACLES["chunk_overlap_limited"] = with_ctes(parts_sql(2000, 100, 5), "SELECT doc_id, chunk_no, text FROM parts")
 
 
 def _head(text: str, no: int) -> str:
@@ -208,14 +210,14 @@ def _head(text: str, no: int) -> str:
 
 def _map_reduce(s, d):
     out = chunking.map_reduce_docs(
-        i.documents(s, d), _head, lambda parts: "|".join(parts), threshold=2500, size=2000, overlap=100, max_parts=5
+        i.documents(s, d), _head, lambda parts: "|".join(parts), threshold=2500, size=2000, overlap=100
     )
     return out.select("doc_id", "content", "chunked", "chunk_count", F.array_join("parts", "~").alias("parts"), "error")
 
 
 QUERIES["map_reduce_docs"] = _map_reduce
 ORACLES["map_reduce_docs"] = with_ctes(
-    parts_sql(2000, 100, 5),
+    parts_sql(2000, 100),
     """, todo AS (
   SELECT d.doc_id, 0 AS chunk_no, d.text, false AS chunked FROM documents d WHERE length(d.text) <= 2500
   UNION ALL SELECT p.doc_id, p.chunk_no, p.text, true FROM parts p JOIN documents d USING (doc_id) WHERE length(d.text) > 2500),

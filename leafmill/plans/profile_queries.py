@@ -68,7 +68,7 @@ for _by, _label in _LABELS.items():
 
 QUERIES["annotation_breakdown"] = lambda s, d: profiling.annotation_breakdown(annotations(s, d))
 ORACLES["annotation_breakdown"] = with_ctes(
-    ANNOTATIONS_SQL, "SELECT doc_id, type, count(*) AS count, count(DISTINCT page) AS pages FROM ann GROUP BY ROLLUP (doc_id, type)"
+    ANNOTATIONS_SQL, "SELECT doc_id, type, count(*) AS count, count(DISTINCT dp) AS pages FROM (SELECT *, doc_id || '/' || page AS dp FROM ann) GROUP BY ROLLUP (doc_id, type)"
 )
 
 
