@@ -221,7 +221,8 @@ def cited_docs(s, d) -> DataFrame:
     numbered = c("[1] ", e1, "\n[2] ", e2, "\n[3] ", e3, "\n(4) ", e4, "\n[5] Short one.")
     plain = c("\n", e1, "\n\n", e2, "\n", e3, "\n", e4, "\nno year in this closing entry at all.")
     text = (
-        F.when(n % 3 == 0, c(body, "\n  REFERENCES \n", numbered))
+        F.when(n % 6 == 3, c(body, "    References     ", numbered))
+        .when(n % 3 == 0, c(body, "\n  REFERENCES \n", numbered))
         .when(n % 3 == 1, c(body, "\n", numbered))
         .otherwise(c(body, F.when(n % 2 == 0, "\nWorks  cited\n").otherwise("\n"), plain))
     )
@@ -234,7 +235,7 @@ _E3 = "'Who, X. \"Quoted ' || w || ' title\" ' || l || '. https://ex.org/' || do
 _E4 = "'Doe, A., Roe, B., Poe, C., Moe, D. Nature letters 12(3), 45-67. ' || y || '.'"
 _NL = "chr(10)"
 CITED_SQL = f"""cited AS (
-  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN body || {_NL} || '  REFERENCES ' || {_NL} || numbered WHEN 1 THEN body || {_NL} || numbered
+  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 1 THEN body || '    References     ' || numbered ELSE body || {_NL} || '  REFERENCES ' || {_NL} || numbered END WHEN 1 THEN body || {_NL} || numbered
     ELSE body || CASE WHEN doc_id % 2 = 0 THEN {_NL} || 'Works  cited' || {_NL} ELSE {_NL} END || plain END AS text
   FROM (SELECT doc_id,
     replace(text, '.' || {_NL}, '. As shown (Enson et al., 1999) and (Miller & Roe, 2004, p. 7).' || {_NL}) || {_NL} || 'see (' || nm || ', ' || y || ').' AS body,
@@ -244,16 +245,16 @@ CITED_SQL = f"""cited AS (
       regexp_replace(substring(text, 1, 40), '[^A-Za-z ]', '', 'g') AS w, upper(lang[1]) || lang[2:] || 'son' AS nm FROM documents)))"""
 
 SECTION_SQL = f"""{CITED_SQL},
-cited_lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INTEGER AS line_no FROM (SELECT doc_id, string_split(text, {_NL}) AS ls FROM cited)),
+cited_lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INTEGER AS line_no FROM (SELECT doc_id, string_split_regex(text, '\\n|\\s{{3,}}') AS ls FROM cited)),
 starts AS (
   SELECT doc_id, coalesce(min(line_no) FILTER (WHERE regexp_matches({trim_sql('line')},
       '(?i)^(references?|bibliography|works?\\s+cited|sources?|literature\\s+cited|citations?|notes?\\s+and\\s+references?)\\s*$')) + 1,
-    min(line_no) FILTER (WHERE regexp_matches(line, '^\\s*[\\[\\(]?1[\\]\\)]?\\.?\\s+[A-Z]')), 1) AS start FROM cited_lines GROUP BY doc_id),
-section AS (SELECT l.* FROM cited_lines l JOIN starts s USING (doc_id) WHERE l.line_no >= s.start)"""
+    min(line_no) FILTER (WHERE regexp_matches(line, '^\\s*[\\[\\(]?1[\\]\\)]?\\.?\\s+[A-Z]'))) AS start FROM cited_lines GROUP BY doc_id),
+section AS (SELECT l.* FROM cited_lines l JOIN starts s USING (doc_id) WHERE l.line_no >= coalesce(s.start, 1))"""
 
 
 def cited_lines(s, d) -> DataFrame:
-    return cited_docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("doc_id", (F.col("k") + 1).alias("line_no"), "line")
+    return cited_docs(s, d).select("doc_id", F.posexplode(F.split("text", citations.LINE_CUT)).alias("k", "line")).select("doc_id", (F.col("k") + 1).alias("line_no"), "line")
 
 
 QUERIES["reference_section"] = lambda s, d: citations.reference_section(cited_lines(s, d))
@@ -261,7 +262,8 @@ ORACLES["reference_section"] = with_ctes(SECTION_SQL, "SELECT doc_id, line_no, l
 
 _YEAR = "\\b(1[89]\\d{2}|20[0-2]\\d)\\b"
 ENTRIES_SQL = f"""{SECTION_SQL},
-sect AS (SELECT doc_id, string_agg(line, {_NL} ORDER BY line_no) AS text FROM section GROUP BY doc_id),
+cut AS (SELECT doc_id, string_agg(line, {_NL} ORDER BY line_no) AS text FROM section GROUP BY doc_id),
+sect AS (SELECT doc_id, CASE WHEN start IS NULL THEN d.text ELSE c.text END AS text FROM cut c JOIN starts USING (doc_id) JOIN cited d USING (doc_id)),
 cuts AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)(?:^|\\n)\\s*[\\[\\(]?\\d+[\\]\\)]?\\.?\\s+([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda e: {trim_sql('e')}), lambda e: length(e) > 20) AS numbered,
     list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\n{{2,}}', chr(1), 'g'), '\\n([A-Z][a-z]+,?\\s+[A-Z])', chr(1) || '\\1', 'g'), chr(1)),
@@ -282,7 +284,7 @@ _AUTH = "([A-Z][a-zA-Z''\\-]+),\\s+([A-Z][a-zA-Z]*\\.?(?:\\s+[A-Z]\\.?)*)"
 PARSED_SQL = f"""{ENTRIES_SQL},
 base AS (
   SELECT *, regexp_extract(raw, {q(_YEAR)}, 1) AS year, regexp_extract(raw, '\\b(10\\.\\d{{4,}}/[^\\s,;]+)', 1) AS doi,
-    regexp_extract_all(raw, '{_AUTH}', 1)[1:6] AS lasts, regexp_extract_all(raw, '{_AUTH}', 2)[1:6] AS firsts,
+    regexp_extract_all(raw, '{_AUTH}', 1) AS lasts, regexp_extract_all(raw, '{_AUTH}', 2) AS firsts,
     CASE WHEN regexp_matches(raw, '(?i)pp?\\.\\s*([\\d–\\-]+)') THEN regexp_extract(raw, '(?i)pp?\\.\\s*([\\d–\\-]+)', 1)
       ELSE regexp_extract(raw, '(\\d+)\\s*[\\(\\[]\\s*(\\d+)\\s*[\\)\\]]\\s*,?\\s*(?:pp?\\.\\s*)?([\\d–\\-]+)', 3) END AS pages,
     regexp_extract(raw, '(?i)vol(?:ume)?\\.?\\s*(\\d+)', 1) AS volume, regexp_extract(raw, '(?i)(?:no|issue|iss)\\.?\\s*(\\d+)', 1) AS issue,
@@ -290,7 +292,7 @@ base AS (
 titled AS (
   SELECT *, CASE WHEN doi = '' THEN regexp_extract(raw, 'https?://[^\\s,;>)]+') ELSE '' END AS url,
     CASE WHEN regexp_matches(raw, '["“](.+?)["”]') THEN regexp_extract(raw, '["“](.+?)["”]', 1)
-      WHEN strpos(after_year, '. ') > 1 THEN substring(after_year, 1, strpos(after_year, '. ') - 1) ELSE substring(after_year, 1, 120) END AS title,
+      WHEN strpos(after_year, '. ') > 1 THEN substring(after_year, 1, strpos(after_year, '. ') - 1) ELSE after_year END AS title,
     CASE WHEN volume <> '' OR pages <> '' THEN 'journal' WHEN regexp_matches(raw, '(?i)(press|publish|edition|ed\\.)') THEN 'book'
       WHEN regexp_matches(raw, 'https?://') THEN 'website' ELSE 'unknown' END AS type FROM base),
 parsed AS (

@@ -72,33 +72,35 @@ QUERIES["html_blocks"] = lambda s, d: structure.html_blocks(html_pages(s, d))
 
 
 def _html_blocks_sql() -> str:
-    t = "html"
+    """Pieces between and at headings as rows, their lines as rows, then blank runs and ends by windows."""
+    heading = "(?i)<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>"
+    t = "piece"
     for pattern, into in (
-        ("<script[^>]*>[\\s\\S]*?</script>", "''"), ("<style[^>]*>[\\s\\S]*?</style>", "''"),
-        ("<h1[^>]*>(.*?)</h1>", "chr(10) || '##H1##\\1##/H1##' || chr(10)"),
-        ("<h2[^>]*>(.*?)</h2>", "chr(10) || '##H2##\\1##/H2##' || chr(10)"),
-        ("<h3[^>]*>(.*?)</h3>", "chr(10) || '##H3##\\1##/H3##' || chr(10)"),
-        ("<br\\s*/?>", "chr(10)"), ("</p>", "chr(10) || chr(10)"), ("<p[^>]*>", "''"),
-        ("<li[^>]*>", "'• '"), ("</li>", "chr(10)"),
+        ("</p>", "chr(10) || chr(10)"), ("<br\\s*/?>|</li>", "chr(10)"), ("<li[^>]*>", "'• '"),
         ("<(strong|b)[^>]*>(.*?)</(strong|b)>", "'**\\2**'"), ("<(em|i)[^>]*>(.*?)</(em|i)>", "'_\\2_'"), ("<[^>]*>", "''"),
     ):
         t = f"regexp_replace({t}, '(?i){pattern}', {into}, 'g')"
-    for name, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+    for name, char in structure.BLOCK_ENTITIES:
         t = f"replace({t}, {q(name)}, {q(char)})"
-    t = trim_sql(f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
     return with_ctes(
         HTML_PAGES_SQL,
-        f""", lines AS (
-  SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INTEGER AS line_no
-  FROM (SELECT page_id, string_split({t}, chr(10)) AS ls FROM html_pages))
-SELECT page_id, line_no,
-  CASE WHEN contains(line, '##H1##') THEN 'h1' WHEN contains(line, '##H2##') THEN 'h2' WHEN contains(line, '##H3##') THEN 'h3'
-    WHEN {trim_sql('line')} = '' THEN 'blank' ELSE 'text' END AS block_type,
-  CASE WHEN contains(line, '##H1##') THEN {trim_sql("regexp_replace(line, '##H1##|##/H1##', '', 'g')")}
-    WHEN contains(line, '##H2##') THEN {trim_sql("regexp_replace(line, '##H2##|##/H2##', '', 'g')")}
-    WHEN contains(line, '##H3##') THEN {trim_sql("regexp_replace(line, '##H3##|##/H3##', '', 'g')")}
-    ELSE {trim_sql('line')} END AS text
-FROM lines""",
+        f""", bare AS (SELECT page_id, regexp_replace(html, '(?i)<script[^>]*>[\\s\\S]*?</script>|<style[^>]*>[\\s\\S]*?</style>', '', 'g') AS body FROM html_pages),
+pieces AS (
+  SELECT page_id, 2 * generate_subscripts(fs, 1) AS place, 'text' AS kind, unnest(fs) AS piece FROM (SELECT page_id, string_split_regex(body, '{heading}') AS fs FROM bare)
+  UNION ALL
+  SELECT page_id, place, lower(piece[2:3]) AS kind, piece FROM (
+    SELECT page_id, 2 * generate_subscripts(hs, 1) + 1 AS place, unnest(hs) AS piece FROM (SELECT page_id, regexp_extract_all(body, '{heading}') AS hs FROM bare))),
+lines AS (
+  SELECT page_id, place, k, line, CASE WHEN k = 1 THEN kind ELSE 'text' END AS kind FROM (
+    SELECT page_id, place, kind, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT page_id, place, kind, string_split({t}, chr(10)) AS ls FROM pieces))),
+single AS (
+  SELECT *, kind <> 'text' OR {trim_sql('line')} <> '' AS inked FROM lines
+  QUALIFY NOT (kind = 'text' AND line = '' AND coalesce(lag(kind = 'text' AND line = '') OVER (PARTITION BY page_id ORDER BY place, k), false))),
+ends AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place, k) AS n, bool_or(inked) OVER (PARTITION BY page_id) AS any_ink,
+    bool_or(inked) OVER (PARTITION BY page_id ORDER BY place, k) AS begun, bool_or(inked) OVER (PARTITION BY page_id ORDER BY place DESC, k DESC) AS to_come FROM single)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n))::INTEGER AS line_no, CASE WHEN inked THEN kind ELSE 'blank' END AS block_type, {trim_sql('line')} AS text
+FROM ends WHERE (begun AND to_come) OR (NOT any_ink AND n = 1)""",
     )
 
 
