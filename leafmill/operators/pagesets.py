@@ -152,17 +152,22 @@ def drop_blank_pages(pages: DataFrame, objects: str = "n_objects") -> DataFrame:
     return renumber(kept)
 
 
-def content_cache(inputs: DataFrame, cache: DataFrame, max_bytes: int = MAX_INPUT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): `inputs` is (id, content), `cache` is (hash, result, size).
+def content_cache(inputs: DataFrame, cache: DataFrame, max_bytes: int | None = MAX_INPUT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, misses, rejects): `inputs` is (id, content), `cache` is (hash, result, size).
 
-    Every distinct content is a miss at most once; an empty cached result counts as absent.
+    Every distinct content is a miss at most once; an empty cached result counts as absent, and of several for one hash
+    the largest stands. Inputs that are empty (or null) or larger than `max_bytes` are rejects (id, bytes, reason).
     """
-    hashed = inputs.filter((F.octet_length("content") > 0) & (F.octet_length("content") <= max_bytes)).select(
-        "id", F.sha2(F.col("content").cast("binary"), 256).alias("hash")
-    )
-    usable = cache.filter(F.col("size") > 0).select("hash", "result")
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    reason = F.when(size == 0, "empty")
+    if max_bytes is not None:
+        reason = reason.when(size > max_bytes, "too large")
+    sized = inputs.withColumn("reason", reason)
+    rejects = sized.filter(F.col("reason").isNotNull()).select("id", size.alias("bytes"), "reason")
+    hashed = sized.filter(F.col("reason").isNull()).select("id", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+    usable = cache.filter(F.col("size") > 0).groupBy("hash").agg(F.max_by("result", F.struct("size", "result")).alias("result"))
     distinct = hashed.groupBy("hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("inputs"))
     known = usable.join(distinct, "hash", "left_semi")
     hits = spread_join(hashed, known, ["hash"], F.col("id"))
     misses = distinct.join(usable, "hash", "left_anti")
-    return hits, misses
+    return hits, misses, rejects

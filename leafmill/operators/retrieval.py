@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.blocks import block_join, spread_join
+from leafmill.functions.blocks import block_join, block_of, number_rows, prefix_sums, spread_join
 from leafmill.functions.text import PAGE_JOINER, clip, nonempty, tokens_of, trim_ws
 from leafmill.functions.vectors import cosine, norm
 
@@ -88,8 +88,8 @@ def hybrid_topk(
 def keyword_topk(queries: DataFrame, terms: DataFrame, chunks: DataFrame, k: int = CHAT_TOP_K) -> DataFrame:
     """(query_id, doc_id, chunk_id, score): summed term counts through an inverted-index join.
 
-    Chunks without any hit can only fill the places left over, in chunk order, so the first k chunks of the document
-    are enough to complete the ranking exactly.
+    Chunks without any hit can only fill the places left over, in chunk order, so the k chunks of a document with the
+    smallest ids are enough to complete the ranking exactly.
     """
     words = (
         queries.select("query_id", "doc_id", F.explode(tokens_of(F.col("question"))).alias("term"))
@@ -101,9 +101,9 @@ def keyword_topk(queries: DataFrame, terms: DataFrame, chunks: DataFrame, k: int
         .groupBy("query_id", "doc_id", "chunk_id")
         .agg(F.sum(F.col("tf") * F.col("times")).alias("score"))
     )
-    fill = chunks.filter(F.col("chunk_id") < k).select("doc_id", "chunk_id").join(
-        queries.select("query_id", "doc_id"), "doc_id"
-    )
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))
+    leading = chunks.select("doc_id", "chunk_id").withColumn("_nth", nth).filter(F.col("_nth") <= k).drop("_nth")
+    fill = leading.join(queries.select("query_id", "doc_id"), "doc_id")
     scored = (
         hits.unionByName(fill.withColumn("score", F.lit(0).cast("bigint")))
         .groupBy("query_id", "doc_id", "chunk_id")
@@ -156,6 +156,15 @@ def pack_context(
     )
 
 
+def chunks_or_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk_id, text); a document without any has its filled pages (doc_id, page, text) as chunks."""
+    text = trim_ws(F.col("text"))
+    filled = pages.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").filter(F.length(text) > 0)
+    numbered = number_rows(filled, ["doc_id"], ["page"], block_of("page"), "chunk_id", 0)
+    headed = F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"), text)
+    return chunks.select("doc_id", "chunk_id", "text").unionByName(numbered.select("doc_id", "chunk_id", headed.alias("text")))
+
+
 def sample_context(
     chunks: DataFrame,
     topics: DataFrame | None = None,
@@ -164,20 +173,24 @@ def sample_context(
     samples: int = 6,
     max_topic_chunks: int = 8,
 ) -> DataFrame:
-    """(doc_id, context) for question writing.
+    """(doc_id, context) for question writing; every document of `chunks` has a row, empty if nothing fits.
 
     By default the document-order prefix under the budget. `sampled` spends the budget by priority instead: chunks that
     mention a topic of `topics` (doc_id, topic), the first chunk, evenly spaced ones, the last, then the rest; the
-    chosen chunks are still joined in document order.
+    chosen chunks are still joined in document order. Chunk ids may have gaps.
     """
-    body = chunks.select("doc_id", "chunk_id", trim_ws(F.col("text")).alias("text")).filter(F.length("text") > 0)
+    body = chunks.select("doc_id", "chunk_id", trim_ws(F.col("text")).alias("text"))
+    cost = F.length("text") + len(PAGE_JOINER)
+    filled = F.length("text") > 0
     if not sampled:
-        # each chunk spends at least 3 characters, so no later chunk can fit
-        body = body.filter(F.col("chunk_id") * (len(PAGE_JOINER) + 1) <= budget)
-        order = [F.col("chunk_id")]
+        # a prefix sum over blocks: no document is sorted in one task
+        spent = prefix_sums(body.filter(filled), ["doc_id"], ["chunk_id"], {"_before": cost}, block_of("chunk_id"))
     else:
-        counts = chunks.groupBy("doc_id").agg((F.max("chunk_id") + 1).alias("n"), F.max("chunk_id").alias("last"))
-        body = block_join(body, counts, ["doc_id"], "chunk_id", "last")
+        placed = prefix_sums(
+            body, ["doc_id"], ["chunk_id"], {"_place": F.lit(1), "_filled": F.coalesce(filled, F.lit(False)).cast("int")}, block_of("chunk_id")
+        )
+        counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("chunk_id").alias("last"))
+        body = block_join(placed, counts, ["doc_id"], "chunk_id", "last").filter(filled)
         if topics is not None:
             lowered = topics.select("doc_id", F.lower("topic").alias("topic")).filter(F.length("topic") > 2)
             needles = lowered.groupBy("doc_id").agg(F.collect_set("topic").alias("topics"))
@@ -191,32 +204,29 @@ def sample_context(
         m = F.least(F.lit(samples), F.col("n"))
         spaced = F.exists(
             F.sequence(F.lit(0), F.lit(samples)),
-            lambda s: (s > 0) & (s < m - 1) & (F.col("chunk_id") == F.floor(s * F.col("n") / m)),
+            lambda s: (s > 0) & (s < m - 1) & (F.col("_place") == F.floor(s * F.col("n") / m)),
         )
         tier = (
             F.when(F.col("_h").isNotNull(), 0)
-            .when(F.col("chunk_id") == 0, 1)
+            .when(F.col("_place") == 0, 1)
             .when(spaced, 2)
-            .when(F.col("chunk_id") == F.col("n") - 1, 3)
+            .when(F.col("_place") == F.col("n") - 1, 3)
             .otherwise(4)
         )
         body = body.join(hits, ["doc_id", "chunk_id"], "left").withColumn("_tier", tier)
-        # within the last tier only a budget's worth of chunks can matter
-        body = body.filter((F.col("_tier") < 4) | (F.col("chunk_id") * (len(PAGE_JOINER) + 1) <= budget * 2))
-        order = [F.col("_tier"), F.col("chunk_id")]
-    w = Window.partitionBy("doc_id").orderBy(*order)
-    used = F.sum(F.length("text") + len(PAGE_JOINER)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fits = body.withColumn("_used", used)
+        # a filled chunk costs at least 3, so a later one of the last tier than these can't fit
+        body = body.filter((F.col("_tier") < 4) | (F.col("_filled") <= budget // (len(PAGE_JOINER) + 1) + max_topic_chunks + samples + 2))
+        before = Window.partitionBy("doc_id").orderBy("_tier", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+        spent = body.withColumn("_before", F.coalesce(F.sum(cost).over(before), F.lit(0)))
     # the first block carries no joiner but is charged for one, like every other block
-    first = F.row_number().over(w) == 1
-    charged = F.when(first, F.col("_used")).otherwise(F.col("_used") - len(PAGE_JOINER))
-    return (
-        fits.withColumn("_charged", charged)
-        .filter(F.col("_charged") <= budget)
+    charged = F.col("_before") + F.when(F.col("_before") == 0, cost).otherwise(F.length("text"))
+    packed = (
+        spent.filter(charged <= budget)
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("c"))
         .select("doc_id", F.array_join(F.col("c.text"), PAGE_JOINER).alias("context"))
     )
+    return chunks.select("doc_id").distinct().join(packed, "doc_id", "left").fillna("", ["context"])
 
 
 def history_window(turns: DataFrame, n: int | None = HISTORY_MESSAGES) -> DataFrame:

@@ -398,3 +398,6 @@ QUERIES["content_cache_misses"] = lambda s, d: _cache(s, d)[1]
 ORACLES["content_cache_misses"] = with_ctes(
     _CACHE_SQL, "SELECT hash, min(id) AS id, count(*) AS inputs FROM inputs ANTI JOIN cache USING (hash) GROUP BY hash"
 )
+QUERIES["content_cache_rejects"] = lambda s, d: _cache(s, d)[2]
+ORACLES["content_cache_rejects"] = """SELECT doc_id AS id, coalesce(strlen(text), 0)::INTEGER AS bytes, CASE WHEN coalesce(text, '') = '' THEN 'empty' ELSE 'too large' END AS reason
+FROM documents WHERE coalesce(strlen(text), 0) NOT BETWEEN 1 AND 10000"""

@@ -293,6 +293,20 @@ ORACLES["sample_context"] = with_ctes(
 SELECT doc_id, arg_max(ctx, chunk_id) AS context FROM walk GROUP BY doc_id""",
 )
 
+QUERIES["sample_context_pages"] = lambda s, d: retrieval.sample_context(
+    retrieval.chunks_or_pages(i.small_chunks(s, d).filter("doc_id % 2 = 0").withColumn("chunk_id", F.col("chunk_id") * 7000), i.doc_pages(s, d, 900)), budget=880
+)
+ORACLES["sample_context_pages"] = with_ctes(
+    [i.small_chunks_sql(), i.doc_pages_sql(size=900)],
+    f"""SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY k) FILTER (WHERE used <= 880), '') AS context FROM (
+  SELECT doc_id, k, text, sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY k) - CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1 THEN 0 ELSE 2 END AS used FROM (
+    SELECT doc_id, chunk_id AS k, {trim_sql('text')} AS text FROM chunks WHERE doc_id % 2 = 0
+    UNION ALL
+    SELECT doc_id, page, '[Page ' || page || ']' || chr(10) || {trim_sql('text')} FROM doc_pages
+    WHERE {trim_sql('text')} <> '' AND doc_id NOT IN (SELECT doc_id FROM chunks WHERE doc_id % 2 = 0)) WHERE {trim_sql('text')} <> '')
+GROUP BY doc_id""",
+)
+
 
 def _sampled(s, d):
     topics = i.documents(s, d).select("doc_id", F.substring_index("text", " ", -1).alias("topic"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.plans.inputs import with_ctes
 from leafmill.session import table
 from leafmill.streaming import limits, store
-from leafmill.streaming.runner import run_available, stream_table
+from leafmill.streaming.runner import run_available, run_updates, stream_table
 
 QUERIES = {}
 ORACLES = {}
@@ -51,12 +51,11 @@ QUERIES["request_metrics"] = lambda s, d: _metrics(limits.request_metrics(reques
 ORACLES["request_metrics"] = """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start,
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity, count(*) AS requests, max(value) AS max_duration
 FROM events GROUP BY ALL"""
-# append mode emits a window once the watermark has passed it, so the last ones stay open
-QUERIES["request_metrics_stream"] = lambda s, d: _metrics(run_available(limits.request_metrics(requests(stream_table(s, d, "events")))))
-ORACLES["request_metrics_stream"] = """SELECT * FROM (
-  SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS window_start,
-    CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity, count(*) AS requests, max(value) AS max_duration
-  FROM events GROUP BY ALL) WHERE window_start + 3600000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000"""
+# update mode, so that the windows the watermark has not passed yet are in the result as well
+QUERIES["request_metrics_stream"] = lambda s, d: _metrics(
+    run_updates(limits.request_metrics(requests(stream_table(s, d, "events"))), ["window_start", "severity"])
+)
+ORACLES["request_metrics_stream"] = ORACLES["request_metrics"]
 
 
 def store_events(events: DataFrame) -> DataFrame:
@@ -78,9 +77,7 @@ _STORE_SQL = _STORE_SQL.replace("TTL", str(TTL))
 QUERIES["store_reads"] = lambda s, d: store.store_reads(store_events(table(s, d, "events")), TTL)
 ORACLES["store_reads"] = with_ctes(_STORE_SQL, "SELECT key, event_id, ms, CASE WHEN found THEN w.payload END AS payload, found FROM reads")
 QUERIES["expiring_store_stream"] = lambda s, d: run_available(store.expiring_store(store_events(stream_table(s, d, "events")), TTL))
-ORACLES["expiring_store_stream"] = with_ctes(
-    _STORE_SQL, "SELECT key, event_id, ms, CASE WHEN found THEN w.payload END AS payload, found FROM reads WHERE key <> 'bad key'"
-)
+ORACLES["expiring_store_stream"] = ORACLES["store_reads"]
 _NOW = 1_705_320_000_000
 QUERIES["store_snapshot"] = lambda s, d: store.store_snapshot(store_events(table(s, d, "events")), _NOW, TTL)
 ORACLES["store_snapshot"] = with_ctes(

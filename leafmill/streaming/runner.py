@@ -6,7 +6,9 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leafmill.session import shared_folder
 
@@ -25,25 +27,42 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 6
     )
 
 
-def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
-    """Process everything available, exactly once, and hand back the resulting table."""
+def _run(stream: DataFrame, sink: DataStreamWriter, folder: str) -> None:
     spark = stream.sparkSession
-    folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     previous = spark.conf.get(STATE_PROVIDER_CONF, None)
     spark.conf.set(STATE_PROVIDER_CONF, ROCKSDB)
     try:
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", os.path.join(folder, "table"))
-            .option("checkpointLocation", os.path.join(folder, "checkpoint"))
-            .outputMode(output_mode)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        sink.option("checkpointLocation", os.path.join(folder, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     finally:
         if previous is None:
             spark.conf.unset(STATE_PROVIDER_CONF)
         else:
             spark.conf.set(STATE_PROVIDER_CONF, previous)
-    return spark.read.schema(stream.schema).parquet(os.path.join(folder, "table"))
+
+
+def run_available(stream: DataFrame) -> DataFrame:
+    """Process everything available, exactly once, and hand back the resulting table."""
+    folder = os.path.join(shared_folder(stream.sparkSession), f"stream-{uuid.uuid4().hex}")
+    path = os.path.join(folder, "table")
+    _run(stream, stream.writeStream.format("parquet").option("path", path).outputMode("append"), folder)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process everything available and hand back the last state of every key, also of windows still open.
+
+    Each micro-batch writes the rows it changed into a folder of its own; a repeated batch overwrites its own folder, so
+    nothing is counted twice. The latest batch of a key stands.
+    """
+    spark = stream.sparkSession
+    folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    path = os.path.join(folder, "updates")
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch}"))
+
+    _run(stream, stream.writeStream.foreachBatch(write).outputMode("update"), folder)
+    batches = StructType(stream.schema.fields + [StructField("batch", LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    latest = spark.read.schema(batches).parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])

@@ -83,9 +83,16 @@ class _Store(StatefulProcessor):
 
 
 def expiring_store(events: DataFrame, ttl_ms: int = TTL_MS, delay: str = "10 minutes") -> DataFrame:
-    """The store on a stream of (key, event_id, op, ts, ms, payload): one row per read."""
-    return (
-        events.filter(F.rlike("key", F.lit(KEY_PATTERN)))
+    """The store on a stream of (key, event_id, op, ts, ms, payload): one row per read.
+
+    Reads of malformed keys are answered without state, so that all of them together are no hot key.
+    """
+    valid = F.coalesce(F.rlike("key", F.lit(KEY_PATTERN)), F.lit(False))
+    unanswered = events.filter((F.col("op") == "get") & ~valid).select(
+        "key", "event_id", "ms", F.lit(None).cast("string").alias("payload"), F.lit(False).alias("found")
+    )
+    answered = (
+        events.filter(valid)
         .withWatermark("ts", delay)
         .groupBy("key")
         .transformWithStateInPandas(
@@ -95,3 +102,4 @@ def expiring_store(events: DataFrame, ttl_ms: int = TTL_MS, delay: str = "10 min
             timeMode="EventTime",
         )
     )
+    return answered.unionByName(unanswered)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from leafmill.streaming import limits, store
-from leafmill.streaming.runner import run_available
+from leafmill.streaming.runner import run_available, run_updates
 
 EVENTS = "user_id bigint, event_id bigint, ms bigint, op string, payload string"
 
@@ -43,3 +43,21 @@ def test_expiring_store_stream(spark, tmp_path):
     key = lambda df: sorted((r["event_id"], r["payload"], r["found"]) for r in df.collect())
     assert key(stream) == key(batch)
     assert {r["found"] for r in batch.collect()} == {True, False}
+
+
+def test_reads_of_malformed_keys_are_answered(spark, tmp_path):
+    rows = [(1, 1, 1000, "save", "p"), (1, 2, 2000, "get", None), (2, 3, 3000, "get", None)]
+    keyed = lambda df: df.select("user_id", "event_id", "op", F.timestamp_millis("ms").alias("ts"), "ms", "payload").select(
+        F.when(F.col("event_id") != 2, "bad").alias("key"), "event_id", "op", "ts", "ms", "payload"
+    )
+    stream = run_available(store.expiring_store(keyed(split_stream(spark, rows, tmp_path, 2))))
+    assert sorted((r["event_id"], r["key"], r["payload"], r["found"]) for r in stream.collect()) == [(2, None, None, False), (3, "bad", None, False)]
+
+
+def test_request_metrics_stream_has_its_last_windows(spark, tmp_path):
+    rows = history()
+    asked = lambda df: df.select(F.timestamp_millis("ms").alias("ts"), F.when(F.col("op") == "get", 200).otherwise(500).alias("status"), F.col("event_id").alias("duration"))
+    batch = limits.request_metrics(asked(spark.createDataFrame(rows, EVENTS)))
+    stream = run_updates(limits.request_metrics(asked(split_stream(spark, rows, tmp_path, 4))), ["window_start", "severity"])
+    key = lambda df: sorted(tuple(r) for r in df.select("window_start", "severity", "requests", "max_duration").collect())
+    assert key(stream) == key(batch)

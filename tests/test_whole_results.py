@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from leafmill.operators import chunking, diffing, profiling, responses, search
+from pyspark.sql import functions as F
+
+from leafmill.operators import chunking, citations, diffing, pagesets, profiling, responses, retrieval, search, structure
 
 
 def test_a_long_document_keeps_all_its_parts(spark):
@@ -53,3 +55,67 @@ def test_lists_and_lines_are_whole(spark):
     assert len(responses.merge_analyses(parts, responses.LIST_CAPS).first()["topics"]) == 6
     lines = spark.createDataFrame([(1, "\n".join(f"- line {c}" for c in "abcdefgh"))], "resp_id long, content string")
     assert responses.summary_lines(lines).count() == 8 and responses.summary_lines(lines, 5).count() == 5
+
+
+def test_every_document_has_a_context(spark):
+    chunks = spark.createDataFrame([(1, 0, "aaa"), (1, 5000, "bbb"), (2, 0, "x" * 50), (2, 1, "y"), (3, 0, " "), (3, 9, "ccc"), (4, 0, None)], "doc_id long, chunk_id int, text string")
+    want = {1: "aaa\n\nbbb", 2: "", 3: "ccc", 4: ""}
+    for sampled in (False, True):
+        assert {r["doc_id"]: r["context"] for r in retrieval.sample_context(chunks, budget=20, sampled=sampled).collect()} == want
+
+
+def test_pages_stand_in_for_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, "aaa")], "doc_id long, chunk_id int, text string")
+    pages = spark.createDataFrame([(1, 1, "no"), (2, 1, " "), (2, 7, " seven ")], "doc_id long, page int, text string")
+    got = retrieval.chunks_or_pages(chunks, pages).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "aaa"), (2, 0, "[Page 7]\nseven")]
+
+
+def test_zero_places_are_filled_with_gaps_in_the_ids(spark):
+    chunks = spark.createDataFrame([(1, 0, "aaa"), (1, 50, "bbb"), (1, 90, "needle")], "doc_id long, chunk_id int, text string")
+    queries = spark.createDataFrame([(7, 1, "needle")], "query_id long, doc_id long, question string")
+    from leafmill.operators.lexical import chunk_terms
+
+    got = retrieval.keyword_topk(queries, chunk_terms(chunks), chunks, 3).collect()
+    assert sorted((r["chunk_id"], r["score"]) for r in got) == [(0, 0), (50, 0), (90, 1)]
+
+
+def test_inputs_out_of_bounds_are_rejects(spark):
+    inputs = spark.createDataFrame([(1, "abc"), (2, "abcd"), (3, ""), (4, None)], "id long, content string")
+    cache = spark.createDataFrame([("h", "r", 1)], "hash string, result string, size int")
+    hits, misses, rejects = pagesets.content_cache(inputs, cache, 3)
+    assert hits.count() == 0 and [r["id"] for r in misses.collect()] == [1]
+    assert sorted(map(tuple, rejects.collect())) == [(2, 4, "too large"), (3, 0, "empty"), (4, 0, "empty")]
+
+
+def test_two_cached_rows_of_one_hash_give_one_hit(spark):
+    inputs = spark.createDataFrame([(1, "abc")], "id long, content string")
+    twice = inputs.select(F.sha2("content", 256).alias("hash"), F.explode(F.array(F.lit(1), F.lit(2))).alias("size"))
+    hits = pagesets.content_cache(inputs, twice.withColumn("result", F.col("size").cast("string")))[0]
+    assert [r["result"] for r in hits.collect()] == ["2"]
+
+
+def test_references_after_a_run_of_blanks(spark):
+    text = "Body text.    References     [1] Adams, A. (2001). One. [1] not"
+    got = citations.reference_texts(spark.createDataFrame([(1, text), (2, "a    b"), (3, None)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "[1] Adams, A. (2001). One. [1] not", 2: "a    b", 3: None}
+
+
+def test_all_authors_are_kept(spark):
+    names = [f"Name{c}, {c}." for c in "ABCDEFGHI"]
+    raw = ", ".join(names) + " (2001). A title. Some Press."
+    entries = spark.createDataFrame([(1, 1, raw)], "doc_id long, entry_no int, raw string")
+    row = citations.parse_entries(entries).first()
+    assert len(row["authors"]) == 9
+    assert len(citations.parse_entries(entries, max_authors=6).first()["authors"]) == 6
+    assert citations.bibliography(citations.parse_entries(entries), "mla").first()["formatted"].startswith("NameA, A., et al.")
+    assert "NameI, I." in citations.bibliography(citations.parse_entries(entries), "apa").first()["formatted"]
+
+
+def test_html_lines_have_types(spark):
+    html = "<style>x</style>\n\n<h1>Top &amp; <b>more</b></h1>\n\n\n<p>one<br>two</p><ul><li>item</li></ul><H2 id='a'></H2>\n \n"
+    pages = spark.createDataFrame([(1, html), (2, ""), (3, None), (4, "<h3>a<br/>b</h3>")], "page_id long, html string")
+    got = structure.html_blocks(pages).orderBy("page_id", "line_no").collect()
+    rows = lambda k: [(r["block_type"], r["text"]) for r in got if r["page_id"] == k]
+    assert rows(1) == [("h1", "Top & **more**"), ("blank", ""), ("text", "one"), ("text", "two"), ("blank", ""), ("text", "• item"), ("blank", ""), ("h2", "")]
+    assert rows(2) == [("blank", "")] and rows(3) == [] and rows(4) == [("h3", "a"), ("text", "b")]
