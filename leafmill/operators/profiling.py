@@ -20,7 +20,6 @@ COLOR_BOXES = (
 )
 FIELD_TYPES = ("checkbox", "radio", "dropdown", "listbox", "text")
 TRUE_VALUES = ("true", "yes", "1")
-MAX_FONT_NAMES = 10
 LARGE_FILE_BYTES = 50 * 1024 * 1024
 
 
@@ -117,7 +116,7 @@ def form_records(fields: DataFrame, names: list[str]) -> DataFrame:
 META_FIELDS = ("title", "author", "subject", "keywords", "creator", "producer")
 
 
-def doc_profile(docs: DataFrame, pages: DataFrame, fields: DataFrame, objects: DataFrame, annotations: DataFrame) -> DataFrame:
+def doc_profile(docs: DataFrame, pages: DataFrame, fields: DataFrame, objects: DataFrame, annotations: DataFrame, max_fonts: int | None = None) -> DataFrame:
     """One row per document; counts that are zero are null.
 
     `docs` is (doc_id, size, version, META_FIELDS…), `pages` (doc_id, page, width, height, rotation), `objects`
@@ -128,7 +127,8 @@ def doc_profile(docs: DataFrame, pages: DataFrame, fields: DataFrame, objects: D
     page_side = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"), first.alias("p"))
     fonts = objects.filter(F.col("kind") == "font").groupBy("doc_id", "name").agg(F.lit(1).alias("one"))
     font_rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("name"))
-    names = fonts.withColumn("r", font_rank).filter(F.col("r") <= MAX_FONT_NAMES).groupBy("doc_id").agg(F.sort_array(F.collect_list("name")).alias("font_names"))
+    listed = fonts if max_fonts is None else fonts.withColumn("r", font_rank).filter(F.col("r") <= max_fonts)
+    names = listed.groupBy("doc_id").agg(F.sort_array(F.collect_list("name")).alias("font_names"))
     font_count = fonts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("font_count"))
     others = objects.groupBy("doc_id").agg(
         F.count_if(F.col("kind") == "image").alias("image_count"), (F.count_if(F.col("kind") == "filespec") > 0).alias("has_embedded_files")

@@ -37,8 +37,8 @@ def answers(s, d) -> DataFrame:
     content = (
         F.when(k == 0, F.concat(F.lit('Sure:\n```json\n{"answer":"'), w, F.lit('","citations":[{"page":2,"quote":"'), w, F.lit('"},{"page":9}],"found":false}\n```')))
         .when(k == 1, F.concat(F.lit('{"answer":"'), w, F.lit('"}')))
-        .when(k == 2, F.concat(F.substring("text", 1, 60), F.lit(" (Page 3) and (chapter  12), again (page 3)")))
-        .when(k == 3, F.concat(F.lit("I Couldn't find information about that. "), F.substring("text", 1, 20)))
+        .when(k == 2, F.concat(F.col("text"), F.lit(" (Page 3) and (chapter  12), again (page 3)")))
+        .when(k == 3, F.concat(F.lit("I Couldn't find information about that. "), F.col("text")))
         .otherwise(F.concat(F.lit('```\n{"citations":[{"page":1,"quote":"'), w, F.lit('"}]}\n```')))
     )
     return i.documents(s, d).select(F.col("doc_id").alias("resp_id"), "doc_id", content.alias("content"))
@@ -48,8 +48,8 @@ ANSWERS_SQL = f"""answers AS (
   SELECT doc_id AS resp_id, doc_id, doc_id % 5 AS k, {WORDS_SQL} AS w, CASE doc_id % 5
     WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{{"answer":"' || {WORDS_SQL} || '","citations":[{{"page":2,"quote":"' || {WORDS_SQL} || '"}},{{"page":9}}],"found":false}}' || chr(10) || '```'
     WHEN 1 THEN '{{"answer":"' || {WORDS_SQL} || '"}}'
-    WHEN 2 THEN substring(text, 1, 60) || ' (Page 3) and (chapter  12), again (page 3)'
-    WHEN 3 THEN 'I Couldn''t find information about that. ' || substring(text, 1, 20)
+    WHEN 2 THEN text || ' (Page 3) and (chapter  12), again (page 3)'
+    WHEN 3 THEN 'I Couldn''t find information about that. ' || text
     ELSE '```' || chr(10) || '{{"citations":[{{"page":1,"quote":"' || {WORDS_SQL} || '"}}]}}' || chr(10) || '```' END AS content FROM documents)"""
 
 
@@ -94,7 +94,7 @@ def task_responses(s, d) -> DataFrame:
     lines = F.concat(F.lit("1. "), F.replace("text", F.lit("\n"), F.lit("\n- ")), F.lit("\n12) • short\n2) -  \n  3. indented line"))
     content = (
         F.when(F.col("lang") == "en", F.concat(F.lit("Here:\n```json\nnote {\"tasks\":["), t1, F.lit(","), t2, F.lit(",{}]} end\n```")))
-        .when(F.col("lang") == "de", F.concat(F.lit("{\"tasks\": [ {\"action\": \"open\"\n"), F.substring("text", 1, 50)))
+        .when(F.col("lang") == "de", F.concat(F.lit("{\"tasks\": [ {\"action\": \"open\"\n"), F.col("text")))
         .otherwise(lines)
     )
     return i.documents(s, d).select(F.col("doc_id").alias("resp_id"), "doc_id", content.alias("content"))
@@ -103,7 +103,7 @@ def task_responses(s, d) -> DataFrame:
 TASKS_SQL = f"""tw AS (SELECT doc_id, lang, source, text, regexp_replace(substring(text, 1, 30), '[^A-Za-z ]', '', 'g') AS w FROM documents),
 task_text AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INTEGER AS n FROM (
-    SELECT doc_id, list_filter(string_split(CASE lang WHEN 'de' THEN '{{"tasks": [ {{"action": "open"' || chr(10) || substring(text, 1, 50)
+    SELECT doc_id, list_filter(string_split(CASE lang WHEN 'de' THEN '{{"tasks": [ {{"action": "open"' || chr(10) || text
       ELSE '1. ' || replace(text, chr(10), chr(10) || '- ') || chr(10) || '12) • short' || chr(10) || '2) -  ' || chr(10) || '  3. indented line' END, chr(10)),
       lambda x: length({trim_sql('x')}) > 10) AS ls FROM tw WHERE lang <> 'en')),
 tasks AS (
@@ -146,7 +146,7 @@ FROM ranked WHERE r = 1""",
 def _first_task_rows(s, d):
     """Passages of every document; a third of them got no usable answer."""
     silent = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("content"))
-    texts = i.documents(s, d).select(F.col("doc_id").alias("resp_id"), F.substring("text", 1, 80).alias("text"))
+    texts = i.documents(s, d).select(F.col("doc_id").alias("resp_id"), "text")
     return responses.first_task(task_responses(s, d).withColumn("content", silent), texts)
 
 
@@ -154,7 +154,7 @@ QUERIES["first_task"] = _first_task_rows
 ORACLES["first_task"] = with_ctes(
     TASKS_SQL,
     """, firsts AS (SELECT resp_id, min(task_no) AS task_no FROM tasks WHERE resp_id % 3 <> 0 GROUP BY resp_id)
-SELECT d.doc_id AS resp_id, t.id, coalesce(t.action, substring(d.text, 1, 80)) AS action, t.owner, t.deadline,
+SELECT d.doc_id AS resp_id, t.id, coalesce(t.action, d.text) AS action, t.owner, t.deadline,
   coalesce(t.priority, 'medium') AS priority, t.context, coalesce(t.category, 'follow-up') AS category
 FROM documents d LEFT JOIN firsts f ON f.resp_id = d.doc_id LEFT JOIN tasks t ON t.resp_id = f.resp_id AND t.task_no = f.task_no""",
 )
@@ -283,7 +283,7 @@ QUERIES["summary_lines"] = lambda s, d: responses.summary_lines(task_responses(s
 ORACLES["summary_lines"] = with_ctes(
     TASKS_SQL,
     f""", content AS (
-  SELECT doc_id, CASE lang WHEN 'de' THEN '{{"tasks": [ {{"action": "open"' || chr(10) || substring(text, 1, 50)
+  SELECT doc_id, CASE lang WHEN 'de' THEN '{{"tasks": [ {{"action": "open"' || chr(10) || text
     WHEN 'en' THEN 'Here:' || chr(10) || '```json' || chr(10) || 'note {{"tasks":[{{"id":"T9","title":"' || w || '","owner":"","deadline":"Unspecified","priority":"urgent"}},{{"action":"' || w || ' x","owner":"Ann","deadline":"' || source || '","priority":"asap","category":"legal"}},{{}}]}} end' || chr(10) || '```'
     ELSE '1. ' || replace(text, chr(10), chr(10) || '- ') || chr(10) || '12) • short' || chr(10) || '2) -  ' || chr(10) || '  3. indented line' END AS c FROM tw),
 cut AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(c, '\\r?\\n'), lambda x: {trim_sql(f"regexp_replace(x, {q('^[-*•' + chr(92) + 'd.' + WS[1:-1] + ']+')}, '')")}), lambda x: x <> '') AS ls FROM content)

@@ -143,8 +143,13 @@ ORACLES["fill_form_unknown"] = "SELECT DISTINCT o_custkey AS doc_id, v.name FROM
 # ---- profiles -------------------------------------------------------------------------------------------------------
 
 
+BARE = 10**12
+
+
 def _profile(s, d):
     docs = i.documents(s, d)
+    # every document a second time, without pages, fields and objects
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + BARE))
     k = F.col("doc_id") % 4
     meta = docs.select(
         "doc_id",
@@ -154,31 +159,32 @@ def _profile(s, d):
         F.col("lang").alias("author"),
         *[F.lit(None).cast("string").alias(c) for c in ("subject", "keywords", "creator", "producer")],
     )
-    pages = i.doc_pages(s, d, 600).filter("doc_id % 9 <> 0").select(
+    pages = i.doc_pages(s, d, 600).select(
         "doc_id", "page", F.lit(594.6).alias("width"), F.lit(841.4).alias("height"), F.when(F.col("doc_id") % 3 == 0, 90).otherwise(0).alias("rotation")
     )
     kinds = F.when(F.col("l_linenumber") % 3 == 0, "image").when(F.col("l_linenumber") == 7, "filespec").otherwise("font")
     objects = table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), kinds.alias("kind"), F.concat(F.lit("F"), (F.col("l_partkey") % 30).cast("string")).alias("name"))
-    fields = form_fields(s, d).filter("name <> 'list'")
+    fields = form_fields(s, d)
     notes = table(s, d, "events").select(F.col("user_id").alias("doc_id"))
     return profiling.doc_profile(meta, pages, fields, objects, notes)
 
 
-PROFILE_SQL = i.doc_pages_sql("p", 600) + """,
+PROFILE_SQL = i.doc_pages_sql("p", 600) + f""",
+twice AS (SELECT doc_id, text, source, lang, lang = 'es' AS bad FROM documents UNION ALL SELECT doc_id + {BARE}, text, source, lang, false FROM documents),
 objs AS (SELECT l_suppkey AS doc_id, CASE WHEN l_linenumber % 3 = 0 THEN 'image' WHEN l_linenumber = 7 THEN 'filespec' ELSE 'font' END AS kind, 'F' || (l_partkey % 30) AS name FROM lineitem),
 fonts AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS names FROM objs WHERE kind = 'font' GROUP BY doc_id),
 others AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'filespec') AS specs FROM objs GROUP BY doc_id),
-pg AS (SELECT doc_id, count(*) AS n FROM p WHERE doc_id % 9 <> 0 GROUP BY doc_id),
+pg AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 ev AS (SELECT user_id AS doc_id, count(*) AS n FROM events GROUP BY user_id),
 profile AS (
   SELECT d.doc_id, coalesce(pg.n, 0) AS page_count, (length(d.text) * 5000)::BIGINT AS file_size, '1.7' AS pdf_version,
     CASE WHEN pg.n > 0 THEN 595 END AS page_width, CASE WHEN pg.n > 0 THEN 841 END AS page_height,
     CASE WHEN pg.n > 0 AND d.doc_id % 3 = 0 THEN 90 END AS page_rotation, CASE WHEN d.doc_id % 4 > 1 THEN d.source END AS title, d.lang AS author,
     NULL::VARCHAR AS subject, NULL::VARCHAR AS keywords, NULL::VARCHAR AS creator, NULL::VARCHAR AS producer,
-    c.c_custkey IS NOT NULL AS has_form, CASE WHEN c.c_custkey IS NOT NULL THEN 5::BIGINT END AS form_field_count,
+    c.c_custkey IS NOT NULL AS has_form, CASE WHEN c.c_custkey IS NOT NULL THEN 6::BIGINT END AS form_field_count,
     coalesce(o.specs, 0) > 0 AS has_embedded_files, nullif(o.images, 0) AS image_count, len(f.names)::BIGINT AS font_count,
-    array_to_string(f.names[1:10], '|') AS font_names, ev.n AS annotation_count
-  FROM documents d LEFT JOIN pg USING (doc_id) LEFT JOIN others o USING (doc_id) LEFT JOIN fonts f USING (doc_id) LEFT JOIN ev USING (doc_id)
+    array_to_string(f.names, '|') AS font_names, ev.n AS annotation_count
+  FROM twice d LEFT JOIN pg USING (doc_id) LEFT JOIN others o USING (doc_id) LEFT JOIN fonts f USING (doc_id) LEFT JOIN ev USING (doc_id)
   LEFT JOIN customer c ON c.c_custkey = d.doc_id)"""
 
 QUERIES["doc_profile"] = lambda s, d: _profile(s, d).withColumn("font_names", F.array_join("font_names", "|"))
@@ -192,11 +198,11 @@ def _issues(s, d):
 
 ISSUES_SQL = PROFILE_SQL + """,
 issues AS (
-  SELECT p.doc_id, d.lang <> 'es' AS valid, list_filter([
-    CASE WHEN d.lang <> 'es' AND page_count = 0 THEN 'Document has no pages' END, CASE WHEN d.lang <> 'es' AND title IS NULL THEN 'Missing title metadata' END,
-    CASE WHEN d.lang <> 'es' AND file_size > 52428800 THEN 'File size exceeds 50MB - may cause performance issues' END,
-    CASE WHEN d.lang = 'es' THEN 'Parse error: bad ' || d.source END], lambda x: x IS NOT NULL) AS xs
-  FROM profile p JOIN documents d USING (doc_id))"""
+  SELECT p.doc_id, NOT d.bad AS valid, list_filter([
+    CASE WHEN NOT d.bad AND page_count = 0 THEN 'Document has no pages' END, CASE WHEN NOT d.bad AND title IS NULL THEN 'Missing title metadata' END,
+    CASE WHEN NOT d.bad AND file_size > 52428800 THEN 'File size exceeds 50MB - may cause performance issues' END,
+    CASE WHEN d.bad THEN 'Parse error: bad ' || d.source END], lambda x: x IS NOT NULL) AS xs
+  FROM profile p JOIN twice d USING (doc_id))"""
 QUERIES["doc_issues"] = lambda s, d: _issues(s, d).withColumn("issues", F.array_join("issues", "|"))
 ORACLES["doc_issues"] = with_ctes(ISSUES_SQL, "SELECT doc_id, valid, array_to_string(xs, '|') AS issues FROM issues")
 QUERIES["issue_counts"] = lambda s, d: profiling.issue_counts(_issues(s, d))

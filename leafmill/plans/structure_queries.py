@@ -46,19 +46,20 @@ ORACLES["html_to_text"] = with_ctes(HTML_PAGES_SQL, f"SELECT page_id, {plain_sql
 
 
 def _chapters(s, d):
-    """All pages of a language as one book; every third part is nearly empty."""
+    """All pages of a language as one book, with a nearly empty part and a part without headings after each."""
     lang = F.regexp_extract("html", 'lang="([a-z]+)"', 1)
-    html = F.when(F.col("page_id") % 3 == 1, "<p>ab</p>").when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "(?i)</?h[1-3]>", "")).otherwise(F.col("html"))
-    return structure.html_chapters(html_pages(s, d).select(lang.alias("doc_id"), F.col("page_id").alias("pos"), html.alias("html")))
+    versions = F.array("html", F.lit("<p>ab</p>"), F.regexp_replace("html", "(?i)</?h[1-3]>", ""))
+    parts = html_pages(s, d).select(lang.alias("doc_id"), "page_id", F.posexplode(versions).alias("k", "html"))
+    return structure.html_chapters(parts.select("doc_id", (F.col("page_id") * 3 + F.col("k")).alias("pos"), "html"))
 
 
 QUERIES["html_chapters"] = _chapters
 ORACLES["html_chapters"] = with_ctes(
     HTML_PAGES_SQL,
     f""", parts AS (
-  SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) AS doc_id, page_id AS pos,
-    CASE WHEN page_id % 3 = 1 THEN '<p>ab</p>' WHEN page_id % 5 = 0 THEN regexp_replace(html, '(?i)</?h[1-3]>', '', 'g') ELSE html END AS html
-  FROM html_pages),
+  SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) AS doc_id, page_id * 3 + k AS pos,
+    CASE k WHEN 1 THEN '<p>ab</p>' WHEN 2 THEN regexp_replace(html, '(?i)</?h[1-3]>', '', 'g') ELSE html END AS html
+  FROM html_pages, range(0, 3) r(k)),
 read AS (
   SELECT doc_id, pos, {plain_sql('html')} AS text,
     CASE WHEN regexp_matches(html, '(?i)<h[1-3][^>]*>[\\s\\S]*?</h[1-3]>')
