@@ -99,13 +99,20 @@ SELECT doc_id, block_no, term, hits,
   (sum(hits) OVER (PARTITION BY doc_id, term ORDER BY block_no) - hits)::BIGINT AS first_hit FROM counted WHERE hits > 0""",
 )
 
-QUERIES["replace_text"] = lambda s, d: search.replace_text(
-    i.documents(s, d).select("doc_id", F.when(F.col("lang") == "es", " \n ").otherwise(F.col("text")).alias("text")), "And", "$1+"
-)
+
+
+def _replaced(s, d):
+    """All documents, and a blank one beside each Spanish one."""
+    docs = i.documents(s, d).select("doc_id", "text", "lang")
+    blank = docs.filter("lang = 'es'").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(" \n ").alias("text"))
+    return search.replace_text(docs.select("doc_id", "text").unionByName(blank), "And", "$1+")
+
+
+QUERIES["replace_text"] = _replaced
 ORACLES["replace_text"] = """SELECT doc_id, regexp_replace(text, '(?i)and', '$1+', 'g') AS text,
   len(regexp_extract_all(text, '(?i)and'))::INTEGER AS replacements,
-  CASE WHEN lang = 'es' THEN 'no extractable text' WHEN NOT regexp_matches(text, '(?i)and') THEN 'no matches' ELSE 'replaced' END AS status
-FROM (SELECT doc_id, lang, CASE lang WHEN 'es' THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM documents)"""
+  CASE WHEN doc_id < 0 THEN 'no extractable text' WHEN NOT regexp_matches(text, '(?i)and') THEN 'no matches' ELSE 'replaced' END AS status
+FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, ' ' || chr(10) || ' ' FROM documents WHERE lang = 'es')"""
 
 
 def _audit(s, d):

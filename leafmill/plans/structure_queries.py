@@ -213,15 +213,19 @@ SELECT doc_id, row_no, generate_subscripts(cs, 1)::INTEGER AS col_no, unnest(cs)
 
 
 def _slides(s, d):
-    text = F.when(F.col("lang") == "es", "  \n ").otherwise(F.replace("text", F.lit(".\n"), F.lit(".\n\n\n\n")))
+    """Documents with wide gaps, some with a closing page; and a blank document beside each Spanish one."""
+    text = F.replace("text", F.lit(".\n"), F.lit(".\n\n\n\n"))
     closed = F.when(F.col("lang") == "de", F.concat(text, F.lit("\fThank you"))).otherwise(text)
-    return structure.slides_from_text(i.documents(s, d).select("doc_id", closed.alias("text")))
+    docs = i.documents(s, d)
+    blank = docs.filter("lang = 'es'").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("  \n ").alias("text"))
+    return structure.slides_from_text(docs.select("doc_id", closed.alias("text")).unionByName(blank))
 
 
 QUERIES["slides_from_text"] = _slides
 ORACLES["slides_from_text"] = with_ctes(
-    f"""src AS (SELECT doc_id, CASE lang WHEN 'es' THEN '  ' || chr(10) || ' ' ELSE
-    replace(text, '.' || chr(10), '.' || repeat(chr(10), 4)) || CASE lang WHEN 'de' THEN chr(12) || 'Thank you' ELSE '' END END AS text FROM documents),
+    f"""src AS (
+  SELECT doc_id, replace(text, '.' || chr(10), '.' || repeat(chr(10), 4)) || CASE lang WHEN 'de' THEN chr(12) || 'Thank you' ELSE '' END AS text FROM documents
+  UNION ALL SELECT -1 - doc_id, '  ' || chr(10) || ' ' FROM documents WHERE lang = 'es'),
 cut AS (
   SELECT doc_id, CASE WHEN len(ps) = 0 THEN [''] ELSE ps END AS ps FROM (
     SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\f|\\n{{4,}}'), lambda p: {trim_sql('p')}), lambda p: length(p) > 0) AS ps FROM src)),
