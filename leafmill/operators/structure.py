@@ -15,7 +15,6 @@ SHORT_BLOCK_CHARS = 120
 H3_BLOCK_CHARS = 60
 READABLE_CHARS = 50
 SLIDE_TITLE_CHARS = 80
-SLIDE_BODY_CHARS = 2500
 LINE_TOLERANCE = 3.0
 LINE_BAND = 5.0
 HEADING_CAPS = r"^([A-Z][A-Z0-9 \-:&()/.,]{2,80})$"
@@ -237,8 +236,8 @@ def table_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def slides_from_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, slide_no, total, title, body): form feeds or four newlines part the slides."""
+def slides_from_text(docs: DataFrame, max_body: int | None = None) -> DataFrame:
+    """(doc_id, slide_no, total, title, body): form feeds or four newlines part the slides; `max_body` (2500, say) cuts bodies."""
     pieces = F.filter(
         F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), r"\f|\n{4,}"), trim_ws), lambda p: F.length(p) > 0
     )
@@ -247,6 +246,7 @@ def slides_from_text(docs: DataFrame) -> DataFrame:
     at = F.instr("slide", "\n")
     rest = F.when(at > 0, trim_ws(F.substring(F.col("slide"), at + 1, F.length("slide")))).otherwise("")
     titled = (F.length(first) < SLIDE_TITLE_CHARS) & (F.length("slide") > 0)
+    body = F.when(titled, rest).otherwise(F.col("slide"))
     return (
         docs.select("doc_id", some.alias("slides"))
         .select("doc_id", F.size("slides").alias("total"), F.posexplode("slides").alias("pos", "slide"))
@@ -255,7 +255,7 @@ def slides_from_text(docs: DataFrame) -> DataFrame:
             (F.col("pos") + 1).alias("slide_no"),
             "total",
             F.when(titled, first).alias("title"),
-            clip(F.when(titled, rest).otherwise(F.col("slide")), SLIDE_BODY_CHARS).alias("body"),
+            (body if max_body is None else clip(body, max_body)).alias("body"),
         )
     )
 

@@ -233,7 +233,7 @@ slide AS (SELECT doc_id, len(ps)::INTEGER AS total, unnest(ps) AS s, generate_su
 parts AS (SELECT *, {trim_sql("split_part(s, chr(10), 1)")} AS first,
   CASE WHEN contains(s, chr(10)) THEN {trim_sql("substring(s, strpos(s, chr(10)) + 1)")} ELSE '' END AS rest FROM slide)""",
     """SELECT doc_id, slide_no, total, CASE WHEN length(first) < 80 AND s <> '' THEN first END AS title,
-  substring(CASE WHEN length(first) < 80 AND s <> '' THEN rest ELSE s END, 1, 2500) AS body FROM parts""",
+  CASE WHEN length(first) < 80 AND s <> '' THEN rest ELSE s END AS body FROM parts""",
 )
 
 
