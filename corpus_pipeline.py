@@ -27,11 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id; of repeated rows one.
 
-    If several texts of a group have that doc_id, the one with the smallest hash stays. Rows without words or without a
-    doc_id are in no group and stay.
+    If several texts of a group have that doc_id, the one with the smallest hash stays. Groups whose smallest doc_id is
+    the same keep a text each. Rows without words or without a doc_id are in no group and stay.
     """
     found = near_duplicates(docs).where("kept AND n_shingles > 0 AND doc_id IS NOT NULL")
-    chosen = found.groupBy("component_id").agg(F.min("text_hash").alias("chosen_hash")).withColumnRenamed("component_id", "chosen_id")
+    chosen = found.groupBy("group_id").agg(F.min("component_id").alias("chosen_id"), F.min("text_hash").alias("chosen_hash")).drop("group_id")
     hashed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"), (n_words("text") > 0).alias("words"))
     grouped = hashed.where("words AND own_id IS NOT NULL").join(chosen, F.expr("own_id = chosen_id AND own_hash = chosen_hash"))
     repeat = F.row_number().over(Window.partitionBy("own_id", "own_hash").orderBy(F.xxhash64("row")))

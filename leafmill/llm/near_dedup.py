@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     of `shingle`-word shingles (A-Z lower-cased).
 
     Returns one row per input row: doc_id, text_hash (xxhash64 of the text), n_shingles, node (16 bytes that name the set), component_id (smallest doc_id
-    of the group), kept (doc_id = component_id).
+    of the group), group_id (a number of the group; null where there is none), kept (doc_id = component_id). Different texts
+    under one doc_id can give two groups the same component_id, so only group_id tells groups apart.
 
     1. Every text gets 128 MinHash samples, 32 band keys of four of them, and an odd sketch of 512 bits; those that share
        a band key get a sharper one later, of 1024 samples in 4096 bits. Sample (i, value) flips one bit, so the XOR population count of two sketches estimates
@@ -295,9 +296,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     placed = nodes.select("node", "nid", "min_id").join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = placed.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    groups = stage(placed.join(least, "comp").select("node", "component_id"))
+    groups = stage(placed.join(least, "comp").select("node", "component_id", F.col("comp").alias("group_id")))
     alone = (F.col("n") == 0) & F.col("doc_id").isNotNull()
     out = described.select("doc_id", "text_hash", "n", "node").join(groups, "node", "left")
     component = F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", component.alias("component_id"))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -36,3 +36,10 @@ def test_repeated_rows_and_rows_in_no_group(spark):
     rows = [(1, text), (1, text), (2, text + " end"), (None, text), (3, None), (3, "")]
     kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert Counter(map(tuple, kept)) == Counter([(1, text), (None, text), (3, None), (3, "")])
+
+
+def test_unlinked_texts_under_one_id_stay(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcd"]
+    rows = [(5, t) for t in texts] + [(9, texts[0] + " end"), (9, texts[1] + " end"), (9, texts[2])]
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, kept)) == [(5, t) for t in texts]
