@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import lean
+from leafmill.llm.common import lean, stage
 
 #: fixed values: element names as HTML defines them
 RAW = "script style noscript template textarea iframe object svg math head title".split()
@@ -43,6 +44,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 NEUTRAL, ARTICLE, MAIN, ASIDE = range(4)
+#: pages stand in this order; `hash` is that of the html
+ORDER = ["host", "path", "page_id", "hash"]
 _BREAKS, _VOID, _LOOSE, _ASIDE_TAGS, _ROLES = map(frozenset, (BREAKS, VOID, LOOSE, ASIDE_TAGS, ASIDE_ROLES))
 
 
@@ -181,54 +184,156 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", s
     """Main text of every page. Returns one row per input row: page_id, url, text, n_chars (code points), n_shared (lines
     the page shares with its neighbour), neighbour (its page_id).
 
-    Pages are range-partitioned by (host, path, page_id) and stream through in that order, three at a time, so a host
-    with a third of all pages is spread over many tasks. A page's neighbour is the page before or after it, of the same
-    host, with more of its path in common (the one before on a tie); the first and last page of a range look to one side
-    only. Their lines are aligned by longest common subsequence and shared lines are deleted. What differencing cannot
-    see is told from the markup: menus, adverts and the like that differ from page to page are asides by element, role or
-    class name, and lines of an article are never boilerplate. Pages that are copies by text share everything and
-    are no neighbours; a copy looks at the neighbour of the page it follows, or at the other side.
+    Pages are ordered by (host, path, page_id, hash of the html) and cut into ranges, so a host with a third of all pages
+    is spread over many tasks. A page's neighbour is the nearest page before or after it, of the same host and with
+    another text, with more of its path in common (the one before on a tie). Their lines are aligned by longest common
+    subsequence and shared lines are deleted; pages without text are no neighbours. What differencing cannot see is told from the markup: menus, adverts and
+    the like that differ from page to page are asides by element, role or class name, and lines of an article are never
+    boilerplate. Pages that are copies by text share everything and are no neighbours; they look past each other.
+
+    Two passes over the pages: the first writes keys and hashes to the shared folder and finds the ranges and, for each,
+    the differing page before and after it (two keys a range reach the driver); the second sends the pages to their
+    ranges and those edge pages along, so the result does not depend on the number of ranges.
 
     Edge cases: null and empty html give an empty text; a null url has host and path empty; a lone page of a host is not
     compared; null and repeated keys are ordinary rows; an empty table gives an empty result; other columns are ignored.
     """
     site = F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1), F.lit(""))
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), site.alias("host"), path.alias("path"))
-    order = ["host", "path", "page_id"]
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), site.alias("host"), path.alias("path"), F.xxhash64(source).alias("hash"))
     key_type, url_type = dict(rows.dtypes)["page_id"], dict(rows.dtypes)["url"]
     schema = f"page_id {key_type}, url {url_type}, text string, n_chars long, n_shared int, neighbour {key_type}"
+    firsts, edges = _ranges(rows, key_type)
+
+    def place(keys: list[tuple]) -> list[Column]:
+        return [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(ORDER, k, ("string", "string", key_type, "long"))]) for k in keys]
+
+    own = F.struct(*ORDER)
+    number = F.size(F.filter(F.array(*place(firsts)), lambda first: first <= own)) - 1 if len(firsts) > 1 else F.lit(0)
+    sent = F.array(F.struct(number.alias("range"), F.lit(False).alias("edge")))
+    if edges:
+        beside = [F.struct(F.lit(r).alias("range"), k.alias("key")) for (r, _), k in zip(edges, place([k for _, k in edges]))]
+        met = F.filter(F.array(*beside), lambda e: e["key"].eqNullSafe(own))
+        sent = F.concat(sent, F.transform(met, lambda e: F.struct(e["range"].alias("range"), F.lit(True).alias("edge"))))
+    dealt = rows.withColumn("sent", F.explode(sent)).select("page_id", "url", "html", "host", "path", "hash", "sent.edge", "sent.range")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         kinds = None
 
-        def done(page: dict, before: dict | None, after: dict | None) -> None:
-            near = [p for p in (before, after) if p and p["host"] == page["host"]]
-            near.sort(key=lambda p: nearness(page["path"], p["path"]), reverse=True)
-            other = next((p for p in near if p["texts"] != page["texts"]), None)
-            shared = shared_lines(page["texts"], other["texts"]) if other else set()
-            text = main_text(page["lines"], shared)
-            out.append({"page_id": page["page_id"], "url": page["url"], "text": text, "n_chars": len(text), "n_shared": len(shared), "neighbour": other and other["page_id"]})
+        def done(run: dict, before: dict | None, after: dict | None) -> None:
+            """The pages of a run of copies, between the runs before and after it."""
+            sides = [p for p in (before and {**before["last"], "texts": before["texts"]}, after and {**after["first"], "texts": after["texts"]}) if p]
+            sides = [p for p in sides if p["host"] == run["host"]]
+            shared: dict[int, set[int]] = {}
+            found: dict[tuple, str] = {}
+            for page in run["pages"]:
+                k = max(range(len(sides)), key=lambda k: nearness(page["path"], sides[k]["path"]), default=-1)
+                if k not in shared:
+                    shared[k] = shared_lines(run["texts"], sides[k]["texts"]) if sides else set()
+                at = (k, page["parts"])
+                if at not in found:
+                    found[at] = main_text(list(zip(run["texts"], page["parts"])), shared[k])
+                text = found[at]
+                out.append({"page_id": page["page_id"], "url": page["url"], "text": text, "n_chars": len(text), "n_shared": len(shared[k]), "neighbour": sides[k]["page_id"] if sides else None})
 
-        before = page = None
+        before = run = None
         for batch in batches:
             kinds = kinds or pa.schema([batch.schema.field("page_id"), batch.schema.field("url"), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int32()), batch.schema.field("page_id").with_name("neighbour")])
             columns = {c: batch.column(c) for c in batch.schema.names}
             for i in range(batch.num_rows):
-                after = {c: column[i].as_py() for c, column in columns.items()}
-                after["lines"] = page_lines(after.pop("html") or "")
-                after["texts"] = [t for t, _ in after["lines"]]
-                if page:
-                    done(page, before, after)
-                if not (page and page["host"] == after["host"] and page["texts"] == after["texts"]):
-                    before = page
-                page = after
-                if len(out) >= 256:
-                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
-                    out.clear()
-        if page:
-            done(page, before, None)
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
-
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(extract), schema)
+                page = {c: column[i].as_py() for c, column in columns.items()}
+                lines = page_lines(page.pop("html") or "")
+                texts = [t for t, _ in lines]
+                page["parts"] = bytes(kind for _, kind in lines)
+                if not lines:
+                    out.append({"page_id": page["page_id"], "url": page["url"], "text": "", "n_chars": 0, "n_shared": 0, "neighbour": None})
+                    continue
+                if not (run and run["host"] == page["host"] and run["texts"] == texts):
+                    following = {"host": page["host"], "texts": texts, "first": page, "pages": []}
+                    if run:
+                        done(run, before, following)
+                    before, run = run, following
+                    if before:
+                        before["pages"] = []
+                run["last"] = page
+                if not page["edge"]:
+                    run["pages"].append(page)
+                while len(out) >= 256:
+                    yield pa.RecordBatch.from_pylist(out[:256], schema=kinds)
+                    del out[:256]
+        if run:
+            done(run, before, None)
+        for at in range(0, len(out), 256):
+            yield pa.RecordBatch.from_pylist(out[at : at + 256], schema=kinds)
+
+    return dealt.repartitionById(max(1, len(firsts)), F.col("range")).sortWithinPartitions(*ORDER).mapInArrow(lean(extract), schema)
+
+
+def _ranges(rows: DataFrame, key_type: str) -> tuple[list[tuple], list[tuple[int, tuple]]]:
+    """The first key of every range, and (range, key) of the pages of other ranges that its ends are compared with.
+
+    These are the last page before the range and the first one after it that are of the host and not of the text of its
+    first and last page.
+    """
+    keys = f"host string, path string, page_id {key_type}, hash long, copy long"
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [page_lines(h.as_py() or "") for h in batch.column("html")]
+            copies = [_text_hash(of_page) if of_page else None for of_page in lines]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ORDER], pa.array(copies, pa.int64())], [*ORDER, "copy"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = first = second = last = other = None
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for page in batch.to_pylist():
+                start = start or page
+                if page["copy"] is None:
+                    continue
+                if first is None:
+                    first = page
+                elif second is None and page["host"] == first["host"] and page["copy"] != first["copy"]:
+                    second = page
+                if last and (page["host"] != last["host"] or page["copy"] != last["copy"]):
+                    other = last if page["host"] == last["host"] else None
+                last = page
+        if start:
+            none = dict.fromkeys(schema.names)
+            yield pa.RecordBatch.from_pylist([start, *[page or none for page in (first, second, last, other)]], schema=schema)
+
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = stage(rows.select(*ORDER, "html").mapInArrow(lean(describe), keys))
+    index = index.repartitionByRange(max(1, min(count, index.count())), *ORDER).sortWithinPartitions(*ORDER)
+    found = index.mapInArrow(ends, keys).withColumn("place", F.monotonically_increasing_id()).collect()
+    found.sort(key=lambda r: r["place"])
+    starts = found[::5]
+    # of the pages with text: the first, the first that differs from it, the last, the last that differs from it
+    parts = [found[i + 1 : i + 5] for i in range(0, len(found), 5)]
+    name = lambda r: tuple(r[c] for c in ORDER)
+
+    def beyond(r: int, step: int) -> tuple | None:
+        here = parts[r][0] if step < 0 else parts[r][2]
+        near, differing, far = (2, 3, 0) if step < 0 else (0, 1, 2)
+        q = r + step
+        while here["copy"] is not None and 0 <= q < len(parts):
+            if parts[q][near]["copy"] is not None:
+                if parts[q][near]["host"] != here["host"]:
+                    return None
+                if parts[q][near]["copy"] != here["copy"]:
+                    return name(parts[q][near])
+                if parts[q][differing]["copy"] is not None:
+                    return name(parts[q][differing])
+                if parts[q][far]["host"] != here["host"]:
+                    return None
+            q += step
+        return None
+
+    edges = [(r, k) for r in range(len(parts)) for k in (beyond(r, -1), beyond(r, 1)) if k]
+    return [name(r) for r in starts], edges
+
+
+def _text_hash(lines: list[tuple[str, int]]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in lines).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)

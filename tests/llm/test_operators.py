@@ -146,6 +146,22 @@ def test_lines_shared_with_the_nearest_page_go(spark, one_range):
     assert page_diff.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "16"])
+def test_page_text_does_not_depend_on_ranges_or_copies(spark, partitions):
+    page = "<body><div>Site name</div><div>{}</div><p>{}</p><div>All rights</div></body>"
+    names = ["copy"] * 6 + ["a", "b"] + ["again"] * 8 + ["c"] + ["end"] * 5
+    rows = [(k, f"http://h.org/x/{k:02}", page.format("Part A", n)) for k, n in enumerate(names)]
+    rows += [(50 + k, "http://i.org/x", page.format("Part B", "same")) for k in range(4)] + [(None, "http://h.org/x/00", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r["page_id"]: r["text"] for r in page_diff.extract_pages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows) and {k: got[k] for k in range(len(names))} == dict(enumerate(names))
+    assert got[None] == "" and {got[50 + k] for k in range(4)} == {"Site name Part B same All rights"}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
