@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import lean, stage
 
 #: fixed values: element names as HTML defines them
-RAW = "script style noscript template textarea iframe object svg math head title".split()
+RAW = "script style textarea iframe title".split()
+#: elements that are passed over with all they hold, but only up to an end tag of their own
+HELD = "noscript template object svg math".split()
 BREAKS = (
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul"
@@ -36,9 +38,10 @@ _LAST = "ad ads advert nav menu sidebar footer header notice notices banner comm
 ASIDE_NAME = re.compile(rf"(?:{'|'.join(_NAMES)})(?:[-_].*)?|(?!(?:has|with|no|without|is|show|hide)[-_]).*[-_](?:{'|'.join(_LAST)})", re.I)
 HEADING_NAME = re.compile(r"(?:.*[-_])?header(?:[-_].*)?", re.I)
 
-_RAW = "|".join(RAW)
+_RAW = rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+HOLDER = re.compile(rf"{_RAW}|<(/?)({'|'.join(HELD)})(?=[\s/>])[^>]*>", re.S | re.I)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
+    rf"{_RAW}|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -70,10 +73,30 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def without_held(source: str) -> str:
+    """The page without the elements of HELD; the tags of one that is never closed stay, and so does what follows it."""
+    opened: dict[str, list[int]] = {name: [] for name in HELD}
+    spans: list[tuple[int, int]] = []
+    for token in HOLDER.finditer(source):
+        if name := token.group(3):
+            starts = opened[name.lower()]
+            if not token.group(2):
+                if not token.group().endswith("/>"):
+                    starts.append(token.start())
+            elif starts:
+                spans.append((starts.pop(), token.end()))
+    kept, at = [], 0
+    for start, end in sorted(spans):
+        kept.append(source[at:start])
+        at = max(at, end)
+    return "".join(kept) + source[at:]
+
+
 def page_lines(source: str) -> list[tuple[str, int]]:
     """Lines of a page, one for every block with text, each with the part of the page it stands in.
 
-    Markup, comments, scripts, styles and unfinished tags at the end give no text. White space inside a block becomes one
+    Markup, comments, scripts, styles and unfinished tags at the end give no text. A head may lack its end tag, and a
+    drawing, formula or object without one hides nothing that follows. White space inside a block becomes one
     space and character references are decoded.
     """
     lines: list[tuple[str, int]] = []
@@ -88,6 +111,7 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                 lines.append((text, part))
             held.clear()
 
+    source = without_held(source)
     for token in TOKEN.finditer(source):
         if token.start() > at:
             held.append(source[at : token.start()])

@@ -125,6 +125,14 @@ def test_article_text():
     assert page_diff.page_lines("") == [] and page_diff.page_lines("<!-- open <p>x") == []
 
 
+@pytest.mark.parametrize("before", [
+    "<html><head><title>t</title><meta charset=utf-8><style>p{}</style><body>", "<head><script>1</script></head>", "<head-line></head-line>", "<svg><g>", "<math>", "<object data=x>",
+    "<svg><object></svg>", "<svg>no<svg>no</svg>no</svg>", "<title-x></title-x>", "<noscript>no</noscript ><template><p>no</template>", "<script>'<svg>'</script >", "<svg/>",
+])
+def test_what_is_not_closed_hides_nothing(before):
+    assert page_diff.main_text(page_diff.page_lines(f"{before}<article><p>text</article>"), set()) == "text"
+
+
 @pytest.fixture
 def one_range(spark):
     """Pages at the edge of a range look to one side only, so the small table stays in one."""
