@@ -190,8 +190,10 @@ def normalise_highlights(highlights: DataFrame, doc_types: DataFrame) -> DataFra
     )
 
 
-def merge_highlights(highlights: DataFrame, max_n: int = MAX_HIGHLIGHTS, min_overlap: float = 0.8) -> DataFrame:
-    """Highlights left after duplicates and near-duplicates give way to a better ranked one, `max_n` per document.
+def merge_highlights(highlights: DataFrame, max_n: int | None = None, min_overlap: float = 0.8) -> DataFrame:
+    """Highlights left after duplicates and near-duplicates give way to a better ranked one.
+
+    All of them, or the first `max_n` (suggested: MAX_HIGHLIGHTS) per document.
 
     Near-duplicates share at least `min_overlap` of the smaller one's word 4-grams. Exact copies go first. Pairs are then
     found by prefix filtering: of a set's grams, rarest first, the leading |A| - ceil(min_overlap |A|) + 1 must hit
@@ -224,7 +226,8 @@ def merge_highlights(highlights: DataFrame, max_n: int = MAX_HIGHLIGHTS, min_ove
     firsts = lead.select("doc_id", F.col("_rank.hl_id").alias("hl_id"))
     kept = ranked.join(firsts, ["doc_id", "hl_id"], "left_semi").join(beaten, ["doc_id", "hl_id"], "left_anti")
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank"))
-    return kept.withColumn("position", position).filter(F.col("position") <= max_n).drop("_rank", "_norm")
+    placed = kept.withColumn("position", position).drop("_rank", "_norm")
+    return placed if max_n is None else placed.filter(F.col("position") <= max_n)
 
 
 def highlight_listing(highlights: DataFrame, block: Column | None = None) -> DataFrame:

@@ -252,12 +252,12 @@ def shingles_sql(words: str) -> str:
     return f"list_distinct(list_transform(range(1, len({words}) - 2), lambda k: array_to_string({words}[k:k + 3], ' ')))"
 
 
-def _merged(s, d):
-    out = grounding.merge_highlights(_normalised(s, d), 10)
+def _merged(s, d, max_n=None):
+    out = grounding.merge_highlights(_normalised(s, d), max_n)
     return out.select("doc_id", "hl_id", "text", "importance", "confidence", "position")
 
 
-QUERIES["merge_highlights"] = _merged
+QUERIES["merge_highlights"] = lambda s, d: _merged(s, d, 10)
 ORACLES["merge_highlights"] = with_ctes(
     HIGHLIGHTS_SQL,
     f""", ranked AS (
@@ -270,6 +270,8 @@ kept AS (
 SELECT doc_id, hl_id, text, importance, confidence, position::INTEGER AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rk) AS position FROM kept) WHERE position <= 10""",
 )
+QUERIES["merge_highlights_whole"] = _merged
+ORACLES["merge_highlights_whole"] = ORACLES["merge_highlights"].removesuffix(" WHERE position <= 10")
 
 QUERIES["highlight_listing"] = lambda s, d: grounding.highlight_listing(highlights(s, d))
 ORACLES["highlight_listing"] = with_ctes(

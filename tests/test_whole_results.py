@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import chunking, citations, diffing, pagesets, profiling, responses, retrieval, search, structure
+from leafmill.operators import chunking, citations, diffing, grounding, pagesets, profiling, responses, retrieval, search, structure
 
 
 def test_a_long_document_keeps_all_its_parts(spark):
@@ -119,3 +119,9 @@ def test_html_lines_have_types(spark):
     rows = lambda k: [(r["block_type"], r["text"]) for r in got if r["page_id"] == k]
     assert rows(1) == [("h1", "Top & **more**"), ("blank", ""), ("text", "one"), ("text", "two"), ("blank", ""), ("text", "• item"), ("blank", ""), ("h2", "")]
     assert rows(2) == [("blank", "")] and rows(3) == [] and rows(4) == [("h3", "a"), ("text", "b")]
+
+
+def test_all_highlights_are_kept(spark):
+    rows = [(1, k, f"finding number {k} of its own kind k{k}", "high", 50) for k in range(40)]
+    marks = spark.createDataFrame(rows, "doc_id long, hl_id int, text string, importance string, confidence int")
+    assert grounding.merge_highlights(marks).count() == 40 and grounding.merge_highlights(marks, 10).count() == 10
