@@ -69,8 +69,11 @@ def diff_summary(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
     ).drop("_sa", "_sb")
 
 
-def word_diffs(pages_a: DataFrame, pages_b: DataFrame, cap: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, side, rank, word): words of one version only, in the order they are first seen."""
+def word_diffs(pages_a: DataFrame, pages_b: DataFrame, cap: int | None = None) -> DataFrame:
+    """(doc_id, side, rank, word): words of one version only, in the order they are first seen.
+
+    All of them, or the first `cap` (suggested: MAX_WORDS) of each side.
+    """
     words = _word_table(pages_a, pages_b)
     single = words.filter((F.col("in_a") == 0) | (F.col("in_b") == 0)).select(
         "doc_id",
@@ -79,7 +82,8 @@ def word_diffs(pages_a: DataFrame, pages_b: DataFrame, cap: int = MAX_WORDS) ->
         "word",
     )
     rank = F.row_number().over(Window.partitionBy("doc_id", "side").orderBy("first"))
-    return single.withColumn("rank", rank).filter(F.col("rank") <= cap).select("doc_id", "side", "rank", "word")
+    ranked = single.withColumn("rank", rank).select("doc_id", "side", "rank", "word")
+    return ranked if cap is None else ranked.filter(F.col("rank") <= cap)
 
 
 def interleave_pages(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:

@@ -225,6 +225,8 @@ ORACLES["word_diffs"] = with_ctes(
 SELECT doc_id, side, rank::INTEGER AS rank, word FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY f) AS rank FROM single) WHERE rank <= 10""",
 )
+QUERIES["word_diffs_whole"] = lambda s, d: diffing.word_diffs(*versions(s, d))
+ORACLES["word_diffs_whole"] = ORACLES["word_diffs"].removesuffix(" WHERE rank <= 10")
 
 QUERIES["interleave_pages"] = lambda s, d: diffing.interleave_pages(*versions(s, d))
 ORACLES["interleave_pages"] = with_ctes(

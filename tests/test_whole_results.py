@@ -125,3 +125,8 @@ def test_all_highlights_are_kept(spark):
     rows = [(1, k, f"finding number {k} of its own kind k{k}", "high", 50) for k in range(40)]
     marks = spark.createDataFrame(rows, "doc_id long, hl_id int, text string, importance string, confidence int")
     assert grounding.merge_highlights(marks).count() == 40 and grounding.merge_highlights(marks, 10).count() == 10
+
+
+def test_all_differing_words_are_kept(spark):
+    pages = lambda w: spark.createDataFrame([(1, 1, " ".join(f"{w}{k}" for k in range(150)))], "doc_id long, page int, text string")
+    assert diffing.word_diffs(pages("a"), pages("b")).count() == 300 and diffing.word_diffs(pages("a"), pages("b"), 10).count() == 20
