@@ -54,13 +54,16 @@ def html_to_text(pages: DataFrame, html: str = "html", out: str = "text") -> Dat
     return pages.withColumn(out, plain_html(F.col(html)))
 
 
-def html_chapters(parts: DataFrame) -> DataFrame:
-    """Chapters as pages from parts (doc_id, pos, html): near-empty parts go, the rest are numbered from 1."""
+def html_chapters(parts: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Chapters as pages from parts (doc_id, pos, html): near-empty parts go, the rest are numbered from 1.
+
+    Titles are whole, or their first `title_chars` (suggested: TITLE_CHARS) characters.
+    """
     heading = F.regexp_extract(F.col("html"), HEADING_ELEMENT, 1)
     titled = F.rlike(F.col("html"), F.lit(HEADING_ELEMENT))
     read = parts.select(
         "doc_id", "pos", plain_html(F.col("html")).alias("text"),
-        F.when(titled, clip(plain_html(heading), TITLE_CHARS)).alias("title"),
+        F.when(titled, plain_html(heading) if title_chars is None else clip(plain_html(heading), title_chars)).alias("title"),
     ).filter(F.length("text") >= MIN_CHAPTER_CHARS)
     return number_rows(read, ["doc_id"], ["pos"], block_of("pos"), "page").select(
         "doc_id",

@@ -45,15 +45,15 @@ QUERIES["html_to_text"] = lambda s, d: structure.html_to_text(html_pages(s, d)).
 ORACLES["html_to_text"] = with_ctes(HTML_PAGES_SQL, f"SELECT page_id, {plain_sql('html')} AS text FROM html_pages")
 
 
-def _chapters(s, d):
+def _chapters(s, d, title_chars=None):
     """All pages of a language as one book, with a nearly empty part and a part without headings after each."""
     lang = F.regexp_extract("html", 'lang="([a-z]+)"', 1)
     versions = F.array("html", F.lit("<p>ab</p>"), F.regexp_replace("html", "(?i)</?h[1-3]>", ""))
     parts = html_pages(s, d).select(lang.alias("doc_id"), "page_id", F.posexplode(versions).alias("k", "html"))
-    return structure.html_chapters(parts.select("doc_id", (F.col("page_id") * 3 + F.col("k")).alias("pos"), "html"))
+    return structure.html_chapters(parts.select("doc_id", (F.col("page_id") * 3 + F.col("k")).alias("pos"), "html"), title_chars)
 
 
-QUERIES["html_chapters"] = _chapters
+QUERIES["html_chapters"] = lambda s, d: _chapters(s, d, structure.TITLE_CHARS)
 ORACLES["html_chapters"] = with_ctes(
     HTML_PAGES_SQL,
     f""", parts AS (
@@ -68,6 +68,8 @@ read AS (
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INTEGER AS page FROM read WHERE length(text) >= 5)
 SELECT doc_id, page, text, false AS was_ocr, length(text)::INTEGER AS char_count, coalesce(title, 'Chapter ' || page) AS chapter_title FROM numbered""",
 )
+QUERIES["html_chapters_whole"] = _chapters
+ORACLES["html_chapters_whole"] = ORACLES["html_chapters"].replace(", 1, 100) END AS title", ", 1) END AS title")
 
 QUERIES["html_blocks"] = lambda s, d: structure.html_blocks(html_pages(s, d))
 

@@ -293,13 +293,16 @@ def epub_spine(opf: DataFrame, parts: DataFrame) -> DataFrame:
     return listed.unionByName(unlisted)
 
 
-def epub_chapters(opf: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, page, title, text): chapters in spine order, or the numbered sections of a book without spine."""
+def epub_chapters(opf: DataFrame, parts: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """(doc_id, page, title, text): chapters in spine order, or the numbered sections of a book without spine.
+
+    Titles are whole, or their first `title_chars` characters.
+    """
     from leafmill.functions.blocks import block_of
     from leafmill.operators.structure import html_chapters, plain_html
 
     ordered = epub_spine(opf, parts)
-    chapters = html_chapters(ordered.filter("listed").select("doc_id", "pos", "html")).select(
+    chapters = html_chapters(ordered.filter("listed").select("doc_id", "pos", "html"), title_chars).select(
         "doc_id", "page", F.col("chapter_title").alias("title"), "text"
     )
     sections = number_rows(ordered.filter("not listed"), ["doc_id"], ["pos"], block_of("pos"), "page").select(

@@ -130,3 +130,14 @@ def test_all_highlights_are_kept(spark):
 def test_all_differing_words_are_kept(spark):
     pages = lambda w: spark.createDataFrame([(1, 1, " ".join(f"{w}{k}" for k in range(150)))], "doc_id long, page int, text string")
     assert diffing.word_diffs(pages("a"), pages("b")).count() == 300 and diffing.word_diffs(pages("a"), pages("b"), 10).count() == 20
+
+
+def test_long_headings_and_raw_entries_are_whole(spark):
+    long = "Heading of many words " * 8 + "end"
+    parts = spark.createDataFrame([(1, 1, f"<h2>{long}</h2><p>text of it</p>")], "doc_id long, pos int, html string")
+    assert structure.html_chapters(parts).first()["chapter_title"] == long
+    assert structure.html_chapters(parts, 100).first()["chapter_title"] == long[:100]
+    row = spark.range(1).selectExpr("*", "cast(array() as array<struct<last:string,first:string>>) AS authors", f"'{long}' AS raw", "'unknown' AS type", *[f"'' AS {c}" for c in "title year volume issue pages url journal publisher doi".split()])
+    for style in citations.STYLES:
+        assert long in row.select(citations.format_citation(style)).first()[0]
+        assert long not in row.select(citations.format_citation(style, 100)).first()[0]
