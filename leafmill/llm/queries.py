@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from leafmill.llm.bpe import decode_bpe, encode_bpe
 from leafmill.llm.common import read_table
+from leafmill.llm.merkle import merkle_proofs, proof_digest
 from leafmill.llm.mixing import mix_sources
 from leafmill.llm.near_dedup import near_duplicates
 from leafmill.llm.page_diff import extract_pages
@@ -72,6 +75,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    proofs = merkle_proofs(read_table(spark, sf_dir, "documents"), altered={"text": lowered}, where=tampered)
+    return proofs.select("doc_id", "leaf", "subroot", "root", proof_digest("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
@@ -83,8 +93,48 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
+
+
+def merkle_sql(levels: int, group_levels: int) -> str:
+    """DuckDB SQL of op11: one table a level, for groups of up to 16**levels rows."""
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    low = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    leaf, found = (f"sha256({' || '.join(part.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', t))})" for t in ("text", low))
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)), lambda a, b: {step}), 4294967295)"
+    sql = [
+        f"leaves AS (SELECT doc_id, source, {leaf} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {found} END AS found FROM documents)",
+        "l0 AS (SELECT source, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM leaves)",
+        "t0 AS (SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, *, coalesce(found, leaf) AS now, '' AS proof FROM leaves)",
+    ]
+
+    def rise(tree: str, k: int, keep: str, key: str) -> list[str]:
+        return [
+            f"""{tree}{k + 1} AS (SELECT {key}, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h, r // 16 AS r, (n + 15) // 16 AS n
+            FROM {tree}{k} GROUP BY {key}, r // 16, n)""",
+            f"""{keep}{k + 1} AS (SELECT t.* EXCLUDE (r, now, proof), t.r // 16 AS r,
+              CASE WHEN s.n = 1 THEN now ELSE sha256(s.before || now || s.after) END AS now, proof || s.before || s.after AS proof
+            FROM {keep}{k} t JOIN (SELECT {key}, r, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+              FROM {tree}{k} WINDOW w AS (PARTITION BY {key}, r // 16 ORDER BY r)) s ON t.{key} IS NOT DISTINCT FROM s.{key} AND t.r = s.r)""",
+        ]
+
+    for k in range(levels):
+        sql += rise("l", k, "t", "source")
+    sql += [
+        f"g0 AS (SELECT 0 AS g, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM l{levels})",
+        f"u0 AS (SELECT t.* EXCLUDE (r), g.g, g.r, g.h AS subroot FROM t{levels} t JOIN g0 g ON t.source IS NOT DISTINCT FROM g.source)",
+    ]
+    for k in range(group_levels):
+        sql += rise("g", k, "u", "g")
+    return f"""WITH {", ".join(sql)}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.h AS verified
+FROM u{group_levels}, g{group_levels} root"""
+
+
 ORACLES = {
     "op1_mix_sources": r"""
 WITH sized AS (
@@ -120,4 +170,5 @@ scored AS (
   FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op11_merkle_manifest": merkle_sql(levels=5, group_levels=3),
 }
