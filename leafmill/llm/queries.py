@@ -15,6 +15,7 @@ from leafmill.llm.mixing import mix_sources
 from leafmill.llm.near_dedup import near_duplicates
 from leafmill.llm.page_diff import extract_pages
 from leafmill.llm.pivot_search import exact_top_k
+from leafmill.llm.prefix_trie import conversation_trie
 from leafmill.llm.quality import fit_quality, quality_rules
 from leafmill.llm.substring_dedup import dedup_substrings
 from leafmill.llm.token_counts import count_tokens
@@ -82,6 +83,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", proof_digest("proof").alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
@@ -94,19 +99,25 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
 
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text in DuckDB SQL."""
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    digits = f"list_transform(string_split({text}, ''), lambda d: ord(d)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {digits}), lambda a, b: {step}), 4294967295)"
+
+
 def merkle_sql(levels: int, group_levels: int) -> str:
     """DuckDB SQL of op11: one table a level, for groups of up to 16**levels rows."""
     part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
     low = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
     leaf, found = (f"sha256({' || '.join(part.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', t))})" for t in ("text", low))
-    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
-    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)), lambda a, b: {step}), 4294967295)"
     sql = [
-        f"leaves AS (SELECT doc_id, source, {leaf} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {found} END AS found FROM documents)",
+        f"leaves AS (SELECT doc_id, source, {leaf} AS leaf, CASE WHEN {crc_sql('doc_id::VARCHAR')} % 5 = 0 THEN {found} END AS found FROM documents)",
         "l0 AS (SELECT source, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM leaves)",
         "t0 AS (SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, *, coalesce(found, leaf) AS now, '' AS proof FROM leaves)",
     ]
@@ -171,4 +182,25 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op11_merkle_manifest": merkle_sql(levels=5, group_levels=3),
+    "op12_prefix_trie": rf"""
+WITH lists AS (
+  SELECT conv_id::BIGINT AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.own[1 : {crc_sql("a.c::VARCHAR")} % 4], []), a.own[{crc_sql("a.c::VARCHAR")} % 4 + 1 :]) AS turns
+  FROM lists a LEFT JOIN lists b ON b.c = a.c - a.c % 20),
+paths AS (
+  SELECT c, d, md5(turns[1 : d]::VARCHAR) AS node, CASE WHEN d > 0 THEN md5(turns[1 : d - 1]::VARCHAR) END AS parent, len(turns) = d AS ending,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, any_value(parent) AS parent, min(c) AS first, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ending), '')) AS ends FROM paths GROUP BY node, d),
+counted AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS n FROM nodes GROUP BY ALL) k ON k.parent = n.node AND k.d = n.d),
+below AS (
+  SELECT p.node, p.d, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+  FROM counted b JOIN paths p ON p.c = b.first AND p.d <= b.d GROUP BY p.node, p.d)
+SELECT n.first AS conv_id, n.d::BIGINT AS depth, up.first AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM counted n JOIN below s ON s.node = n.node AND s.d = n.d LEFT JOIN nodes up ON up.node = n.parent AND up.d = n.d - 1""",
 }
