@@ -8,7 +8,7 @@ import os
 import sys
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache, wraps
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ from leafmill.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 _MIX1, _MIX2, _POLY = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: pieces of words that are hashed at once
+_SLICE = 1 << 19
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -121,31 +123,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2**64."""
-    inverse = np.uint64(pow(int(_POLY), -1, 1 << 64))
-    out = []
-    for base in (_POLY, inverse):
-        p = np.full(n, base)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word, by prefix sums of byte * base**position; equal words give equal hashes anywhere."""
+    """64-bit hash of every word; equal words give equal hashes anywhere.
+
+    A word is cut into pieces of eight bytes. Each piece, with its number, is mixed as a whole before the pieces are summed,
+    so patterns that cancel in a polynomial don't meet here. Words are taken in slices, to bound what is held at once.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    length = ends - starts
+    count = (length + 7) >> 3
+    before = np.cumsum(count) - count
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
-        first = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, first + _SLICE, side="right")))
-        stop = int(ends[to - 1])
-        up, down = _powers(power_of_two(stop - first, _SLICE))
-        total = np.zeros(stop - first + 1, np.uint64)
-        np.cumsum((data[first:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - first], out=total[1:])
-        a, b = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
+        to = max(at + 1, int(np.searchsorted(before, before[at] + _SLICE)))
+        n, first = count[at:to], before[at:to] - before[at]
+        number = np.arange(int(n.sum())) - np.repeat(first, n)
+        left = np.minimum(np.repeat(length[at:to], n) - 8 * number, 8).astype(np.uint64)
+        piece = eight[np.repeat(starts[at:to], n) + 8 * number] & (_ONES >> (np.uint64(64) - np.uint64(8) * left))
+        mixed = mix(mix(piece) + (number + 1).astype(np.uint64) * _POLY)
+        out[at:to] = np.add.reduceat(mixed, first) + length[at:to].astype(np.uint64)
         at = to
     return mix(out)
 

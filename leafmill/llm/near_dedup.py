@@ -127,7 +127,7 @@ def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
                 nids, nodes, sets = part.column("nid").to_pylist(), part.column("node").to_pylist(), shingle_sets(part.column("text"), shingle)
                 rows = []
                 for nid, node, s in zip(nids, nodes, sets):
-                    # another text may have the same doc_id, and a row may be repeated
+                    # a row may be repeated
                     if nid not in seen and set_key(s) == node:
                         seen.add(nid)
                         rows.append((nid, s.view(np.int64)))
@@ -266,13 +266,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     described = stage(_describe(rows, shingle))
     part = described.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = part.groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(w).alias(w) for w in _WORDS])
-    nodes = stage(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    nodes = part.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(w).alias(w) for w in _WORDS])
+    nodes = stage(nodes.withColumns({"nid": F.monotonically_increasing_id(), "min_id": F.col("rep.doc_id")}))
     keyed = nodes.select("nid", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high").select("key")
     members = stage(keyed.join(shared, "key").join(nodes.select("nid", "n", *_WORDS), "nid"))
     labels = stage(members.select("nid").distinct().withColumn("comp", F.col("nid")))
-    wanted = rows.join(nodes.select("nid", "node", F.col("min_id").alias("doc_id")).join(labels, "nid"), "doc_id").select("nid", "node", "text")
+    wanted = rows.join(nodes.select("nid", "node", "rep.*").join(labels, "nid"), ["doc_id", "text_hash"]).select("nid", "node", "text")
     sets = stage(_full_sets(wanted, shingle))
     limit = most_bits(percent / 100, *COARSE)
     alike = (differing_bits("m", "o") <= limit) & (100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n"))

@@ -14,6 +14,7 @@ from leafmill.llm.merkle import merkle_proofs, proof_digest
 from leafmill.llm.mixing import mix_sources
 from leafmill.llm.near_dedup import near_duplicates
 from leafmill.llm.page_diff import extract_pages
+from leafmill.llm.parity_join import jaccard_groups
 from leafmill.llm.pivot_search import exact_top_k
 from leafmill.llm.prefix_trie import conversation_trie
 from leafmill.llm.quality import fit_quality, quality_rules
@@ -87,6 +88,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
@@ -100,10 +105,29 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 
 
+def groups_sql(shingle: int, percent: int, columns: str) -> str:
+    """DuckDB SQL of op8 and op13: an inverted join of shingles, and the rows that links reach."""
+    return rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, row, CASE WHEN len(w) >= {shingle} THEN list_distinct(list_transform(range(1, len(w) - {shingle - 2}), lambda i: md5(array_to_string(w[i : i + {shingle - 1}], ' '))))
+                           WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS s FROM texts),
+tokens AS (SELECT row, len(s) AS n, unnest(s) AS t FROM sets WHERE doc_id IS NOT NULL),
+links AS (
+  SELECT a.row AS x, b.row AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.row <> b.row AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+  GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT row AS x, row AS y FROM sets WHERE doc_id IS NOT NULL UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least AS (SELECT r.x AS row, min(s.doc_id) AS component_id FROM reach r JOIN sets s ON s.row = r.y GROUP BY r.x),
+found AS (SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, coalesce(s.doc_id = l.component_id, true) AS kept FROM sets s LEFT JOIN least l ON l.row = s.row)
+SELECT {columns} FROM found"""
+
+
 def crc_sql(text: str) -> str:
     """Unsigned crc32 of an ASCII text in DuckDB SQL."""
     step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
@@ -181,6 +205,7 @@ scored AS (
   FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op8_near_duplicates": groups_sql(5, 75, "*"),
     "op11_merkle_manifest": merkle_sql(levels=5, group_levels=3),
     "op12_prefix_trie": rf"""
 WITH lists AS (
@@ -203,4 +228,5 @@ below AS (
 SELECT n.first AS conv_id, n.d::BIGINT AS depth, up.first AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
        s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
 FROM counted n JOIN below s ON s.node = n.node AND s.d = n.d LEFT JOIN nodes up ON up.node = n.parent AND up.d = n.d - 1""",
+    "op13_jaccard_join": groups_sql(3, 90, "* EXCLUDE (kept)"),
 }
