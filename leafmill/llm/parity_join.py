@@ -55,7 +55,7 @@ def sketch_parts(tokens: np.ndarray, parts: int, turn: int) -> tuple[np.ndarray,
     A token has its place, one bit among 2**64, in the part that its high bits choose. Bits that are hit twice cancel; the
     number is the XOR of the places whose bit is set, so sets whose parts are alike agree, whatever was cancelled.
     """
-    place = tokens if not turn else np.sort(mix(tokens ^ (_SALT * np.uint64(turn))))
+    place = tokens if not turn else np.sort(mix(tokens ^ mix(np.array([turn], np.uint64) * _SALT)))
     part = ((place >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     first = np.flatnonzero(run_starts(part))
     out, filled = np.zeros(parts, np.uint64), np.zeros(parts, bool)
