@@ -39,7 +39,7 @@ def cosine_topk(
     return scored.filter(F.col("score") >= min_score).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _with_first(scored: DataFrame, k: int, first_score: Column) -> DataFrame:
+def with_first(scored: DataFrame, k: int, first_score: Column) -> DataFrame:
     """Top k by score then chunk order, where chunk 0 takes the last place if it is not already in."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     top = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -82,7 +82,7 @@ def hybrid_topk(
     ).withColumn(
         "score", F.col("embedding_score") * embedding_share + F.col("keyword_score") * (1 - embedding_share)
     )
-    return _with_first(scored, k, F.col("score"))
+    return with_first(scored, k, F.col("score"))
 
 
 def keyword_topk(queries: DataFrame, terms: DataFrame, chunks: DataFrame, k: int = CHAT_TOP_K) -> DataFrame:

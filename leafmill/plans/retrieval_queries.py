@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators import chunking, cleaning, lexical, pagination, retrieval
+from leafmill.operators import chunking, cleaning, lexical, pagination, postings, retrieval
 from leafmill.plans import inputs as i
 from leafmill.plans.inputs import tokens_sql, trim_sql, with_ctes
 from leafmill.session import stage_table, table
@@ -198,8 +198,22 @@ FROM flagged WHERE (r <= 3 AND (has_zero OR r < size)) OR (NOT has_zero AND chun
     )
 
 
-QUERIES["hybrid_topk"] = lambda s, d: _hybrid(s, d, "corpus")
+def _hybrid_listed(s, d):
+    """Ranked over block-max posting lists; hybrid_topk_vectors does the same over dense vectors."""
+    chunks = i.small_chunks(s, d)
+    terms = stage_table(lexical.chunk_terms(chunks))
+    vocab = stage_table(lexical.vocab_topn(terms, chunks, DIM))
+    queries = stage_table(questions(s, d))
+    asked = stage_table(postings.query_terms(queries, vocab))
+    lists = stage_table(postings.posting_blocks(terms, vocab, asked))
+    top = postings.hybrid_topk_postings(asked, lists, chunks, queries, 3)
+    return top.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("score", "embedding_score", "keyword_score")])
+
+
+QUERIES["hybrid_topk"] = _hybrid_listed
 ORACLES["hybrid_topk"] = hybrid_sql("corpus")
+QUERIES["hybrid_topk_vectors"] = lambda s, d: _hybrid(s, d, "corpus")
+ORACLES["hybrid_topk_vectors"] = hybrid_sql("corpus")
 QUERIES["hybrid_topk_keyword_only"] = lambda s, d: _hybrid(s, d, "alone")
 ORACLES["hybrid_topk_keyword_only"] = hybrid_sql("alone")
 
