@@ -2,21 +2,29 @@
 
 Running sums, row numbers and greedy segmentation are sequential per key, and one key may own a third of the rows.
 Rows are therefore cut into bounded blocks along their order. Each block is worked on its own, only one small summary
-row per block travels through the per-key step, and the blocks are then finished in parallel.
+row per block travels on, and the blocks are then finished in parallel. Sums over the blocks of a key are a window over
+the summaries; greedy segments are a parallel scan that composes the blocks' step functions in rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.session import stage_table
+
 BLOCK_ROWS = 4096
 SALTS = 16
 
-_BLK = "_blk"
+#: neighbouring blocks whose step functions are joined at once, as a power of two
+FAN_BITS = 6
+
+_BLK, _GROUP = "_blk", "_group"
 
 
 def block_of(pos: str | Column, rows: int = BLOCK_ROWS) -> Column:
@@ -130,28 +138,32 @@ def _next_starts(a: np.ndarray, e: np.ndarray, hard: np.ndarray, limit: float) -
     return np.where(hard, np.arange(len(a)) + 1, nxt)
 
 
-def block_steps(a: np.ndarray, e: np.ndarray, hard: np.ndarray, limit: float) -> tuple[list[float], list[float]]:
+def _jumps(nxt: np.ndarray) -> list[np.ndarray]:
+    """Tables of 1, 2, 4, ... steps along `nxt`; n is a place that leads to itself."""
+    n = len(nxt)
+    tables = [np.append(nxt, n)]
+    while 1 << len(tables) <= n:
+        tables.append(tables[-1][tables[-1]])
+    return tables
+
+
+def block_steps(a: np.ndarray, e: np.ndarray, hard: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """The block as a step function: entry anchors below/at each break, and the anchor left open at its end.
 
     `exits[0]` holds for no open segment and for anchors below the first break; NaN means "the entry anchor stays".
+    Breaks are anchors plus `limit`.
     """
     n = len(a)
     nxt = _next_starts(a, e, hard, limit)
-    left = np.empty(n)
-    for i in range(n - 1, -1, -1):
-        if nxt[i] >= n:
-            left[i] = NO_ANCHOR if hard[i] else a[i]
-        else:
-            left[i] = left[nxt[i]]
+    # the last segment start that every row leads to
+    final = np.where(nxt >= n, np.arange(n), nxt)
+    for _ in range(max(1, n.bit_length())):
+        final = final[final]
+    left = np.append(np.where(hard[final], NO_ANCHOR, a[final]), np.nan)
     reach = int(min(np.searchsorted(e, a[0] + limit, side="right"), _hard_after(hard)[0]))
-    breaks: list[float] = []
-    exits: list[float] = [float(left[0])]
-    for first in range(1, reach + 1):
-        value = float(left[first]) if first < n else float("nan")
-        if value != exits[-1]:
-            breaks.append(float(e[first - 1]))
-            exits.append(value)
-    return breaks, exits
+    values = left[: reach + 1]
+    first = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return np.asarray(e, dtype=float)[first - 1], values[np.append(0, first)]
 
 
 def block_anchors(a: np.ndarray, e: np.ndarray, hard: np.ndarray, limit: float, entry: float) -> np.ndarray:
@@ -159,18 +171,50 @@ def block_anchors(a: np.ndarray, e: np.ndarray, hard: np.ndarray, limit: float,
     n = len(a)
     nxt = _next_starts(a, e, hard, limit)
     first = 0 if entry == NO_ANCHOR else int(min(np.searchsorted(e, entry + limit, side="right"), _hard_after(hard)[0]))
-    out = np.full(n, entry)
-    i = first
-    while i < n:
-        out[i : nxt[i]] = a[i]
-        i = int(nxt[i])
-    return out
-
-
-def entry_anchors(blocks: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    """Anchor open at the start of every block, for keys with more than one block.
-
-    `blocks` has keys, `_blk`, and the arrays `a`, `e`, `hard` plus `span` (the coordinate length of the block).
+    starts = np.zeros(n + 1, dtype=bool)
+    starts[first] = True
+    for table in reversed(_jumps(nxt)):
+        starts[table[np.flatnonzero(starts)]] = True
+    at = np.maximum.accumulate(np.where(starts[:n], np.arange(n), -1))
+    return np.where(at >= 0, np.asarray(a, dtype=float)[at], entry)
+
+
+def apply_steps(breaks: np.ndarray, exits: np.ndarray, span: float, limit: float, anchor: np.ndarray) -> np.ndarray:
+    """Anchors open behind a block, relative to its end, for anchors that are open in front of it."""
+    value = exits[np.searchsorted(breaks, anchor + limit, side="right")]
+    return np.where(np.isnan(value), anchor, value) - span
+
+
+def compose_steps(first: tuple, second: tuple, limit: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Step function (breaks, exits, span) of two neighbouring blocks as one. Associative, so any neighbours may be joined
+    first. Where the first block keeps the entry anchor, the breaks of the second show through."""
+    (breaks, exits, span), (later_breaks, later_exits, later_span) = first, second
+    total = span + later_span
+    # exits are relative to the first block's start; seen from behind it they are smaller by its span
+    through = apply_steps(later_breaks, later_exits, later_span, limit, np.where(np.isnan(exits), 0.0, exits) - span) + total
+    if not np.isnan(exits[-1]):
+        return _merged(breaks, np.where(np.isnan(exits), np.nan, through), total)
+    # only the highest anchors are kept, so only the last piece is open
+    low = breaks[-1] if len(breaks) else NO_ANCHOR
+    shown = later_breaks + span > low
+    at = np.searchsorted(later_breaks + span, low, side="right")
+    inner = np.append(later_exits[at], later_exits[1:][shown]) + span
+    return _merged(np.append(breaks, later_breaks[shown] + span), np.append(through[:-1], inner), total)
+
+
+def _merged(breaks: np.ndarray, exits: np.ndarray, span: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Neighbouring pieces that give the same are one piece."""
+    same = (exits[1:] == exits[:-1]) | (np.isnan(exits[1:]) & np.isnan(exits[:-1]))
+    return breaks[~same], exits[np.append(True, ~same)], span
+
+
+def entry_anchors(blocks: DataFrame, keys: list[str], limit: float, fan_bits: int = FAN_BITS) -> DataFrame:
+    """Anchor open at the start of every block, for keys with more than one block; a parallel scan.
+
+    `blocks` has keys, `_blk`, and the arrays `a`, `e`, `hard` plus `span` (the coordinate length of the block); it is read
+    more than once, so callers hand in a written table. Going up, the step functions of up to 64 neighbouring blocks of a
+    key are composed into one, round by round, until a key has one left; going down, the anchor in front of a group passes
+    through its members. No task sees more than one group of one key, however many blocks the key has.
     """
 
     @F.pandas_udf("struct<breaks:array<double>,exits:array<double>>")
@@ -178,22 +222,46 @@ def entry_anchors(blocks: DataFrame, keys: list[str], limit: float) -> DataFrame
         rows = [block_steps(np.asarray(x), np.asarray(y), np.asarray(h), limit) for x, y, h in zip(a, e, hard)]
         return pd.DataFrame({"breaks": [r[0] for r in rows], "exits": [r[1] for r in rows]})
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(_BLK)
-        anchor, entries = NO_ANCHOR, []
-        for breaks, exits, span in zip(pdf["breaks"], pdf["exits"], pdf["span"]):
-            entries.append(anchor)
-            value = exits[int(np.searchsorted(np.asarray(breaks, dtype=float), anchor + limit, side="right"))]
-            anchor = (anchor if np.isnan(value) else value) - span
-        return pdf[[*keys, _BLK]].assign(entry=entries)
+    def functions(pdf: pd.DataFrame) -> list[tuple]:
+        rows = pdf.sort_values(_BLK)
+        return [(np.asarray(b, dtype=float), np.asarray(x, dtype=float), s) for b, x, s in zip(rows["breaks"], rows["exits"], rows["span"])]
 
-    many = blocks.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n > 1")
-    summary = many.select(*keys, _BLK, "span", steps("a", "e", "hard").alias("s")).select(
-        *keys, _BLK, "span", "s.breaks", "s.exits"
-    )
-    key_fields = [blocks.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, blocks.schema[_BLK], T.StructField("entry", T.DoubleType())])
-    return summary.groupBy(*keys).applyInPandas(chain, schema)
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(lambda f, g: compose_steps(f, g, limit), functions(pdf))
+        return pdf[[*keys, _GROUP]].head(1).assign(breaks=[whole[0]], exits=[whole[1]], span=[whole[2]])
+
+    def down(members: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        anchor, entries = (float(above["entry"].iloc[0]) if len(above) else NO_ANCHOR), []
+        for breaks, exits, span in functions(members):
+            entries.append(anchor)
+            anchor = float(apply_steps(breaks, exits, span, limit, np.float64(anchor)))
+        return members.sort_values(_BLK)[[*keys, _BLK]].assign(entry=entries)
+
+    by_key = [blocks.schema[k] for k in keys]
+    entry_schema = T.StructType([*by_key, T.StructField(_BLK, T.LongType()), T.StructField("entry", T.DoubleType())])
+    arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("breaks", "exits")]
+    group_schema = T.StructType([*by_key, T.StructField(_GROUP, T.LongType()), *arrays, T.StructField("span", T.DoubleType())])
+    group = F.shiftright(F.col(_BLK), fan_bits)
+
+    several = blocks.groupBy(*keys).agg(F.max(_BLK).alias("_high"), F.min(_BLK).alias("_low")).filter("_high > _low")
+    several = stage_table(several)
+    highest, lowest = several.agg(F.max("_high"), F.min("_low")).first()
+    if highest is None:
+        return blocks.sparkSession.createDataFrame([], entry_schema)
+    highest -= lowest
+    summary = blocks.join(several, keys, "left_semi").select(*keys, (F.col(_BLK) - lowest).cast("bigint").alias(_BLK), F.col("span").cast("double").alias("span"), steps("a", "e", "hard").alias("s"))
+    levels = [stage_table(summary.select(*keys, _BLK, "span", "s.breaks", "s.exits"))]
+    while highest >> fan_bits:
+        grouped = levels[-1].withColumn(_GROUP, group).groupBy(*keys, _GROUP).applyInPandas(up, group_schema)
+        levels.append(stage_table(grouped.withColumnRenamed(_GROUP, _BLK)))
+        highest >>= fan_bits
+    # above the last round every key has one group, with nothing in front
+    entries = levels[-1].select(*keys, F.lit(0).cast("bigint").alias(_GROUP)).distinct().withColumn("entry", F.lit(NO_ANCHOR))
+    for level in reversed(levels):
+        members = level.withColumn(_GROUP, group).groupBy(*keys, _GROUP)
+        entries = members.cogroup(entries.groupBy(*keys, _GROUP)).applyInPandas(down, entry_schema)
+        entries = stage_table(entries.filter(F.col(_BLK).isNotNull())).withColumnRenamed(_BLK, _GROUP)
+    return entries.select(*keys, (F.col(_GROUP) + lowest).alias(_BLK), "entry")
 
 
 def point_segments(points: DataFrame, keys: list[str], coord: str, limit: float, block: Column) -> DataFrame:
@@ -207,6 +275,7 @@ def point_segments(points: DataFrame, keys: list[str], coord: str, limit: float,
         F.transform("a", lambda _: F.lit(False)).alias("hard"),
         F.lit(0.0).alias("span"),
     )
+    blocks = stage_table(blocks)
     entries = entry_anchors(blocks, keys, limit)
 
     @F.pandas_udf("array<double>")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.blocks import _BLK, NO_ANCHOR, block_anchors, block_of, entry_anchors
 from leafmill.functions.text import PAGE_JOINER, is_blank, last_index, let, trim_ws
+from leafmill.session import stage_table
 
 # Fixed values.
 CHUNK_CHARS = 4800
@@ -77,7 +78,7 @@ def _page_blocks(pages: DataFrame, max_chars: int) -> DataFrame:
 def _assign_chunks(pages: DataFrame, max_chars: int) -> DataFrame:
     """(doc_id, block, page -> first chunk id, whether the chunk may span blocks)."""
     limit = float(max_chars + 2 * len(PAGE_JOINER))
-    blocks = _page_blocks(pages, max_chars)
+    blocks = stage_table(_page_blocks(pages, max_chars))
     entries = entry_anchors(blocks, ["doc_id"], limit)
 
     @F.pandas_udf("struct<offset:array<int>,total:int>")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from leafmill.functions.blocks import block_of, carry_forward, number_rows, prefix_sums
+from leafmill.functions.blocks import NO_ANCHOR, apply_steps, block_anchors, block_of, block_steps, carry_forward, compose_steps, entry_anchors, number_rows, prefix_sums
 from leafmill.operators import diffing, grounding, pagesets, pagination
 from leafmill.streaming import limits
 
@@ -54,6 +54,56 @@ def test_blocked_sums_and_carry_match_plain_windows(spark):
     assert sorted((tuple(r) for r in got.select("k", "pos", "before", "n", "last").collect()), key=lambda r: r[:2]) == want
 
 
+def random_blocks(rng, count, rows):
+    """Blocks of one key, coordinates relative to the block, as page packing hands them in."""
+    out = []
+    for _ in range(count):
+        width = rng.integers(1, 40, int(rng.integers(1, rows)))
+        end = np.cumsum(width).astype(float)
+        out.append((end - width, end, rng.random(len(width)) < 0.1, float(end[-1])))
+    return out
+
+
+def test_composed_steps_are_associative_and_agree_with_replay():
+    rng = np.random.default_rng(7)
+    for limit in (5.0, 60.0, 900.0):
+        for _ in range(60):
+            blocks = random_blocks(rng, 5, 9)
+            steps = [(*block_steps(a, e, h, limit), span) for a, e, h, span in blocks]
+            left = steps[0]
+            for s in steps[1:]:
+                left = compose_steps(left, s, limit)
+            right = steps[-1]
+            for s in reversed(steps[:-1]):
+                right = compose_steps(s, right, limit)
+            for entry in (NO_ANCHOR, *(-rng.integers(0, 950, 12).astype(float))):
+                at = entry
+                for a, e, h, span in blocks:
+                    # a hard row and a row past the limit leave nothing open, or themselves
+                    anchors = block_anchors(a, e, h, limit, at)
+                    at = (NO_ANCHOR if h[-1] else anchors[-1]) - span
+                for whole in (left, right):
+                    assert float(apply_steps(*whole[:2], whole[2], limit, np.float64(entry))) == at
+
+
+def test_entry_anchors_over_rounds_of_many_blocks(spark):
+    """A key of 200 blocks with gaps, scanned two blocks at a time, and keys of one, two and negative block numbers."""
+    rng = np.random.default_rng(19)
+    limit, rows, want = 90.0, [], {}
+    for key, numbers in (("hot", np.sort(rng.choice(5000, 200, replace=False))), ("two", [3, 9]), ("one", [0]), ("low", [-70, -1, 0, 80])):
+        at = NO_ANCHOR
+        for number, (a, e, h, span) in zip(numbers, random_blocks(rng, len(numbers), 12)):
+            rows.append((key, int(number), a.tolist(), e.tolist(), h.tolist(), span))
+            want[key, int(number)] = at
+            anchors = block_anchors(a, e, h, limit, at)
+            at = (NO_ANCHOR if h[-1] else anchors[-1]) - span
+    df = spark.createDataFrame(rows, "k string, _blk bigint, a array<double>, e array<double>, hard array<boolean>, span double")
+    del want["one", 0]
+    for bits in (1, 6):
+        assert {(r["k"], r["_blk"]): r["entry"] for r in entry_anchors(df, ["k"], limit, bits).collect()} == want
+    assert entry_anchors(df.filter("k = 'one'"), ["k"], limit).collect() == []
+
+
 def test_rate_limit_hot_key(spark):
     """Brute force over a key with bursts, gaps and ties."""
     rng = np.random.default_rng(8)
