@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.blocks import _BLK, NO_ANCHOR, block_anchors, block_of, entry_anchors
-from leafmill.functions.text import PAGE_JOINER, is_blank, last_index, let, trim_ws
+from leafmill.functions.text import PAGE_JOINER, is_blank, trim_ws
 from leafmill.session import stage_table
 
 # Fixed values.
@@ -25,6 +27,8 @@ PART_BREAKS = ("\n\n", ". ", "\n", " ")
 PART_TRUNCATED = "\n\n[…document continues; truncated for length…]"
 
 PAGES_PER_BLOCK = 4096
+#: characters of parts that leave a task at once
+PARTS_BYTES = 8 << 20
 
 
 def split_large_page(page: Column, text: Column, max_chars: int) -> Column:
@@ -148,59 +152,65 @@ def chunk_pages(pages: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     )
 
 
+def part_cuts(text: str, size: int, overlap: int, max_parts: int | None = None) -> Iterator[tuple[int, int]]:
+    """(start, end) of the overlapping parts of a text.
+
+    Only the last `PART_TAIL` characters in front of a cut are looked at, so the time grows with the length of the text.
+    """
+    n, at, count = len(text), 0, 0
+    while at >= 0 and (max_parts is None or count < max_parts):
+        end = min(at + size, n)
+        if end < n:
+            tail = end - PART_TAIL
+            back = max(text.rfind(mark, tail, end) for mark in PART_BREAKS) - tail
+            if back > 0 and PART_TAIL - back < PART_BACKOFF:
+                end = tail + back
+        yield at, end
+        at, count = (-1 if end >= n else max(end - overlap, at + 1)), count + 1
+
+
 def chunk_overlap(
     docs: DataFrame, size: int = PART_CHARS, overlap: int = PART_OVERLAP, max_parts: int | None = None
 ) -> DataFrame:
     """Overlapping character parts (doc_id, chunk_no, text) that back off to the right-most break near their end.
 
     All of a document is cut unless `max_parts` (suggested: MAX_PARTS) is given; then the last part takes the rest, or a
-    marker where that is longer than a part.
+    marker where that is longer than a part. A text of one part stays in the JVM; a longer one is cut in one pass over it,
+    and its parts leave in batches of about `PARTS_BYTES`.
     """
     if size < PART_TAIL:
         raise ValueError(f"size must be at least {PART_TAIL}")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.length(text)
-
-    def cut_at(pos: Column) -> Column:
-        end = F.least(pos + size, n)
-        tail = F.substring(text, end - PART_TAIL + 1, F.lit(PART_TAIL))
-        best = let(tail, lambda t: F.greatest(*[last_index(t, mark) for mark in PART_BREAKS]))
-        backed = let(best, lambda b: F.when((b > 0) & (F.lit(PART_TAIL) - b < PART_BACKOFF), end - PART_TAIL + b).otherwise(end))
-        return F.when(end < n, backed).otherwise(end).cast("int")
-
-    def advance(acc: Column, cut: Column) -> Column:
-        following = F.when(cut >= n, F.lit(-1)).otherwise(F.greatest(cut - overlap, acc["pos"] + 1)).cast("int")
-        return F.struct(
-            following.alias("pos"),
-            F.array_append(acc["cuts"], F.struct(acc["pos"].alias("s"), cut.alias("e"))).alias("cuts"),
-        )
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("chunk_no", T.IntegerType()), T.StructField("text", T.StringType())])
 
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["pos"] < 0, acc).otherwise(let(cut_at(acc["pos"]), lambda cut: advance(acc, cut)))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int>>").alias("cuts"))
-    # every part but the last moves on by this much at least
-    least_step = max(1, size - overlap - PART_BACKOFF)
-    steps = F.ceil(n / least_step).cast("int") + 1 if max_parts is None else F.lit(max_parts)
-    folded = F.aggregate(F.sequence(F.lit(1), steps), start, step)
-    cut = F.substring(text, F.col("cut.s") + 1, F.col("cut.e") - F.col("cut.s"))
-    rest = F.substring(text, F.col("pos") + 1, n)
-    is_last = F.lit(False) if max_parts is None else (F.col("chunk_no") == max_parts - 1) & (F.col("pos") >= 0)
-    tail = (
-        F.when(~is_last | (F.length(rest) == 0) | (rest == cut), F.lit(""))
-        .when(F.length(rest) > size, F.lit(PART_TRUNCATED))
-        .otherwise(F.concat(F.lit(PAGE_JOINER), rest))
-    )
-    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= size).select(
-        "doc_id", F.lit(0).alias("chunk_no"), text.alias("text")
-    )
-    long = (
-        docs.filter(F.length("text") > size)
-        .select("doc_id", text.alias("text"), folded.alias("f"))
-        .select("doc_id", "text", F.col("f.pos").alias("pos"), F.posexplode("f.cuts").alias("chunk_no", "cut"))
-        .select("doc_id", "chunk_no", F.concat(cut, tail).alias("text"))
-    )
-    return short.unionByName(long)
+    def parts_of(text: str) -> Iterator[str]:
+        for no, (start, end) in enumerate(part_cuts(text, size, overlap, max_parts)):
+            part = text[start:end]
+            if no + 1 == max_parts and end < len(text):
+                rest = text[max(end - overlap, start + 1) :]
+                part += "" if rest == part else PART_TRUNCATED if len(rest) > size else PAGE_JOINER + rest
+            yield part
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for row in range(batch.num_rows):
+                first, held, chars = 0, [], 0
+                for part in parts_of(batch.column("text")[row].as_py()):
+                    held.append(part)
+                    chars += len(part)
+                    if chars >= PARTS_BYTES:
+                        yield placed(ids[row], first, held)
+                        first, held, chars = first + len(held), [], 0
+                if held:
+                    yield placed(ids[row], first, held)
+
+    def placed(key: pa.Scalar, first: int, parts: list[str]) -> pa.RecordBatch:
+        numbers = pa.array(range(first, first + len(parts)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.repeat(key, len(parts)), numbers, pa.array(parts, pa.string())], ["doc_id", "chunk_no", "text"])
+
+    one = F.coalesce(F.length("text"), F.lit(0)) <= size
+    short = docs.filter(one).select("doc_id", F.lit(0).alias("chunk_no"), F.coalesce("text", F.lit("")).alias("text"))
+    return short.unionByName(docs.filter(~one).select("doc_id", "text").mapInArrow(cut, schema))
 
 
 def map_reduce_docs(

@@ -1,4 +1,4 @@
-"""Set operations on page tables. Pages of a document are numbered 1..n without gaps."""
+"""Set operations on page tables. Pages of a document are numbered from 1; numbers may be missing."""
 
 from __future__ import annotations
 
@@ -16,13 +16,21 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
 
 
+def page_extents(pages: DataFrame) -> DataFrame:
+    """(doc_id, pages): the last page number of every document."""
+    return pages.groupBy("doc_id").agg(F.max("page").alias("pages"))
+
+
 def renumber(pages: DataFrame) -> DataFrame:
     return number_rows(pages.withColumnRenamed("page", "_old"), ["doc_id"], ["_old"], block_of("_old"), "page").drop("_old")
 
 
 def concat_docs(pages: DataFrame, order: DataFrame) -> DataFrame:
-    """Merge documents: `order` is (out_id, pos, doc_id); pages are numbered through (out_id, page, …)."""
-    sized = order.join(page_counts(pages), "doc_id")
+    """Merge documents: `order` is (out_id, pos, doc_id); pages are numbered through (out_id, page, …).
+
+    A document takes as many numbers as its last page has, so gaps inside it stay gaps.
+    """
+    sized = order.join(page_extents(pages), "doc_id")
     offsets = prefix_sums(sized, ["out_id"], ["pos"], {"offset": F.col("pages")}, block_of("pos")).select(
         "out_id", "doc_id", "offset", "pages"
     )
@@ -43,7 +51,7 @@ def split_docs(pages: DataFrame, ranges: DataFrame, tail: bool = False) -> DataF
     last = (
         ranges.groupBy("doc_id")
         .agg((F.max("part") + 1).alias("part"), F.max(F.array_max("pages")).alias("last"))
-        .join(page_counts(pages), "doc_id")
+        .join(page_extents(pages), "doc_id")
     )
     rest = (
         block_join(src, last, ["doc_id"], "source_page", "pages")
@@ -98,7 +106,11 @@ def duplicate_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
 def page_selector(selectors: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, page) named by selectors such as 'all', 'first', 'last' or '1-3,5'; bad tokens are ignored."""
     total = F.col("pages").cast("int")
-    lead = lambda s: F.nullif(F.regexp_extract(s, r"^\s*(\+?\d{1,9})", 1), F.lit("")).cast("int")
+
+    def lead(s: Column) -> Column:
+        """The number a text starts with; longer ones than any page count are as good as the largest."""
+        digits = F.regexp_extract(s, r"^\s*\+?0*(\d+)", 1)
+        return F.when(F.length(digits) > 9, F.lit(999_999_999)).otherwise(F.nullif(digits, F.lit("")).cast("int"))
 
     def bounds(token: Column) -> Column:
         t = trim_ws(token)

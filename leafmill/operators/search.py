@@ -52,7 +52,13 @@ def match_starts(line: Column, needle: Column, case_sensitive: bool = False) ->
         # the first piece starts a match only when the line itself starts with the needle
         return F.when(F.startswith(hay, pin), starts).otherwise(F.slice(starts, F.lit(2), F.size(starts)))
 
-    found = let(F.aggregate(pieces, start, step)["starts"], drop_lead)
+    def as_written(starts: Column) -> Column:
+        # lower-casing makes some characters longer; then a start counts the characters of the line that end before it
+        ends = F.transform(F.sequence(F.lit(1), F.length(line)), lambda k: F.length(F.lower(F.substring(line, F.lit(1), k))))
+        moved = F.transform(starts, lambda at: F.size(F.filter(ends, lambda e: e <= at)))
+        return F.when(F.length(hay) == F.length(line), starts).otherwise(moved)
+
+    found = let(F.aggregate(pieces, start, step)["starts"], lambda starts: as_written(drop_lead(starts)))
     return F.when(F.contains(hay, pin), found).otherwise(F.array().cast("array<int>"))
 
 

@@ -177,8 +177,24 @@ def anchored_pages(docs: DataFrame) -> DataFrame:
     )
 
 
-# Non-characters: they cannot occur in text and mark a heading, its end, a paragraph break and a line break.
-_HEAD, _HEAD_END, _BREAK, _LINE = "﷐", "﷑", "﷒", "﷓"
+# Non-characters that mark a heading, its end, a paragraph break and a line break. A text that holds such characters has
+# them spelled out with `_SPELL` meanwhile.
+_MARKS = _HEAD, _HEAD_END, _BREAK, _LINE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_SPELL = "\ufdd4"
+
+
+def _spelled(text: Column) -> Column:
+    out = F.replace(text, F.lit(_SPELL), F.lit(f"{_SPELL}s"))
+    for k, mark in enumerate(_MARKS):
+        out = F.replace(out, F.lit(mark), F.lit(f"{_SPELL}{k}"))
+    return F.when(text.rlike(f"[{_HEAD}-{_SPELL}]"), out).otherwise(text)
+
+
+def _unspelled(text: Column) -> Column:
+    out = text
+    for k, mark in enumerate(_MARKS):
+        out = F.replace(out, F.lit(f"{_SPELL}{k}"), F.lit(mark))
+    return F.when(F.contains(text, F.lit(_SPELL)), F.replace(out, F.lit(f"{_SPELL}s"), F.lit(_SPELL))).otherwise(text)
 
 
 def page_paragraphs(text: Column) -> Column:
@@ -194,14 +210,14 @@ def page_paragraphs(text: Column) -> Column:
             .otherwise(line)
         )
 
-    marked = F.array_join(F.transform(F.transform(F.split(text, r"\r?\n"), trim_ws), mark), _LINE)
+    marked = F.array_join(F.transform(F.transform(F.split(_spelled(text), r"\r?\n"), trim_ws), mark), _LINE)
 
     def paragraphs(body: Column, section: Column) -> Column:
         joined = F.transform(
             F.split(body, _BREAK), lambda p: trim_ws(F.array_join(F.filter(F.split(p, _LINE), lambda x: F.length(x) > 0), " "))
         )
         return F.transform(
-            F.filter(joined, lambda p: F.length(p) > 0), lambda p: F.struct(section.alias("section"), p.alias("text"))
+            F.filter(joined, lambda p: F.length(p) > 0), lambda p: F.struct(_unspelled(section).alias("section"), _unspelled(p).alias("text"))
         )
 
     def of_section(piece: Column, i: Column) -> Column:

@@ -216,8 +216,8 @@ SELECT doc_id, pa.n AS a_pages, pa.c::BIGINT AS a_chars, pb.n AS b_pages, pb.c::
 FROM pa JOIN pb USING (doc_id) JOIN sa USING (doc_id) JOIN sb USING (doc_id) LEFT JOIN common USING (doc_id)""",
 )
 
-QUERIES["word_diffs"] = lambda s, d: diffing.word_diffs(*versions(s, d), cap=10)
-ORACLES["word_diffs"] = with_ctes(
+QUERIES["word_diffs_limited"] = lambda s, d: diffing.word_diffs(*versions(s, d), cap=10)
+ORACLES["word_diffs_limited"] = with_ctes(
     [VERSIONS_SQL, _words_sql("a"), _words_sql("b")],
     """, single AS (
   SELECT doc_id, 'only_a' AS side, word, min(page * 100000 + k) AS f FROM wa ANTI JOIN wb USING (doc_id, word) GROUP BY doc_id, word
@@ -225,8 +225,8 @@ ORACLES["word_diffs"] = with_ctes(
 SELECT doc_id, side, rank::INTEGER AS rank, word FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY f) AS rank FROM single) WHERE rank <= 10""",
 )
-QUERIES["word_diffs_whole"] = lambda s, d: diffing.word_diffs(*versions(s, d))
-ORACLES["word_diffs_whole"] = ORACLES["word_diffs"].removesuffix(" WHERE rank <= 10")
+QUERIES["word_diffs"] = lambda s, d: diffing.word_diffs(*versions(s, d))
+ORACLES["word_diffs"] = ORACLES["word_diffs_limited"].removesuffix(" WHERE rank <= 10")
 
 QUERIES["interleave_pages"] = lambda s, d: diffing.interleave_pages(*versions(s, d))
 ORACLES["interleave_pages"] = with_ctes(

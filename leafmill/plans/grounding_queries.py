@@ -257,8 +257,8 @@ def _merged(s, d, max_n=None):
     return out.select("doc_id", "hl_id", "text", "importance", "confidence", "position")
 
 
-QUERIES["merge_highlights"] = lambda s, d: _merged(s, d, 10)
-ORACLES["merge_highlights"] = with_ctes(
+QUERIES["merge_highlights_limited"] = lambda s, d: _merged(s, d, 10)
+ORACLES["merge_highlights_limited"] = with_ctes(
     HIGHLIGHTS_SQL,
     f""", ranked AS (
   SELECT *, {norm_sql('text')} AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY CASE importance WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, confidence DESC, hl_id) AS rk FROM norm_hl),
@@ -270,8 +270,8 @@ kept AS (
 SELECT doc_id, hl_id, text, importance, confidence, position::INTEGER AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rk) AS position FROM kept) WHERE position <= 10""",
 )
-QUERIES["merge_highlights_whole"] = _merged
-ORACLES["merge_highlights_whole"] = ORACLES["merge_highlights"].removesuffix(" WHERE position <= 10")
+QUERIES["merge_highlights"] = _merged
+ORACLES["merge_highlights"] = ORACLES["merge_highlights_limited"].removesuffix(" WHERE position <= 10")
 
 QUERIES["highlight_listing"] = lambda s, d: grounding.highlight_listing(highlights(s, d))
 ORACLES["highlight_listing"] = with_ctes(

@@ -385,7 +385,7 @@ def _bib_sql(style: str) -> str:
 
 
 for _style in citations.STYLES:
-    QUERIES[f"bibliography_{_style}"] = lambda s, d, st=_style: citations.bibliography(_parsed(s, d), st, citations.RAW_TITLE_CHARS)
-    ORACLES[f"bibliography_{_style}"] = _bib_sql(_style)
-    QUERIES[f"bibliography_{_style}_whole"] = lambda s, d, st=_style: citations.bibliography(_parsed(s, d), st)
-    ORACLES[f"bibliography_{_style}_whole"] = _bib_sql(_style).replace("substring(raw, 1, 100)", "raw")
+    QUERIES[f"bibliography_{_style}_limited"] = lambda s, d, st=_style: citations.bibliography(_parsed(s, d), st, citations.RAW_TITLE_CHARS)
+    ORACLES[f"bibliography_{_style}_limited"] = _bib_sql(_style)
+    QUERIES[f"bibliography_{_style}"] = lambda s, d, st=_style: citations.bibliography(_parsed(s, d), st)
+    ORACLES[f"bibliography_{_style}"] = _bib_sql(_style).replace("substring(raw, 1, 100)", "raw")

@@ -235,8 +235,8 @@ part AS (
 spine AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN pos WHEN pos = 1 THEN 0 ELSE 2 END AS pos, href, html, doc_id % 5 <> 0 AS listed FROM part)"""
 QUERIES["epub_spine"] = lambda s, d: files.epub_spine(*_epub(s, d))
 ORACLES["epub_spine"] = with_ctes(_EPUB_SQL, "SELECT * FROM spine")
-QUERIES["epub_chapters"] = lambda s, d: files.epub_chapters(*_epub(s, d), 100)
-ORACLES["epub_chapters"] = with_ctes(
+QUERIES["epub_chapters_limited"] = lambda s, d: files.epub_chapters(*_epub(s, d), 100)
+ORACLES["epub_chapters_limited"] = with_ctes(
     _EPUB_SQL,
     f""", read AS (
   SELECT doc_id, pos, listed, {plain_sql('html')} AS text, CASE WHEN regexp_matches(html, '(?i)<h[1-3][^>]*>[\\s\\S]*?</h[1-3]>')
@@ -244,8 +244,8 @@ ORACLES["epub_chapters"] = with_ctes(
 numbered AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INTEGER AS page FROM read WHERE length(text) >= 5 OR NOT listed)
 SELECT doc_id, page, CASE WHEN listed THEN coalesce(title, 'Chapter ' || page) ELSE 'Section ' || page END AS title, text FROM numbered WHERE text <> ''""",
 )
-QUERIES["epub_chapters_whole"] = lambda s, d: files.epub_chapters(*_epub(s, d))
-ORACLES["epub_chapters_whole"] = ORACLES["epub_chapters"].replace(", 1, 100) END AS title", ", 1) END AS title")
+QUERIES["epub_chapters"] = lambda s, d: files.epub_chapters(*_epub(s, d))
+ORACLES["epub_chapters"] = ORACLES["epub_chapters_limited"].replace(", 1, 100) END AS title", ", 1) END AS title")
 
 
 # ---- sink and retention ---------------------------------------------------------------------------------------------

@@ -53,8 +53,8 @@ def _chapters(s, d, title_chars=None):
     return structure.html_chapters(parts.select("doc_id", (F.col("page_id") * 3 + F.col("k")).alias("pos"), "html"), title_chars)
 
 
-QUERIES["html_chapters"] = lambda s, d: _chapters(s, d, structure.TITLE_CHARS)
-ORACLES["html_chapters"] = with_ctes(
+QUERIES["html_chapters_limited"] = lambda s, d: _chapters(s, d, structure.TITLE_CHARS)
+ORACLES["html_chapters_limited"] = with_ctes(
     HTML_PAGES_SQL,
     f""", parts AS (
   SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) AS doc_id, page_id * 3 + k AS pos,
@@ -68,8 +68,8 @@ read AS (
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INTEGER AS page FROM read WHERE length(text) >= 5)
 SELECT doc_id, page, text, false AS was_ocr, length(text)::INTEGER AS char_count, coalesce(title, 'Chapter ' || page) AS chapter_title FROM numbered""",
 )
-QUERIES["html_chapters_whole"] = _chapters
-ORACLES["html_chapters_whole"] = ORACLES["html_chapters"].replace(", 1, 100) END AS title", ", 1) END AS title")
+QUERIES["html_chapters"] = _chapters
+ORACLES["html_chapters"] = ORACLES["html_chapters_limited"].replace(", 1, 100) END AS title", ", 1) END AS title")
 
 QUERIES["html_blocks"] = lambda s, d: structure.html_blocks(html_pages(s, d))
 

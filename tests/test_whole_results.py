@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from leafmill.operators import chunking, citations, diffing, grounding, pagesets, profiling, responses, retrieval, search, structure
@@ -141,3 +142,68 @@ def test_long_headings_and_raw_entries_are_whole(spark):
     for style in citations.STYLES:
         assert long in row.select(citations.format_citation(style)).first()[0]
         assert long not in row.select(citations.format_citation(style, 100)).first()[0]
+
+
+def test_overlapping_parts_follow_the_rule_step_by_step(spark):
+    rng = np.random.default_rng(2)
+    marks = np.array([" ", ". ", "\n", "\n\n", "é", "漢字", "x" * 40])
+    texts = ["".join(rng.choice(marks, n, p=[0.1, 0.05, 0.03, 0.02, 0.3, 0.2, 0.3])) for n in (0, 1, 300, 900, 4000)] + ["y" * 20_001, "z" * 2000, None]
+
+    def brute(text):
+        out, at, text = [], 0, text or ""
+        while at >= 0:
+            end = min(at + 2100, len(text))
+            if end < len(text):
+                tail = text[end - 2000 : end]
+                best = max(tail.rfind(m) for m in ("\n\n", ". ", "\n", " "))
+                end = end - 2000 + best if best > 0 and 2000 - best < 1500 else end
+            out.append(text[at:end])
+            at = -1 if end >= len(text) else max(end - 150, at + 1)
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in chunking.chunk_overlap(docs, 2100, 150).collect())
+    assert got == [(i, k, p) for i, t in enumerate(texts) for k, p in enumerate(brute(t))]
+
+
+def test_cutting_takes_time_in_proportion_to_the_text():
+    import time
+
+    def seconds(n):
+        text = "some words. " * (n // 12)
+        start = time.process_time()
+        parts = sum(1 for _ in chunking.part_cuts(text, 2000, 100))
+        return (time.process_time() - start) / parts
+
+    seconds(1 << 20)
+    assert seconds(16 << 20) < 4 * seconds(1 << 20)
+
+
+def test_pages_after_a_gap_stay(spark):
+    pages = spark.createDataFrame([(1, 1, "a"), (1, 5000, "b"), (2, 1, "c"), (2, 9000, "d")], "doc_id long, page int, text string")
+    order = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "out_id long, pos int, doc_id long")
+    joined = pagesets.concat_docs(pages, order).select("page", "text").collect()
+    assert sorted(map(tuple, joined)) == [(1, "a"), (5000, "b"), (5001, "c"), (14000, "d")]
+    ranges = spark.createDataFrame([(1, 1, [1]), (2, 1, [1])], "doc_id long, part int, pages array<int>")
+    split = pagesets.split_docs(pages, ranges, tail=True).select("doc_id", "part", "source_page").collect()
+    assert sorted(map(tuple, split)) == [(1, 1, 1), (1, 2, 5000), (2, 1, 1), (2, 2, 9000)]
+
+
+def test_long_page_numbers_are_read_whole(spark):
+    df = spark.createDataFrame([(1, "0000000012"), (2, "1234567890123"), (3, "19-99999999999"), (4, "+000, 0-2"), (5, "00003-000000000004")], "doc_id long, selector string")
+    counts = spark.createDataFrame([(k, 20) for k in range(1, 6)], "doc_id long, pages int")
+    got = sorted(tuple(r) for r in pagesets.page_selector(df, counts).collect())
+    assert got == [(1, 12), (3, 19), (3, 20), (4, 1), (4, 2), (5, 3), (5, 4)]
+
+
+def test_matches_are_cut_from_the_line_as_written(spark):
+    lines = spark.createDataFrame([(1, 1, "İİ cat DOG dog"), (1, 2, "dog")], "doc_id long, line_no int, text string")
+    got = search.find_matches(lines, ["dog"]).select("line_no", "start", "matched").collect()
+    assert sorted(map(tuple, got)) == [(1, 7, "DOG"), (1, 11, "dog"), (2, 0, "dog")]
+
+
+def test_marks_in_a_text_make_no_sections(spark):
+    text = "one ﷐two﷑ three﷒ four ﷓five ﷔s ﷔0\n\nINTRODUCTION:\nsix ﷔"
+    pages = spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string")
+    got = structure.paragraphs(pages).orderBy("paragraph_index").select("section", "text").collect()
+    assert list(map(tuple, got)) == [(None, "one ﷐two﷑ three﷒ four ﷓five ﷔s ﷔0"), ("INTRODUCTION", "six ﷔")]
