@@ -26,30 +26,32 @@ def overlapping_chunks(huge: DataFrame, boundary: str, chunk: int = CHUNK_CHARS,
     """(row, text) to (row, k, last, piece, head, tail): `piece` is chunk k with an overlap on both sides.
 
     `head` and `tail` are the nominal cuts inside the piece (before the left overlap ends, after the chunk). Where no
-    stable boundary lies in the overlap after a cut, that overlap is widened (doubled) until one does or the text ends,
-    alike for the chunks on both sides of the cut. The rows are dealt out anew, so one huge text is encoded by many tasks.
+    stable boundary lies in the overlap after a cut, that overlap is widened (doubled, looking at new text only) until one
+    does or the text ends. A stretch without boundaries belongs to the chunk it begins in as a whole: the next chunk starts
+    just before the boundary that ends it. So a text is looked at once, and its pieces are together little longer than it.
+    The rows are dealt out anew, so one huge text is encoded by many tasks.
     """
     schema = "row long, k int, last boolean, piece string, head int, tail int"
+    fields = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("last", pa.bool_()), ("piece", pa.string()), ("head", pa.int32()), ("tail", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = regex.compile(boundary)
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                n, start, reach, k = len(text), 0, 0, 0
-                while True:
-                    stop, ahead = min(start + chunk, n), overlap
-                    while stop < n and stop + ahead < n and resync(at, text, stop, stop + ahead) < 0:
-                        ahead *= 2
-                    left, right = max(start - 1, 0), min(stop + ahead, n)
-                    last = stop >= n or resync(at, text, stop, right) < 0
-                    right = n if last else right
-                    yield pa.RecordBatch.from_pylist(
-                        [{"row": row, "k": k, "last": last, "piece": text[left:right], "head": start - left, "tail": stop - left}],
-                        schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("last", pa.bool_()), ("piece", pa.string()), ("head", pa.int32()), ("tail", pa.int32())]),
-                    )
-                    if last:
-                        break
-                    start, k = stop, k + 1
+                n, start, k, last = len(text), 0, 0, False
+                while not last:
+                    stop = min(start + chunk, n)
+                    seen, right, found = stop, min(stop + overlap, n), -1
+                    while stop < n:
+                        found = resync(at, text, seen, right)
+                        if found >= 0 or right == n:
+                            break
+                        seen, right = right, min(stop + 2 * (right - stop), n)
+                    last = found < 0
+                    left, right = max(start - 1, 0), n if last else min(max(found + 2, stop + overlap), n)
+                    piece = {"row": row, "k": k, "last": last, "piece": text[left:right], "head": start - left, "tail": stop - left}
+                    yield pa.RecordBatch.from_pylist([piece], schema=fields)
+                    start, k = max(stop, found - overlap), k + 1
 
     pieces = huge.select("row", "text").mapInArrow(lean(cut), schema)
     return pieces.repartition(F.col("row"), F.col("k"))

@@ -36,6 +36,15 @@ _NAMES = (
 ).split()
 _LAST = "ad ads advert nav menu sidebar footer header notice notices banner comments comment form breadcrumbs popup modal".split()
 ASIDE_NAME = re.compile(rf"(?:{'|'.join(_NAMES)})(?:[-_].*)?|(?!(?:has|with|no|without|is|show|hide)[-_]).*[-_](?:{'|'.join(_LAST)})", re.I)
+#: inside an article a name with more parts is that of an aside only if these are layout words or such names, too
+_LAYOUT = (
+    "area bar block body bottom box btn button buttons card cards center close col column container content desktop feed footer global group header heading icon icons inner "
+    "item items label large layer left link links list main media message mobile module more outer overlay page panel post posts primary right row secondary section site slot "
+    "small sticky stories story strip tab table tag tags text title tools top unit widget wrap wrapper zone"
+).split()
+INNER_NAME = re.compile(rf"(?:{'|'.join(_NAMES)})(?:[-_]+(?:{'|'.join(_NAMES + _LAYOUT)}|\d+))*[-_]*|(?!(?:has|with|no|without|is|show|hide)[-_]).*[-_](?:{'|'.join(_LAST)})", re.I)
+#: asides by such names are none of a page's text, however long they are
+NEVER_TEXT = re.compile(r"(?:.*[-_])?(?:comment|repl|respond|discussion|disqus|cookie|consent|gdpr|popup|modal|overlay).*", re.I)
 HEADING_NAME = re.compile(r"(?:.*[-_])?header(?:[-_].*)?", re.I)
 
 _RAW = rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
@@ -47,37 +56,41 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 NEUTRAL, ARTICLE, MAIN, ASIDE = range(4)
+CONTAINERS = 8
 #: pages stand in this order; `hash` is that of the html
 ORDER = ["host", "path", "page_id", "hash"]
 _BREAKS, _VOID, _LOOSE, _ASIDE_TAGS, _ROLES = map(frozenset, (BREAKS, VOID, LOOSE, ASIDE_TAGS, ASIDE_ROLES))
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _aside(tag: str, attributes: str, in_article: bool) -> str | None:
+    """Why an element is not the article: its tag, a role, that it is hidden, or the class or id name; None if it may be."""
     if tag in _ASIDE_TAGS and not (tag == "header" and in_article):
-        return True
+        return f"<{tag}>"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return None
+    names = INNER_NAME if in_article else ASIDE_NAME
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = next(filter(None, values), ""), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "<hidden>"
         for word in value.split():
             if name == "role":
                 if word.lower() in _ROLES:
-                    return True
-            elif name != "aria-hidden" and ASIDE_NAME.fullmatch(word):
+                    return "<role>"
+            elif name != "aria-hidden" and names.fullmatch(word):
                 if tag == "article" and not word.lower().startswith(("comment", "repl", "ad", "promo", "sponsor", "related")):
                     continue
                 if not (in_article and HEADING_NAME.fullmatch(word)):
-                    return True
-    return False
+                    return word
+    return None
 
 
 def without_held(source: str) -> str:
     """The page without the elements of HELD; the tags of one that is never closed stay, and so does what follows it."""
     opened: dict[str, list[int]] = {name: [] for name in HELD}
     spans: list[tuple[int, int]] = []
-    for token in HOLDER.finditer(source):
+    # without a further > nothing closes
+    for token in HOLDER.finditer(source, 0, source.rfind(">") + 1):
         if name := token.group(3):
             starts = opened[name.lower()]
             if not token.group(2):
@@ -98,20 +111,43 @@ def page_lines(source: str) -> list[tuple[str, int]]:
     Markup, comments, scripts, styles and unfinished tags at the end give no text. A head may lack its end tag, and a
     drawing, formula or object without one hides nothing that follows. White space inside a block becomes one
     space and character references are decoded.
+
+    A form, or an element that is an aside by its name only, may hold the page itself (`page-with-sidebar`). So one that
+    has more than half of the words is none, if it has the page's only article, or if the page has no article or main part.
+    Up to `CONTAINERS` of them may stand inside one another.
     """
-    lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
+    source = without_held(source)
+    pardoned: set[int] = set()
+    while True:
+        lines, asides = _lines(source, pardoned)
+        words: dict[int | None, int] = {}
+        for text, _, aside in lines:
+            words[aside] = words.get(aside, 0) + len(text.split())
+        kinds = {kind for _, kind, _ in lines}
+        most = max((a for a in words if a is not None), key=lambda a: words[a], default=None)
+        # what holds an article counts before a main part, an aside of comments or notices never
+        free = most is not None and ARTICLE not in kinds and (asides[most][1] or MAIN not in kinds)
+        if len(pardoned) == CONTAINERS or not free or 2 * words[most] <= sum(words.values()) or (asides[most][0] != "<form>" and (asides[most][0][0] == "<" or NEVER_TEXT.fullmatch(asides[most][0]))):
+            return [(text, kind) for text, kind, _ in lines]
+        pardoned.add(most)
+
+
+def _lines(source: str, pardoned: set[int]) -> tuple[list[tuple[str, int, int | None]], dict[int, list]]:
+    """(text, part, place of the aside or None) of every line, and for every aside why it is one and whether it has an
+    article. Elements that start at a place in `pardoned` are no asides."""
+    lines: list[tuple[str, int, int | None]] = []
+    asides: dict[int, list] = {}
+    stack: list[tuple[str, int, int | None]] = []
     held: list[str] = []
-    at, part = 0, NEUTRAL
+    at, part, aside = 0, NEUTRAL, None
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                lines.append((text, part))
+                lines.append((text, part, aside))
             held.clear()
 
-    source = without_held(source)
     for token in TOKEN.finditer(source):
         if token.start() > at:
             held.append(source[at : token.start()])
@@ -124,18 +160,22 @@ def page_lines(source: str) -> list[tuple[str, int]]:
         if breaks:
             flush()
         if token.group(2):
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack.pop()[0] != tag:
                     pass
                 flush()
         elif tag not in _VOID:
             if breaks and stack and stack[-1][0] in _LOOSE and (stack[-1][0] == "p" or stack[-1][0] == tag):
                 stack.pop()  # a paragraph ends at the next block, an item at the next item
-            inherited = stack[-1][1] if stack else NEUTRAL
+            inherited, within = stack[-1][1:] if stack else (NEUTRAL, None)
             kind = inherited
-            if inherited != ASIDE:
-                if _is_aside(tag, token.group(4), inherited == ARTICLE):
-                    kind = ASIDE
+            if inherited == ASIDE:
+                if tag == "article" and not _aside(tag, token.group(4), False):
+                    asides[within][1] = True
+            else:
+                if token.start() not in pardoned and (why := _aside(tag, token.group(4), inherited == ARTICLE)):
+                    kind, within = ASIDE, token.start()
+                    asides[within] = [why, False]
                 elif tag == "article":
                     kind = ARTICLE
                 elif tag == "main" and inherited == NEUTRAL:
@@ -144,11 +184,11 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                 if kind != inherited:
                     flush()
                 if breaks or kind != inherited:
-                    stack.append((tag, kind))
-        part = stack[-1][1] if stack else NEUTRAL
+                    stack.append((tag, kind, within))
+        part, aside = stack[-1][1:] if stack else (NEUTRAL, None)
     held.append(source[at:])
     flush()
-    return lines
+    return lines, asides
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.chunks import CHUNK_CHARS, OVERLAP_CHARS, overlapping_chunks, own_part
-from leafmill.llm.common import lean, pieces_of, text_bytes
+from leafmill.llm.common import lean, pieces_of, stage, text_bytes
 
 #: before a space that follows neither a space nor the escaped space: no piece of such a vocabulary crosses this place
 STABLE = "[^ ▁](?= )"
@@ -36,9 +36,9 @@ def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
 
     Returns one row per input row: doc_id, n_bytes (UTF-8), n_tokens. Texts of at most `chunk` characters are encoded
     whole, in Arrow batches and without a shuffle. Longer ones become overlapping chunks that many tasks encode with
-    offsets; each chunk counts the tokens between the first stable boundaries after its two cuts. If a boundary is no
-    token start in the chunk's own encoding, the alignment has failed and the job stops with an error, never with a
-    wrong count; where an overlap holds no boundary it has been widened beforehand, at last to the end of the text.
+    offsets; each chunk counts the tokens between the first stable boundaries after its two cuts. Where an overlap holds
+    no boundary it is widened until one is found, at last to the end of the text. If a boundary is no token start in the
+    chunk's own encoding, the alignment has failed: then the overlap is the whole text, which is encoded at once.
 
     Edge cases: null and empty texts have 0 bytes and 0 tokens; null and repeated keys are ordinary rows; an empty table
     gives an empty result; other columns are ignored.
@@ -59,25 +59,30 @@ def count_tokens(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
             out = []
             for r in batch.to_pylist():
                 start, stop = own_part(at, r["k"], r["last"], r["piece"], r["head"], r["tail"])
-                out.append({"row": r["row"], "n_tokens": tokens_between(model, r["piece"], start, stop)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("n_tokens", pa.int64())]))
+                n = tokens_between(model, r["piece"], start, stop)
+                out.append({"row": r["row"], "n_tokens": n, "failed": n is None})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("failed", pa.bool_())]))
 
     key_type = rows.schema["doc_id"].dataType.simpleString()
     small = rows.where(length <= chunk).withColumn("n_bytes", text_bytes("text"))
-    counted = small.mapInArrow(lean(whole), f"doc_id {key_type}, n_bytes long, n_tokens long")
+    counts = f"doc_id {key_type}, n_bytes long, n_tokens long"
+    counted = small.mapInArrow(lean(whole), counts)
     huge = rows.where(length > chunk).withColumn("row", F.monotonically_increasing_id())
-    sums = overlapping_chunks(huge, STABLE, chunk, overlap).mapInArrow(lean(parts), "row long, n_tokens long").groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"))
-    spliced = huge.select("row", "doc_id", text_bytes("text").alias("n_bytes")).join(sums, "row").select("doc_id", "n_bytes", "n_tokens")
-    return counted.unionByName(spliced)
+    encoded = overlapping_chunks(huge, STABLE, chunk, overlap).mapInArrow(lean(parts), "row long, n_tokens long, failed boolean")
+    sums = stage(encoded.groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"), F.max("failed").alias("failed")))
+    sized = huge.select("row", "doc_id", "text", text_bytes("text").alias("n_bytes"))
+    spliced = sized.drop("text").join(sums.where("NOT failed"), "row").select("doc_id", "n_bytes", "n_tokens")
+    again = sized.join(sums.where("failed").select("row"), "row").select("doc_id", "text", "n_bytes").mapInArrow(lean(whole), counts)
+    return counted.unionByName(spliced).unionByName(again)
 
 
-def tokens_between(model, piece: str, start: int, stop: int) -> int:
-    """Tokens of `piece` that begin in [start, stop), both of which must be token starts (or ends of the piece)."""
+def tokens_between(model, piece: str, start: int, stop: int) -> int | None:
+    """Tokens of `piece` that begin in [start, stop); None if one of the two is neither a token start nor an end of it."""
     found = model.encode(piece, return_type="proto").pieces
     begins = np.fromiter((p.begin for p in found), np.int64, len(found))
     end = len(piece.encode())
     start, stop = len(piece[:start].encode()), len(piece[:stop].encode())  # offsets count bytes
     for place in (start, stop):
         if 0 < place < end and place not in begins:
-            raise ValueError("chunks don't align")
+            return None
     return int(((begins >= start) & ((begins < stop) | (stop == end))).sum())

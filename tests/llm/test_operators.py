@@ -14,7 +14,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+
 from leafmill.llm import bpe, mixing, near_dedup, page_diff, pivot_search, quality, substring_dedup, token_counts, warc, wavelet
+from leafmill.llm.chunks import overlapping_chunks
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, size int, row int, bucket string, node int"
@@ -56,6 +58,41 @@ def words(text):
 # ---- 1 mixing -------------------------------------------------------------------------------------------------------
 
 
+CONTENT = " ".join(f"w{k}" for k in range(30))
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<form action=x>", "</form>"), ('<div id="menu-page">', "</div>"), ('<div class="related-work">', "</div>"), ('<div class="layout-no-sidebar">', "</div>"),
+    ('<div class="content-sidebar">', "</div>"), ('<form><div class="menu-page"><div class="page-with-sidebar">', "</div></div></form>"),
+])
+def test_containers_do_not_take_the_article_away(start, end):
+    page = f"<html><body>{start}<nav>menu a b</nav><article><p>{CONTENT}</article><div class=sidebar>side</div>{end}<footer>end</footer></body>"
+    assert page_diff.main_text(page_diff.page_lines(page), set()) == CONTENT
+    plain = f"<body>{start}<p>{CONTENT}</p><div class=sidebar>side</div>{end}<footer>f</footer>"
+    assert page_diff.main_text(page_diff.page_lines(plain), set()) == CONTENT
+
+
+def test_names_inside_an_article():
+    for name in ["social-history", "share-price", "ad-hoc", "form-of-rule", "notice-period"]:
+        assert page_diff.main_text(page_diff.page_lines(f'<article><p>a</p><div class="{name}">kept</div></article>'), set()) == "a kept"
+    for name in ["share-buttons", "ad-slot-2", "related-posts", "newsletter_box", "social", "comments-area"]:
+        assert page_diff.main_text(page_diff.page_lines(f'<article><p>a</p><div class="{name}">gone</div></article>'), set()) == "a"
+    for page in (f'<article><p>a b</p></article><div class="comments">{CONTENT}</div>', f'<p>a b</p><div id="comments">{CONTENT}</div>'):
+        assert page_diff.main_text(page_diff.page_lines(page), set()) == "a b"
+
+
+@pytest.mark.parametrize("part", ["<svg ", "<math a='", "<form>", "<!-- ", "<a b=\"", "<div class=ad>"])
+def test_pages_of_open_tags_take_linear_time(part):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        page_diff.page_lines(part * n + "x")
+        return time.process_time() - start
+
+    assert seconds(40_000) < 12 * seconds(5_000) + 0.5
+
+
 def test_mixing_reaches_capped_targets(spark):
     sizes = {"a": [10] * 2, "b": [5] * 40, "c": [7] * 30, None: [3] * 50}
     rows = [(k, "w " * n, s) for k, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
@@ -407,3 +444,38 @@ def test_quality_model_on_held_out_rows(spark):
     got = quality.quality_rules(df.where("doc_id >= 200"), model).collect()
     assert all(r["kept"] == (r["doc_id"] % 3 > 0) for r in got)
     assert quality.fit_quality(df, labels.where("quality = 1")) is None and quality.fit_quality(df, labels.limit(0)) is None
+
+
+@pytest.mark.parametrize("size", [50_000, 200_000])
+def test_a_stretch_without_boundaries_is_shuffled_once(spark, size):
+    """The pieces of a text are together little longer than it, and counts and ids stay those of the library."""
+    texts = ["x" * size + " y", "a b " + "x" * size + " y" * 3000, "x" * size, "w " * (size // 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    for boundary in (token_counts.STABLE, bpe.STABLE):
+        pieces = overlapping_chunks(docs, boundary, 8192, 256).groupBy("row").agg(F.sum(F.length("piece")).alias("n")).collect()
+        assert all(r["n"] <= 1.2 * len(texts[r["row"]]) for r in pieces)
+
+
+def test_counts_of_texts_with_one_boundary(spark):
+    texts = ["xy" * 9000 + " y", "go " * 50 + "xy" * 9000 + " y" * 300, " " * 6000 + "a", "a" + " " * 6000 + "b" * 6000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, encoding = token_counts.load_model(PIECES), bpe.load_encoding(RANKS, public_tokenizers.PATTERN)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, PIECES, chunk=1000, overlap=16).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode_bpe(docs, RANKS, public_tokenizers.PATTERN, chunk=1000, overlap=16).collect()}
+    assert ids == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_chunks_that_do_not_align_are_encoded_whole(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "tokens_between", lambda *_: None)
+    docs = spark.createDataFrame([(1, "some words " * 400), (2, "short"), (2, "more words " * 400)], "doc_id long, text string")
+    model = token_counts.load_model(PIECES)
+    got = sorted(tuple(r) for r in token_counts.count_tokens(docs, PIECES, chunk=1000, overlap=16).select("doc_id", "n_tokens").collect())
+    assert got == sorted((i, len(model.encode(t))) for i, t in [(1, "some words " * 400), (2, "short"), (2, "more words " * 400)])
+
+
+def test_near_duplicates_of_many_texts_under_one_id(spark):
+    base = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join([*base[:k], "z", *base[k + 1 :]])) for k in range(60)] + [(2, "other " * 20), (1, sentence(5, 50))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and len({r["group_id"] for r in got}) == 3
