@@ -70,12 +70,14 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "binary") -> DataFram
     """Documents with their `file_type`.
 
     'binary' lists files without reading their content unless a later step asks for it; 'text' reads whole text files;
-    'parquet' reads a table that already has doc_id and text.
+    'parquet' reads a table that already has doc_id and text. Files of no bytes are not among Spark's splits and have no row.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "text":
-        rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        # the path is a URI here: blanks and other characters are escaped in it, a plus is not
+        place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        rows = spark.read.text(path, wholetext=True).select(place.alias("path"), F.col("value").alias("text"))
     elif fmt == "binary":
         rows = spark.read.format("binaryFile").load(path)
     else:
