@@ -41,7 +41,7 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_substrings(read_table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "spans")
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +205,28 @@ scored AS (
   FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op4_substring_dedup": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT row, doc_id, place, md5(array_to_string(w[place : place + 12], ' ')) AS h FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS place FROM texts)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows WHERE doc_id IS NOT NULL GROUP BY h),
+gone AS (SELECT w.row, list_distinct(flatten(list(range(place, place + 13)))) AS places FROM windows w JOIN firsts f ON f.h = w.h AND f.first < w.doc_id GROUP BY w.row),
+words AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM texts),
+dropped AS (SELECT row, unnest(places) AS place FROM gone),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM words ANTI JOIN dropped USING (row, place) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.row = t.row""",
+    "op5_warc": r"""
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda d: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', d)]), '') AS b,
+         min(page_id) OVER (PARTITION BY hex) AS first FROM payloads)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: substring(b, 5 * i + j + 1, 1)::INTEGER << (4 - j)))::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits""",
     "op8_near_duplicates": groups_sql(5, 75, "*"),
     "op11_merkle_manifest": merkle_sql(levels=5, group_levels=3),
     "op12_prefix_trie": rf"""

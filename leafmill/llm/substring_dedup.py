@@ -17,8 +17,6 @@ WINDOW = 13
 SHEET_BYTES = 4 << 20
 #: text bytes per hash bucket and per group of documents, on average
 GROUP_BYTES = 4 << 20
-#: so many low bits of a window's hash name it inside one group of documents
-_REPLY = np.uint64((1 << 48) - 1)
 
 
 def _windows(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +78,14 @@ def _unsigned(ids: np.ndarray) -> np.ndarray:
 
 
 def _replies(h: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[dict]:
-    """Rows that tell each group of documents which windows (low bits of the hash) of which documents go."""
-    low, groups, ids = h & _REPLY, _group_of(ids, bits), _unsigned(ids)
-    order = np.lexsort((low, ids, groups))
-    low, ids, groups = low[order], ids[order], groups[order]
+    """Rows that tell each group of documents which windows of which documents go."""
+    groups, ids = _group_of(ids, bits), _unsigned(ids)
+    order = np.lexsort((h, ids, groups))
+    h, ids, groups = h[order], ids[order], groups[order]
     for group, a, b in _slices(groups):
         cuts = np.flatnonzero(run_starts(ids[a:b]))
         counts = np.diff(np.append(cuts, b - a)).astype("<u4")
-        six = low[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        yield {"bucket": group, "reply": True, "hashes": six.tobytes(), "ids": pack_ints(ids[a:b][cuts]), "which": counts.tobytes()}
+        yield {"bucket": group, "reply": True, "hashes": h[a:b].astype("<u8").tobytes(), "ids": pack_ints(ids[a:b][cuts]), "which": counts.tobytes()}
 
 
 _ROW = pa.schema([("bucket", pa.int64()), ("reply", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary()), ("which", pa.binary())])
@@ -194,10 +191,8 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         gone: dict[int, list[np.ndarray]] = {}
         for r in right.to_pylist():
             counts = np.frombuffer(r["which"], "<u4")
-            low = np.zeros((len(r["hashes"]) // 6, 8), np.uint8)
-            low[:, :6] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, 6)
             ids = (unpack_ints(r["ids"]) ^ np.uint64(1 << 63)).view(np.int64)
-            for i, part in zip(ids.tolist(), np.split(low.view("<u8").ravel(), np.cumsum(counts)[:-1])):
+            for i, part in zip(ids.tolist(), np.split(np.frombuffer(r["hashes"], "<u8"), np.cumsum(counts)[:-1])):
                 gone.setdefault(i, []).append(part)
         out: dict[str, list] = {"text": [], "n_words": [], "n_removed": [], "spans": []}
         for i, packed in zip(left["doc_id"].to_pylist(), left["text"].to_pylist()):
@@ -206,7 +201,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
             spans: list[tuple[int, int]] = []
             if i in gone and len(words) >= window:
                 hashes, _ = _windows(pa.array([raw.decode()]), window)
-                spans = _cover(np.isin(hashes & _REPLY, np.concatenate(gone[i])), len(words), window)
+                spans = _cover(np.isin(hashes, np.concatenate(gone[i])), len(words), window)
             kept, at = [], 0
             for a, b in spans:
                 kept += words[at:a]
