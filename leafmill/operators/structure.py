@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.blocks import block_of, number_rows, point_segments, prefix_sums
 from leafmill.functions.text import WS, clip, let, lines_of, squeeze, trim_ws
@@ -282,6 +286,36 @@ def slides_from_text(docs: DataFrame, max_body: int | None = None) -> DataFrame:
 # ---- positioned text ------------------------------------------------------------------------------------------------
 
 
+def first_fit(heights: DataFrame, keys: list[str], band: float) -> DataFrame:
+    """(keys, y, line_y): every height of (keys, y, seq) with the first line, in the order of seq, that opened less than `band` from it.
+
+    Open lines lie `band` apart: about one per cell of that height, and a height looks at its own and both neighbouring
+    cells. The work is one look-up a height, whatever the number of lines; a page's heights are one cell. Null heights are
+    on no line; heights that are no finite number, and all heights if `band` is not above zero, have a line each.
+    """
+
+    def fit(ys: Iterable[float]) -> list[int]:
+        opened: dict[float, list[tuple[int, float]]] = {}
+        found = []
+        for n, y in enumerate(ys):
+            cell = y // band if band > 0 else y
+            near = [line for c in (cell - 1, cell, cell + 1) for line in opened.get(c, ()) if abs(line[1] - y) < band]
+            if not near:
+                opened.setdefault(cell, []).append((n, y))
+            found.append(min(near)[0] if near else n)
+        return found
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def lines_of_pages(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda ys: fit(ys.tolist()))
+
+    seen = F.struct("seq", F.col("y").cast("double").alias("y"))
+    per_page = heights.filter(F.col("y").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(seen)).getField("y").alias("_ys"))
+    placed = per_page.select(*keys, "_ys", lines_of_pages("_ys").alias("_lines"))
+    pair = F.transform("_lines", lambda line, n: F.struct(F.get("_ys", n).alias("y"), F.get("_ys", line).alias("line_y")))
+    return placed.select(*keys, F.inline(pair))
+
+
 def items_to_lines(items: DataFrame, mode: str = "anchor", tolerance: float | None = None) -> DataFrame:
     """(doc_id, page, line_no, y, text, items): positioned items grouped into lines, top to bottom.
 
@@ -300,23 +334,7 @@ def items_to_lines(items: DataFrame, mode: str = "anchor", tolerance: float | No
         band = LINE_BAND if tolerance is None else tolerance
         seen = inked.groupBy(*keys, "y").agg(F.min("seq").alias("seq"))
 
-        def fit(acc: Column, item: Column) -> Column:
-            found = F.filter(acc["lines"], lambda y: F.abs(y - item["y"]) < band)
-            return F.struct(
-                F.when(F.size(found) > 0, acc["lines"]).otherwise(F.array_append(acc["lines"], item["y"])).alias("lines"),
-                F.array_append(
-                    acc["out"],
-                    F.struct(item["y"].alias("y"), F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(item["y"]).alias("line_y")),
-                ).alias("out"),
-            )
-
-        start = F.struct(
-            F.array().cast("array<double>").alias("lines"), F.array().cast("array<struct<y:double,line_y:double>>").alias("out")
-        )
-        per_page = seen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", F.col("y").cast("double").alias("y")))).alias("ys"))
-        lines = per_page.select(*keys, F.explode(F.aggregate("ys", start, fit)["out"]).alias("o")).select(
-            *keys, F.col("o.y").alias("y"), F.col("o.line_y").alias("line_y")
-        )
+        lines = first_fit(seen, keys, float(band))
         placed = inked.join(lines, [*keys, "y"])
     box = F.struct("x", "seq", "text", "y", "w", "h")
     grouped = placed.groupBy(*keys, "line_y").agg(F.sort_array(F.collect_list(box)).alias("items"))

@@ -105,6 +105,20 @@ UNION ALL SELECT row_id, 'pdf', 1, 'upload.png', 'image/png', size, digest FROM
 UNION ALL SELECT row_id, 'base64', 0, 'upload.webp', 'image/webp', size, digest FROM src WHERE k = 3"""
 
 
+QUERIES["inline_rejects"] = lambda s, d: files.inline_rejects(bodies(s, d))
+ORACLES["inline_rejects"] = """WITH src AS (
+  SELECT doc_id AS row_id, doc_id % 5 AS k, text IS NULL AS missing, coalesce(length(base64(encode(text))), 0) AS n FROM documents),
+few AS (SELECT * FROM src WHERE n < 100)
+SELECT row_id, 'file' AS field, 0 AS item, 'shorter than 100 characters' AS reason FROM few WHERE k = 0 AND n > 0
+UNION ALL SELECT row_id, 'document', 0, CASE WHEN missing THEN 'no data' ELSE 'shorter than 100 characters' END FROM few WHERE k = 1
+UNION ALL SELECT row_id, 'pdf', 0, CASE WHEN n = 0 THEN 'no data' ELSE 'shorter than 100 characters' END FROM few WHERE k = 2 AND NOT missing
+UNION ALL SELECT row_id, 'pdf', 1, 'shorter than 100 characters' FROM few WHERE k = 2 AND NOT missing
+UNION ALL SELECT row_id, 'pdf', 2, 'shorter than 100 characters' FROM src WHERE k = 2 AND NOT missing
+UNION ALL SELECT row_id, 'data', 0, CASE WHEN n < 97 THEN 'shorter than 100 characters' ELSE 'not base64' END FROM src WHERE k = 3 AND NOT missing
+UNION ALL SELECT row_id, 'base64', 0, 'shorter than 100 characters' FROM few WHERE k = 3 AND n > 0
+UNION ALL SELECT row_id, NULL, NULL, 'body is not a JSON object' FROM src WHERE k = 4 OR (k = 2 AND missing)"""
+
+
 # ---- catalogue ------------------------------------------------------------------------------------------------------
 
 

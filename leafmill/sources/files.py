@@ -127,56 +127,79 @@ def decode_base64(c: Column) -> Column:
     return F.unbase64(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="))
 
 
-def decode_inline_files(rows: DataFrame, body: str = "body", key: str = "row_id") -> DataFrame:
-    """(row_id, field, item, name, mime, content, size): files carried as base64 in known fields of a JSON body.
+BODY_REJECT = "body is not a JSON object"
+EMPTY_REJECT = "no data"
+SHORT_REJECT = f"shorter than {MIN_INLINE_CHARS} characters"
+ALPHABET_REJECT = "not base64"
+BYTES_REJECT = f"fewer than {MIN_INLINE_BYTES} bytes"
+
 
-    A field holds a string, an object with uri/data/base64, or an array of either.
+def inline_payloads(rows: DataFrame, body: str = "body", key: str = "row_id") -> DataFrame:
+    """(row_id, field, item, name, mime, content, reason): everything that known fields of a JSON body offer as a file.
+
+    A field holds a string, an object with uri/data/base64, or an array of either. `reason` says why an offer is no file
+    and is null for files; a body that is no JSON object is one row without a field. Fields that are null or empty offer
+    nothing. The body is parsed once, for the known fields only, and an object inside it once more.
     """
-    raw = F.col(body)
-    get = F.get_json_object
-
-    def from_item(item: Column, name: Column, mime: Column) -> Column:
-        boxed = F.startswith(item, F.lit("{"))
-        data = F.coalesce(*[nonempty(get(item, f"$.{k}"), F.lit(None)) for k in ("uri", "data", "base64")])
-        return F.struct(
-            F.when(boxed, data).otherwise(item).alias("data"),
-            F.when(boxed, F.coalesce(nonempty(get(item, "$.name"), F.lit(None)), name)).otherwise(name).alias("name"),
-            F.when(boxed, F.coalesce(nonempty(get(item, "$.type"), F.lit(None)), mime)).otherwise(mime).alias("mime"),
-        )
+    known = dict.fromkeys([*INLINE_FIELDS, *(n for names in INLINE_FIELDS.values() for n in names)])
+    schema = ", ".join(f"{n} string" for n in known) + ", _bad string"
+    parsed = rows.select(key, F.from_json(body, schema, {"columnNameOfCorruptRecord": "_bad"}).alias("_b"))
+
+    def offer(raw: Column, name: Column, mime: Column) -> Column:
+        return F.struct(raw.alias("raw"), name.alias("name"), mime.alias("mime"))
 
     none = F.lit(None).cast("string")
     fields = []
     for field, (name_field, type_field) in INLINE_FIELDS.items():
-        value = get(raw, f"$.{field}")
-        name, mime = get(raw, f"$.{name_field}"), get(raw, f"$.{type_field}")
-        one = F.array(from_item(value, name, mime))
-        many = F.transform(F.from_json(value, "array<string>"), lambda v: from_item(v, none, none))
+        value = F.col("_b")[field]
+        one = F.array(offer(value, F.col("_b")[name_field], F.col("_b")[type_field]))
+        many = F.transform(F.from_json(value, "array<string>"), lambda v: offer(v, none, none))
         items = F.when(F.startswith(value, F.lit("[")), many).when(F.length(value) > 0, one)
         fields.append(F.struct(F.lit(field).alias("field"), items.alias("items")))
-    exploded = (
-        rows.select(key, F.explode(F.array(*fields)).alias("f"))
+    broken = F.col("_b").isNull() | F.col("_b._bad").isNotNull()
+    nothing = F.array(F.struct(none.alias("field"), F.array(offer(none, none, none)).alias("items")))
+    offers = (
+        parsed.select(key, F.explode(F.when(broken, nothing).otherwise(F.array(*fields))).alias("f"))
         .select(key, F.col("f.field").alias("field"), F.posexplode("f.items").alias("item", "v"))
-        .filter(F.col("v.data").isNotNull())
+        .withColumn("o", F.when(F.startswith("v.raw", F.lit("{")), F.from_json("v.raw", "uri string, data string, base64 string, name string, type string")))
+    )
+    boxed = F.startswith("v.raw", F.lit("{"))
+    data = F.when(boxed, F.coalesce(*[nonempty(F.col(f"o.{k}"), none) for k in ("uri", "data", "base64")])).otherwise(F.col("v.raw"))
+    read = offers.select(
+        key, "field", "item", data.alias("data"), nonempty(F.col("o.name"), F.col("v.name")).alias("name"), nonempty(F.col("o.type"), F.col("v.mime")).alias("mime")
     )
-    pattern = r"^data:([^;]+);base64,(.+)\z"
-    data = F.col("v.data")
-    uri_mime = F.regexp_extract(data, pattern, 1)
-    payload = nonempty(F.regexp_extract(data, pattern, 2), data)
-    mime = nonempty(uri_mime, nonempty(F.col("v.mime"), F.lit("application/pdf")))
-    checked = exploded.select(key, "field", "item", F.col("v.name").alias("name"), mime.alias("mime"), payload.alias("payload")).filter(
-        (F.length("payload") >= MIN_INLINE_CHARS) & F.rlike(clip(F.col("payload"), 200), F.lit(r"^[A-Za-z0-9+/=\r\n]+\z"))
+    pattern = F.lit(r"^data:([^;]+);base64,(.+)\z")
+    is_uri = F.rlike("data", pattern)
+    payload = F.when(is_uri, F.substring(F.col("data"), F.instr("data", ";base64,") + len(";base64,"), F.length("data"))).otherwise(F.col("data"))
+    mime = nonempty(F.when(is_uri, F.regexp_extract("data", r"^data:([^;]+);", 1)), nonempty(F.col("mime"), F.lit("application/pdf")))
+    checked = read.select(key, "field", "item", "name", mime.alias("mime"), payload.alias("payload"))
+    text_reason = (
+        F.when(F.col("field").isNull(), BODY_REJECT)
+        .when(F.coalesce(F.length("payload"), F.lit(0)) == 0, EMPTY_REJECT)
+        .when(F.length("payload") < MIN_INLINE_CHARS, SHORT_REJECT)
+        .when(~F.rlike(clip(F.col("payload"), 200), F.lit(r"^[A-Za-z0-9+/=\r\n]+\z")), ALPHABET_REJECT)
     )
+    named = checked.withColumn("reason", text_reason)
+    decoded = named.withColumn("content", F.when(F.col("reason").isNull(), decode_base64(F.col("payload"))))
     ext = F.coalesce(F.create_map(*[F.lit(v) for kv in EXT_BY_MIME.items() for v in kv])[F.col("mime")], F.lit(""))
-    return (
-        checked.withColumn("content", decode_base64(F.col("payload")))
-        .filter(F.length("content") >= MIN_INLINE_BYTES)
-        .select(
-            key, "field", "item", nonempty(F.col("name"), F.concat(F.lit("upload"), ext)).alias("name"), "mime", "content",
-            F.length("content").alias("size"),
-        )
+    return decoded.select(
+        key, "field", F.when(F.col("field").isNotNull(), F.col("item")).alias("item"),
+        nonempty(F.col("name"), F.concat(F.lit("upload"), ext)).alias("name"), "mime", "content",
+        F.coalesce(F.col("reason"), F.when(F.length("content") < MIN_INLINE_BYTES, BYTES_REJECT)).alias("reason"),
     )
 
 
+def decode_inline_files(rows: DataFrame, body: str = "body", key: str = "row_id") -> DataFrame:
+    """(row_id, field, item, name, mime, content, size): the files that JSON bodies carry as base64 in known fields."""
+    files = inline_payloads(rows, body, key).filter(F.col("reason").isNull())
+    return files.drop("reason").withColumn("size", F.length("content"))
+
+
+def inline_rejects(rows: DataFrame, body: str = "body", key: str = "row_id") -> DataFrame:
+    """(row_id, field, item, reason): what was offered as a file and is none."""
+    return inline_payloads(rows, body, key).filter(F.col("reason").isNotNull()).select(key, "field", "item", "reason")
+
+
 # ---- catalogue ------------------------------------------------------------------------------------------------------
 
 CATALOGUE_SCHEMA = (

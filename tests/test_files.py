@@ -79,3 +79,33 @@ def test_sweep_of_a_real_folder(spark, tmp_path):
 def test_page_sizes_are_rounded(spark):
     pages = spark.createDataFrame([(1, 1, 594.96, 841.5, 90), (1, 2, None, 10.4, 0)], "doc_id long, page int, width double, height double, rotation int")
     assert sorted(map(tuple, profiling.page_sizes(pages).collect())) == [(1, 1, 595, 842, 90), (1, 2, None, 10, 0)]
+
+
+def test_every_offered_payload_is_a_file_or_a_reject_with_its_reason(spark):
+    import base64
+
+    good = base64.b64encode(b"x" * 90).decode()
+    bodies = [
+        (1, json.dumps({"file": good, "fileName": "a.pdf", "extra": {"deep": [1]}})),
+        (2, json.dumps({"pdf": [good, {"data": "data:image/gif;base64," + good, "name": "n"}, "tiny", None, {"name": "x"}, ""]})),
+        (3, json.dumps({"file": "=" * 120, "data": "*" + good, "document": {"uri": "", "base64": good, "type": "image/png"}})),
+        (4, "not json"), (5, None), (6, "[1]"), (7, "{}"), (8, json.dumps({"file": "", "pdf": None})), (9, ""), (10, '{"file": "' + good),
+        (11, json.dumps({"file": "data:text/plain;base64," + good[:60] + "\n" + good[60:]})), (12, json.dumps({"file": 5})),
+    ]
+    df = spark.createDataFrame(bodies, "row_id long, body string").withColumn("_b", F.lit("clash"))
+    found = files.decode_inline_files(df)
+    got = {(r["row_id"], r["field"], r["item"]): (r["name"], r["mime"], bytes(r["content"])) for r in found.collect()}
+    full = b"x" * 90
+    assert got == {
+        (1, "file", 0): ("a.pdf", "application/pdf", full), (2, "pdf", 0): ("upload.pdf", "application/pdf", full),
+        (2, "pdf", 1): ("n", "image/gif", full), (3, "document", 0): ("upload.png", "image/png", full),
+    }
+    rejects = sorted((tuple(r) for r in files.inline_rejects(df).collect()), key=str)
+    body = "body is not a JSON object"
+    assert rejects == sorted([
+        (2, "pdf", 2, "shorter than 100 characters"), (2, "pdf", 3, "no data"), (2, "pdf", 4, "no data"), (2, "pdf", 5, "no data"),
+        (3, "file", 0, "fewer than 10 bytes"), (3, "data", 0, "not base64"), (4, None, None, body), (5, None, None, body), (6, None, None, body),
+        (9, None, None, body), (10, None, None, body), (11, "file", 0, "not base64"), (12, "file", 0, "shorter than 100 characters"),
+    ], key=str)
+    plan = files.inline_rejects(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(file,") == 1

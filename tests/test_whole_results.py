@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import chunking, citations, diffing, grounding, pagesets, profiling, responses, retrieval, search, structure
@@ -207,3 +210,39 @@ def test_marks_in_a_text_make_no_sections(spark):
     pages = spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string")
     got = structure.paragraphs(pages).orderBy("paragraph_index").select("section", "text").collect()
     assert list(map(tuple, got)) == [(None, "one ﷐two﷑ three﷒ four ﷓five ﷔s ﷔0"), ("INTRODUCTION", "six ﷔")]
+
+
+def fitted(heights, band):
+    """First line, in order of opening, less than `band` away: every line is looked at for every height."""
+    lines, out = [], {}
+    for y in heights:
+        near = [line for line in lines if abs(line - y) < band]
+        if not near:
+            lines.append(y)
+        out.setdefault(y, near[0] if near else y)
+    return out
+
+
+@pytest.mark.parametrize("band", [5.0, 0.3, 1000.0, 0.0])
+def test_first_fit_lines_are_those_of_the_plain_rule(spark, band):
+    rng = random.Random(7)
+    pages = {p: list(dict.fromkeys(round(rng.uniform(-40, 40), rng.choice([0, 1, 5])) for _ in range(n))) for p, n in enumerate([1, 2, 30, 200])}
+    rows = [(1, p, y, n) for p, ys in pages.items() for n, y in enumerate(ys)] + [(1, 0, None, 99)]
+    got = structure.first_fit(spark.createDataFrame(rows, "doc_id long, page int, y double, seq int"), ["doc_id", "page"], band).collect()
+    found = {p: {r["y"]: r["line_y"] for r in got if r["page"] == p} for p in pages}
+    assert found == {p: fitted(ys, band) for p, ys in pages.items()}
+    assert len(got) == sum(map(len, pages.values()))
+
+
+def test_a_page_of_a_hundred_thousand_heights_is_fitted_without_a_fold(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("seq"), (F.col("id") * 4.0).alias("y"))
+    lines = structure.first_fit(rows, ["doc_id", "page"], 5.0)
+    # heights come four apart: every second one opens a line
+    assert lines.filter(F.col("line_y") != F.floor(F.col("y") / 8) * 8).count() == 0 and lines.count() == n
+
+
+def test_heights_that_are_no_numbers_have_their_own_lines(spark):
+    rows = [(1, 1, float("nan"), 0), (1, 1, float("inf"), 1), (1, 1, 1.0, 2), (1, 1, 2.0, 3), (1, 1, float("-inf"), 4)]
+    got = structure.first_fit(spark.createDataFrame(rows, "doc_id long, page int, y double, seq int"), ["doc_id", "page"], 5.0).collect()
+    assert sorted(str(r["line_y"]) for r in got) == ["-inf", "1.0", "1.0", "inf", "nan"]
