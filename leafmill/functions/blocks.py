@@ -19,7 +19,10 @@ from pyspark.sql import types as T
 from leafmill.session import stage_table
 
 BLOCK_ROWS = 4096
-SALTS = 16
+#: a key owning more than one of this many shares of the rows is split
+SHARES = 1024
+#: keys that one frequency sketch keeps
+TRACKED_KEYS = 16384
 
 #: neighbouring blocks whose step functions are joined at once, as a power of two
 FAN_BITS = 6
@@ -92,13 +95,45 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.join(firsts, [*keys, order], "left_semi")
 
 
+def hot_keys(rows: DataFrame, keys: list[str], shares: int = SHARES, least: int = BLOCK_ROWS) -> dict[int, int]:
+    """Hash of every key with more than its share of the rows, and the number of copies its lookup rows need.
+
+    A share is 1/`shares` of the rows, and `least` rows at least. The frequent keys come from one pass of sketches that are
+    merged over tasks, so keys are not shuffled. Fewer than `shares` keys can own more than a share, which bounds what
+    comes to the driver. A count that the sketch misses by a little changes the balance only, never a result.
+    """
+    sketch = rows.select(F.xxhash64(*keys).alias("key")).agg(
+        F.expr(f"approx_top_k(key, {shares}, {TRACKED_KEYS})").alias("top"), F.count(F.lit(1)).alias("rows")
+    )
+    share = F.greatest(F.col("rows") / shares, F.lit(float(least)))
+    found = sketch.select("rows", F.inline("top")).select("item", F.ceil(F.col("count") / share).cast("int").alias("copies"))
+    return {r["item"]: r["copies"] for r in found.filter("copies > 1").collect()}
+
+
 def spread_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = SALTS
+    rows: DataFrame, lookup: DataFrame, keys: list[str], spread: Column, how: str = "inner", weigh: DataFrame | None = None,
+    shares: int = SHARES, least: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Join many rows per key with few lookup rows per key; a hot key is split over `salts` tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    """Join many rows per key with few lookup rows per key; a key is split over as many tasks as its rows need.
+
+    Lookup rows of a frequent key (see `hot_keys`) are copied once per share of its rows, all others stay single; without
+    a frequent key this is a plain join. `weigh` is a table with the same keys that is cheaper to count than `rows`.
+    """
+    hot = hot_keys(rows if weigh is None else weigh, keys, shares, least)
+    if not hot:
+        return rows.join(lookup, keys, how)
+    # fewer rows than shares
+    known = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), "_key long, _copies int"))
+    copies = F.coalesce("_copies", F.lit(1))
+    salted = (
+        rows.withColumn("_key", F.xxhash64(*keys)).join(known, "_key", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), copies).cast("int")).drop("_key", "_copies")
+    )
+    copied = (
+        lookup.withColumn("_key", F.xxhash64(*keys)).join(known, "_key", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_key", "_copies")
+    )
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def block_join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.blocks import number_rows
+from leafmill.functions.blocks import number_rows, spread_join
 from leafmill.functions.matching import fold, fuzzy_contains, shingles, split_words
 from leafmill.functions.text import clip, nonempty, trim_ws
 from leafmill.operators.cleaning import strip_anchors
@@ -42,19 +42,56 @@ CATEGORY_PROFILES = {
 }
 DEFAULT_CATEGORIES = ["key_finding", "action_required", "important_date", "financial", "risk", "definition", "conclusion"]
 
-NEEDLES_PER_ROW = 256
+#: pairs of short snippets and paragraphs that are compared directly in one document
+PAIRS_PER_DOC = 1 << 16
+#: characters of a gram in the vocabulary's index
+GRAM_CHARS = 3
 
 
 # ---- snippets -------------------------------------------------------------------------------------------------------
 
 
-def locate_snippets(snippets: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def inner_grams(word: Column, n: int) -> Column:
+    """Distinct character n-grams of a word; none for a shorter one."""
+    last = F.length(word) - n + 1
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(word, k, F.lit(n)))
+    return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def word_part_pairs(needles: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id, nid, pid) of needles (doc_id, nid, nw) whose longest word is part of a word of a paragraph.
+
+    A needle may begin and end inside words, so every paragraph that contains it is among the pairs. The longest word is
+    looked for in the document's vocabulary, not in its paragraphs: an index of the vocabulary's character trigrams
+    (shorter grams where a shorter word asks) is asked for the word's rarest gram, the words found are compared, and lead
+    to the paragraphs that hold them. `postings` has (doc_id, pid, w), each word of a paragraph once.
+    """
+    longest = F.element_at(F.array_sort(F.transform("nw", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    asked = needles.select("doc_id", "nid", longest.alias("probe"))
+    probes = asked.select("doc_id", "probe").distinct().withColumn("size", F.least(F.length("probe"), F.lit(GRAM_CHARS)))
+    words = postings.select("doc_id", "w").distinct()
+    sizes = probes.select("doc_id", "size").distinct()
+    cases = [F.when(F.col("size") == n, inner_grams(F.col("w"), n)) for n in range(1, GRAM_CHARS + 1)]
+    index = stage_table(words.join(sizes, "doc_id").select("doc_id", "w", F.explode(F.coalesce(*cases)).alias("g")))
+    cases = [F.when(F.col("size") == n, inner_grams(F.col("probe"), n)) for n in range(1, GRAM_CHARS + 1)]
+    wanted = probes.select("doc_id", "probe", F.explode(F.coalesce(*cases)).alias("g"))
+    often = index.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no word has is the rarest: such a probe finds nothing
+    ranked = wanted.join(often, ["doc_id", "g"], "left").groupBy("doc_id", "probe")
+    rarest = ranked.agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    found = rarest.join(index, ["doc_id", "g"]).filter(F.contains("w", F.col("probe"))).select("doc_id", "probe", "w")
+    return asked.join(found, ["doc_id", "probe"]).join(postings, ["doc_id", "w"]).select("doc_id", "nid", "pid")
+
+
+def locate_snippets(snippets: DataFrame, paragraphs: DataFrame, pairs_per_doc: int = PAIRS_PER_DOC) -> DataFrame:
     """(doc_id, snippet_id, page, section, paragraph_index, snippet, score): best paragraph of every snippet found.
 
     Equal paragraphs of a document are one candidate (the earliest), and candidates come from indexes instead of all
     pairs: a snippet that scores at all shares a word 4-gram with the paragraph, or a word when one side has fewer than
     four words. A contained snippet may begin and end inside words, so one of at least six words shares an inner
-    4-gram, one of three to five shares its longest inner word, and shorter ones are looked up as substrings.
+    4-gram, one of three to five shares its longest inner word, and shorter ones are looked up as substrings: at
+    most `pairs_per_doc` pairs of a document are compared, and one with more is asked by the character trigrams of its
+    vocabulary. Both ways find the same.
     """
     long_enough = snippets.filter(F.length("snippet") >= MIN_SNIPPET_CHARS)
     asked = long_enough.select("doc_id", "snippet_id", fold(F.col("snippet")).alias("needle")).filter(F.length("needle") > 0)
@@ -87,16 +124,15 @@ def locate_snippets(snippets: DataFrame, paragraphs: DataFrame) -> DataFrame:
         .filter(F.contains("hay", F.col("needle")))
         .select(*pair)
     )
-    # one or two words: substrings of the document's paragraphs, a bounded bundle of needles at a time
-    few = (
-        needles.filter(n_size <= 2)
-        .withColumn("bundle", F.pmod(F.xxhash64("needle"), F.lit(1 << 20)))
-        .groupBy("doc_id", F.floor(F.col("bundle") / NEEDLES_PER_ROW).alias("bundle"))
-        .agg(F.collect_list(F.struct("nid", "needle")).alias("few"))
-    )
-    by_part = hays.join(few, "doc_id").select(
-        "doc_id", "pid", F.explode(F.filter("few", lambda s: F.contains(F.col("hay"), s["needle"]))).alias("s")
-    ).select("doc_id", F.col("s.nid").alias("nid"), "pid")
+    # one or two words: substrings. Where a document has few pairs they are compared, else its vocabulary is asked
+    short = needles.filter(n_size <= 2)
+    sides = short.groupBy("doc_id").agg(F.count(F.lit(1)).alias("a")).join(hays.groupBy("doc_id").agg(F.count(F.lit(1)).alias("b")), "doc_id")
+    large = stage_table(sides.filter(F.col("a") * F.col("b") > pairs_per_doc).select("doc_id"))
+    few = short.join(large, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("nid", "needle")).alias("few"))
+    compared = F.explode(F.filter("few", lambda s: F.contains(F.col("hay"), s["needle"])))
+    by_pair = hays.join(few, "doc_id").select("doc_id", "pid", compared.alias("s")).select("doc_id", F.col("s.nid").alias("nid"), "pid")
+    asked_words = hays.join(large, "doc_id", "left_semi").select("doc_id", "pid", F.explode(F.array_distinct("hw")).alias("w"))
+    by_part = by_pair.unionByName(word_part_pairs(short.join(large, "doc_id", "left_semi"), asked_words))
 
     candidates = by_gram.unionByName(by_word).unionByName(by_short_hay).unionByName(by_inner).unionByName(by_part).distinct()
     score = (
@@ -256,14 +292,14 @@ def check_questions(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """
     text = lambda c: trim_ws(F.coalesce(c, F.lit("")))
     hays = docs.select("doc_id", fold(strip_anchors(F.coalesce("text", F.lit("")))).alias("_hay"))
-    q = (
+    asked = (
         questions.withColumn("question", text("question"))
         .withColumn("answer", text("answer"))
         .withColumn("source_text", text("source_text"))
         .withColumn("_src", fold(F.col("source_text")))
         .withColumn("_ans", fold(F.col("answer")))
-        .join(hays, "doc_id", "left")
     )
+    q = spread_join(asked, hays, ["doc_id"], F.col("pos"), "left", weigh=questions)
     options = F.col("options")
     kind = F.when(F.col("type").isin(*QUESTION_TYPES), F.col("type")).when(F.size(options) >= 3, "mcq").otherwise("short")
     blank = (F.col("question") == "") | (F.col("answer") == "") | (F.col("source_text") == "")

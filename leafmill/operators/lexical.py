@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.blocks import spread_join
 from leafmill.functions.text import let, tokens_of
 from leafmill.session import stage_table
 
@@ -41,7 +42,7 @@ def vocab_topn(
     )
     by_rank = Window.partitionBy(group).orderBy(F.desc("df"), "seen")
     return (
-        seen.join(sizes, group)
+        spread_join(seen, sizes, [group], F.col("term"), weigh=terms)
         .filter(F.col("df") <= F.col("n_texts") * F.lit(max_df))
         .withColumn("rank", F.row_number().over(by_rank))
         .filter(F.col("rank") <= dim)
@@ -53,7 +54,7 @@ def tfidf_weights(terms: DataFrame, vocab: DataFrame, group: str = "doc_id") ->
     """Sparse vectors (doc_id, chunk_id, idx, term, weight), scaled to unit length."""
     weight = F.col("tf") / F.col("n_tokens") * F.log(F.col("n_texts") / F.col("df"))
     per_chunk = Window.partitionBy(group, "chunk_id")
-    raw = terms.join(vocab, [group, "term"]).select(group, "chunk_id", "idx", "term", weight.alias("w"))
+    raw = spread_join(terms, vocab, [group, "term"], F.col("chunk_id")).select(group, "chunk_id", "idx", "term", weight.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_chunk))
     return raw.withColumn("norm", norm).select(
         group, "chunk_id", "idx", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight")
@@ -108,7 +109,7 @@ def embedding_source(chunks: DataFrame, sources: list[tuple[str, DataFrame]]) ->
         .groupBy("doc_id")
         .agg(F.min("rank").alias("rank"))
     )
-    picked = tagged.join(chosen, ["doc_id", "rank"], "left_semi").drop("rank")
+    picked = spread_join(tagged, chosen, ["doc_id", "rank"], F.col("chunk_id"), "left_semi").drop("rank")
     return chunks.join(picked, ["doc_id", "chunk_id"], "left").select(
         *chunks.columns,
         F.coalesce("embedding", F.array().cast("array<double>")).alias("embedding"),

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import blocks
 from leafmill.operators import chunking, citations, diffing, grounding, pagesets, profiling, responses, retrieval, search, structure
 
 
@@ -246,3 +247,43 @@ def test_heights_that_are_no_numbers_have_their_own_lines(spark):
     rows = [(1, 1, float("nan"), 0), (1, 1, float("inf"), 1), (1, 1, 1.0, 2), (1, 1, 2.0, 3), (1, 1, float("-inf"), 4)]
     got = structure.first_fit(spark.createDataFrame(rows, "doc_id long, page int, y double, seq int"), ["doc_id", "page"], 5.0).collect()
     assert sorted(str(r["line_y"]) for r in got) == ["-inf", "1.0", "1.0", "inf", "nan"]
+
+
+def test_short_snippets_are_found_by_comparing_and_by_the_vocabulary(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    paras = [(d, k, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for d in (1, 2) for k in range(150)]
+    asked, n = [], 0
+    for d, _, text in rng.choices(paras, k=200):
+        a = rng.randrange(max(1, len(text) - 8))
+        asked.append((d, n := n + 1, text[a : a + 8 + rng.randrange(6)]))
+    asked += [(1, n + 1, "zzzzzzzzz"), (1, n + 2, ". . . . . a"), (None, n + 3, "abcabcabc"), (2, n + 4, None), (3, n + 5, "abababab")]
+    snippets = spark.createDataFrame(asked, "doc_id long, snippet_id int, snippet string")
+    table = spark.createDataFrame([(d, k, 1, None, t) for d, k, t in paras], "doc_id long, paragraph_index int, page int, section string, text string")
+    ways = [sorted(map(str, grounding.locate_snippets(snippets, table, bound).collect())) for bound in (0, 1 << 40)]
+    assert ways[0] == ways[1] and len(ways[0]) > 100
+
+    # brute force of the index alone: every paragraph that contains the needle is among the pairs
+    needles = [(d, i, s.split()) for d, i, s in asked if d in (1, 2) and s and s.split() and len(s.split()) <= 2]
+    postings = spark.createDataFrame([(d, k, w) for d, k, t in paras for w in set(t.split())], "doc_id long, pid int, w string")
+    pairs = grounding.word_part_pairs(spark.createDataFrame(needles, "doc_id long, nid int, nw array<string>"), postings).collect()
+    longest = {i: max(ws, key=lambda w: (len(w), w)) for _, i, ws in needles}
+    want = {(d, i, k) for d, i, _ in needles for e, k, t in paras if d == e and longest[i] in t}
+    assert {tuple(p) for p in pairs} == want
+    assert {(d, i, k) for d, i, ws in needles for e, k, t in paras if d == e and " ".join(ws) in t} <= want
+
+
+def test_copies_follow_the_rows_of_a_key(spark):
+    rows = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") < 20, -1).otherwise(F.col("id")).alias("k"), "id")
+    nulls = spark.range(9000).select(F.lit(None).cast("long").alias("k"), (F.col("id") + 30000).alias("id"))
+    both = rows.unionByName(nulls)
+    hot = blocks.hot_keys(both, ["k"], shares=64, least=100)
+    hashes = {r["k"]: r["h"] for r in spark.createDataFrame([(7,), (-1,), (None,)], "k long").select("k", F.xxhash64("k").alias("h")).collect()}
+    # 10000 and 9000 rows at shares of 39000 / 64 rows; a key with ten rows or so has one copy
+    assert hot == {hashes[7]: 17, hashes[None]: 15}
+    lookup = spark.createDataFrame([(7, "a"), (7, "b"), (-1, "c"), (None, "d"), (10**6, "e")], "k long, v string")
+    for how in ("inner", "left", "left_semi"):
+        got = blocks.spread_join(both, lookup, ["k"], F.col("id"), how, shares=64, least=100)
+        want = both.join(lookup, ["k"], how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert blocks.hot_keys(both.limit(0), ["k"]) == {}
