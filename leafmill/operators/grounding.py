@@ -323,7 +323,8 @@ def validate_questions(questions: DataFrame, docs: DataFrame, max_options: int |
     Options are kept whole, or cut to the first `max_options` (suggested: 4), which may cut the right answer out.
     """
     options = F.col("options") if max_options is None else F.slice("options", 1, max_options)
-    checked = check_questions(questions, docs)
+    # counted, joined, numbered and listed again: each is read from a table, so nothing is parsed or checked twice
+    checked = stage_table(check_questions(stage_table(questions), docs))
     kept = number_rows(checked.filter(F.col("reason").isNull()), ["doc_id"], ["pos"], F.floor(F.col("pos") / 4096).cast("bigint"), "_n")
     tf = F.col("type") == "true_false"
     final = kept.select(
