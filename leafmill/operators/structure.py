@@ -329,13 +329,14 @@ def items_to_lines(items: DataFrame, mode: str = "anchor", tolerance: float | No
         tol = LINE_TOLERANCE if tolerance is None else tolerance
         down = inked.withColumn("_down", -F.col("y"))
         lines = point_segments(down, keys, "_down", tol, F.floor(F.col("_down") / 1000).cast("bigint"))
-        placed = down.join(lines, [*keys, "_down"]).withColumn("line_y", -F.col("anchor"))
+        # heights are unpacked from a small staged table, so the planner thinks them few; they are never copied to all tasks
+        placed = down.join(lines.hint("merge"), [*keys, "_down"]).withColumn("line_y", -F.col("anchor"))
     else:
         band = LINE_BAND if tolerance is None else tolerance
         seen = inked.groupBy(*keys, "y").agg(F.min("seq").alias("seq"))
 
         lines = first_fit(seen, keys, float(band))
-        placed = inked.join(lines, [*keys, "y"])
+        placed = inked.join(lines.hint("merge"), [*keys, "y"])
     box = F.struct("x", "seq", "text", "y", "w", "h")
     grouped = placed.groupBy(*keys, "line_y").agg(F.sort_array(F.collect_list(box)).alias("items"))
     if mode == "anchor":

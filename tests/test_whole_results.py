@@ -287,3 +287,14 @@ def test_copies_follow_the_rows_of_a_key(spark):
         want = both.join(lookup, ["k"], how)
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert blocks.hot_keys(both.limit(0), ["k"]) == {}
+
+
+@pytest.mark.parametrize("mode", ["anchor", "first_fit"])
+def test_heights_of_lines_are_never_broadcast(spark, mode):
+    items = spark.createDataFrame(
+        [(1, 1, k, f"w{k}", float(k), 700.0 - 8 * k, 5.0, 10.0) for k in range(20)], "doc_id long, page int, seq int, text string, x double, y double, w double, h double"
+    )
+    lines = structure.items_to_lines(items, mode).drop("items")
+    joins = [x for x in lines._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and ("_down" in x or "y#" in x)]
+    assert any("SortMergeJoin" in x for x in joins) and not any("BroadcastHashJoin" in x for x in joins)
+    assert lines.count() == 20
