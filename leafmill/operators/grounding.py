@@ -83,31 +83,38 @@ def word_part_pairs(needles: DataFrame, postings: DataFrame) -> DataFrame:
     return asked.join(found, ["doc_id", "probe"]).join(postings, ["doc_id", "w"]).select("doc_id", "nid", "pid")
 
 
-def locate_snippets(snippets: DataFrame, paragraphs: DataFrame, pairs_per_doc: int = PAIRS_PER_DOC) -> DataFrame:
-    """(doc_id, snippet_id, page, section, paragraph_index, snippet, score): best paragraph of every snippet found.
+def _hashed(grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.xxhash64(g))
 
-    Equal paragraphs of a document are one candidate (the earliest), and candidates come from indexes instead of all
-    pairs: a snippet that scores at all shares a word 4-gram with the paragraph, or a word when one side has fewer than
-    four words. A contained snippet may begin and end inside words, so one of at least six words shares an inner
-    4-gram, one of three to five shares its longest inner word, and shorter ones are looked up as substrings: at
-    most `pairs_per_doc` pairs of a document are compared, and one with more is asked by the character trigrams of its
-    vocabulary. Both ways find the same.
-    """
-    long_enough = snippets.filter(F.length("snippet") >= MIN_SNIPPET_CHARS)
-    asked = long_enough.select("doc_id", "snippet_id", fold(F.col("snippet")).alias("needle")).filter(F.length("needle") > 0)
-    needles = asked.groupBy("doc_id", "needle").agg(F.min("snippet_id").alias("nid"))
-    # five branches read each side: written once, not folded five times
-    needles = stage_table(needles.withColumn("nw", split_words(F.col("needle"))))
-    folded = paragraphs.select("doc_id", "paragraph_index", fold(F.col("text")).alias("hay")).filter(F.length("hay") > 0)
-    hays = stage_table(
-        folded.groupBy("doc_id", "hay").agg(F.min("paragraph_index").alias("pid")).withColumn("hw", split_words(F.col("hay")))
-    )
 
+def _compared(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(doc_id, needle, paragraph_index, score, at, hay_len) of all pairs of a document that score: its needles meet every
+    paragraph in one join, so only the needles are copied and no gram is shuffled."""
+    words = needles.withColumn("nw", split_words(F.col("needle"))).withColumn("ng", _hashed(shingles(F.col("nw"))))
+    asking = words.groupBy("doc_id").agg(F.collect_list(F.struct("needle", "nw", "ng")).alias("asking"))
+
+    def scores(s: Column) -> Column:
+        score = (
+            F.when(F.contains("hay", s["needle"]), F.length(s["needle"]))
+            .when((F.size(s["nw"]) >= 4) & (F.size("hw") >= 4), SHINGLE_WEIGHT * F.size(F.array_intersect(s["ng"], F.col("hg"))))
+            .otherwise(F.size(F.filter(s["nw"], lambda w: F.array_contains(F.col("hw"), w))))
+        )
+        return F.struct(s["needle"].alias("needle"), score.alias("score"), (F.instr(F.col("hay"), s["needle"]) - 1).alias("at"))
+
+    met = hays.join(asking.hint("merge"), "doc_id").select("doc_id", "pid", "hay", "asking")
+    met = met.withColumn("hw", split_words(F.col("hay"))).withColumn("hg", _hashed(shingles(F.col("hw"))))
+    found = met.select("doc_id", "pid", F.length("hay").alias("hay_len"), F.explode(F.filter(F.transform("asking", scores), lambda x: x["score"] > 0)).alias("x"))
+    return found.select("doc_id", "x.needle", F.col("pid").alias("paragraph_index"), "x.score", "x.at", "hay_len")
+
+
+def _looked_up(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """The same for documents with many pairs: candidates come from indexes of words and of hashed word 4-grams."""
+    needles, hays = needles.withColumn("nw", split_words(F.col("needle"))), hays.withColumn("hw", split_words(F.col("hay")))
     pair = ["doc_id", "nid", "pid"]
     n_size, h_size = F.size("nw"), F.size("hw")
     # word 4-grams on both sides
-    ng = needles.filter(n_size >= 4).select("doc_id", "nid", F.explode(shingles(F.col("nw"))).alias("g"))
-    hg = hays.filter(h_size >= 4).select("doc_id", "pid", F.explode(shingles(F.col("hw"))).alias("g"))
+    ng = needles.filter(n_size >= 4).select("doc_id", "nid", F.explode(_hashed(shingles(F.col("nw")))).alias("g"))
+    hg = hays.filter(h_size >= 4).select("doc_id", "pid", F.explode(_hashed(shingles(F.col("hw")))).alias("g"))
     by_gram = ng.join(hg, ["doc_id", "g"]).select(*pair)
     # single words when one side is short
     hword = hays.select("doc_id", "pid", h_size.alias("hn"), F.explode(F.array_distinct("hw")).alias("w"))
@@ -124,16 +131,8 @@ def locate_snippets(snippets: DataFrame, paragraphs: DataFrame, pairs_per_doc: i
         .filter(F.contains("hay", F.col("needle")))
         .select(*pair)
     )
-    # one or two words: substrings. Where a document has few pairs they are compared, else its vocabulary is asked
-    short = needles.filter(n_size <= 2)
-    sides = short.groupBy("doc_id").agg(F.count(F.lit(1)).alias("a")).join(hays.groupBy("doc_id").agg(F.count(F.lit(1)).alias("b")), "doc_id")
-    large = stage_table(sides.filter(F.col("a") * F.col("b") > pairs_per_doc).select("doc_id"))
-    few = short.join(large, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("nid", "needle")).alias("few"))
-    compared = F.explode(F.filter("few", lambda s: F.contains(F.col("hay"), s["needle"])))
-    by_pair = hays.join(few, "doc_id").select("doc_id", "pid", compared.alias("s")).select("doc_id", F.col("s.nid").alias("nid"), "pid")
-    asked_words = hays.join(large, "doc_id", "left_semi").select("doc_id", "pid", F.explode(F.array_distinct("hw")).alias("w"))
-    by_part = by_pair.unionByName(word_part_pairs(short.join(large, "doc_id", "left_semi"), asked_words))
-
+    # one or two words: parts of the vocabulary's words
+    by_part = word_part_pairs(needles.filter(n_size <= 2), hword.select("doc_id", "pid", "w"))
     candidates = by_gram.unionByName(by_word).unionByName(by_short_hay).unionByName(by_inner).unionByName(by_part).distinct()
     score = (
         F.when(F.contains("hay", F.col("needle")), F.length("needle"))
@@ -143,12 +142,35 @@ def locate_snippets(snippets: DataFrame, paragraphs: DataFrame, pairs_per_doc: i
         )
         .otherwise(F.size(F.filter("nw", lambda w: F.array_contains(F.col("hw"), w))))
     )
-    scored = (
+    return (
         candidates.join(needles, ["doc_id", "nid"])
         .join(hays, ["doc_id", "pid"])
         .select("doc_id", "needle", F.col("pid").alias("paragraph_index"), score.alias("score"),
                 (F.instr("hay", F.col("needle")) - 1).alias("at"), F.length("hay").alias("hay_len"))
     )
+
+
+def locate_snippets(snippets: DataFrame, paragraphs: DataFrame, pairs_per_doc: int = PAIRS_PER_DOC) -> DataFrame:
+    """(doc_id, snippet_id, page, section, paragraph_index, snippet, score): best paragraph of every snippet found.
+
+    Equal paragraphs of a document are one candidate (the earliest). Where a document has at most `pairs_per_doc` pairs of
+    snippets and paragraphs, all are compared. Where it has more, candidates come from indexes: a snippet that scores at
+    all shares a word 4-gram with the paragraph, or a word when one side has fewer than four words. A contained snippet may
+    begin and end inside words, so one of at least six words shares an inner 4-gram, one of three to five shares its
+    longest inner word, and shorter ones are asked by the character trigrams of the vocabulary. Both ways find the same.
+    """
+    long_enough = snippets.filter(F.length("snippet") >= MIN_SNIPPET_CHARS)
+    asked = long_enough.select("doc_id", "snippet_id", fold(F.col("snippet")).alias("needle")).filter(F.length("needle") > 0)
+    # read by both ways and for the counts: written once, not folded again
+    needles = stage_table(asked.groupBy("doc_id", "needle").agg(F.min("snippet_id").alias("nid")))
+    folded = paragraphs.select("doc_id", "paragraph_index", fold(F.col("text")).alias("hay")).filter(F.length("hay") > 0)
+    hays = stage_table(folded.groupBy("doc_id", "hay").agg(F.min("paragraph_index").alias("pid")))
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    sides = count(needles, "a").join(count(hays, "b"), "doc_id")
+    large = stage_table(sides.filter(F.col("a") * F.col("b") > pairs_per_doc).select("doc_id"))
+    compared = _compared(needles.join(large, "doc_id", "left_anti"), hays)
+    many = needles.join(large, "doc_id", "left_semi"), hays.join(large, "doc_id", "left_semi")
+    scored = compared if large.isEmpty() else compared.unionByName(_looked_up(*many))
     best = scored.groupBy("doc_id", "needle").agg(
         F.max_by(F.struct("paragraph_index", "score", "at", "hay_len"), F.struct("score", -F.col("paragraph_index"))).alias("b")
     ).select("doc_id", "needle", "b.*")

@@ -298,3 +298,22 @@ def test_heights_of_lines_are_never_broadcast(spark, mode):
     joins = [x for x in lines._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and ("_down" in x or "y#" in x)]
     assert any("SortMergeJoin" in x for x in joins) and not any("BroadcastHashJoin" in x for x in joins)
     assert lines.count() == 20
+
+
+def test_long_snippets_are_found_by_comparing_and_by_the_indexes(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    paras = [(d, k, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for d in (1, 2) for k in range(60)]
+    asked = []
+    for n, (d, _, text) in enumerate(rng.choices(paras, k=120)):
+        a = rng.randrange(max(1, len(text) - 8))
+        piece = text[a : a + 8 + rng.randrange(60)]
+        asked.append((d, n, piece if n % 3 else piece.replace(" ", " zebra ", 1)))
+    snippets = spark.createDataFrame(asked, "doc_id long, snippet_id int, snippet string")
+    table = spark.createDataFrame([(d, k, 1, None, t) for d, k, t in paras], "doc_id long, paragraph_index int, page int, section string, text string")
+    ways = [sorted(map(str, grounding.locate_snippets(snippets, table, bound).collect())) for bound in (0, 1 << 40)]
+    assert ways[0] == ways[1] and len(ways[0]) > 60
+    # few pairs are compared in place: no snippet or paragraph is unpacked into grams that are shuffled
+    plan = grounding.locate_snippets(snippets, table)._jdf.queryExecution().optimizedPlan().toString()
+    unpacked = [x for x in plan.splitlines() if "Generate explode" in x]
+    assert len(unpacked) == 1 and "xxhash64" not in unpacked[0].split("filter")[0]
