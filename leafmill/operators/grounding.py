@@ -261,23 +261,26 @@ def merge_highlights(highlights: DataFrame, max_n: int | None = None, min_overla
     rank = F.struct(weight.alias("w"), (-F.col("confidence")).alias("c"), F.col("hl_id").alias("hl_id"))
     ranked = stage_table(highlights.withColumn("_rank", rank).withColumn("_norm", fold(F.col("text"))))
     lead = ranked.groupBy("doc_id", "_norm").agg(F.min("_rank").alias("_rank"))
-    sets = lead.select("doc_id", F.col("_rank.hl_id").alias("hl_id"), "_rank", F.explode(shingles(split_words(F.col("_norm")))).alias("g"))
-    df = sets.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("df"))
-    grams = sets.join(df.filter("df > 1"), ["doc_id", "g"], "left").fillna(1, ["df"])
-    per_hl = Window.partitionBy("doc_id", "hl_id")
-    placed = stage_table(
-        grams.withColumn("n", F.count(F.lit(1)).over(per_hl)).withColumn("pos", F.row_number().over(per_hl.orderBy("df", "g")))
+    # a gram travels as the hash of its document and itself, so every step moves numbers, not texts
+    grams = F.transform(shingles(split_words(F.col("_norm"))), lambda g: F.xxhash64("doc_id", g))
+    bags = stage_table(
+        lead.select("doc_id", F.col("_rank.hl_id").alias("hl_id"), "_rank", grams.alias("gs"))
+        .filter(F.col("hl_id").isNotNull() & (F.size("gs") > 0))
+        .groupBy("doc_id", "hl_id").agg(F.min("_rank").alias("_rank"), F.array_distinct(F.flatten(F.collect_list("gs"))).alias("gs"))
+        .withColumn("nid", F.monotonically_increasing_id())
     )
-    prefix = placed.filter((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_overlap)) + 1) & (F.col("df") > 1))
-    shared = placed.filter("df > 1")
-    a = prefix.select("doc_id", "g", F.col("hl_id").alias("ha"))
-    b = shared.select("doc_id", "g", F.col("hl_id").alias("hb"))
-    candidates = a.join(b, ["doc_id", "g"]).filter("ha <> hb").select("doc_id", "ha", "hb").distinct()
-    bags = placed.groupBy("doc_id", "hl_id").agg(F.collect_set("g").alias("gs"), F.first("_rank").alias("_rank"))
-    left = bags.select("doc_id", F.col("hl_id").alias("ha"), F.col("gs").alias("ga"), F.col("_rank").alias("ra"))
-    right = bags.select("doc_id", F.col("hl_id").alias("hb"), F.col("gs").alias("gb"), F.col("_rank").alias("rb"))
+    sets = bags.select("nid", F.size("gs").alias("n"), F.explode("gs").alias("g"))
+    # grams that one highlight alone has are the rarest and meet nothing, so they are only counted
+    shared = stage_table(sets.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).filter("df > 1"))
+    per_hl = Window.partitionBy("nid")
+    alone = F.col("n") - F.count(F.lit(1)).over(per_hl)
+    placed = shared.withColumn("pos", alone + F.row_number().over(per_hl.orderBy("df", "g")))
+    prefix = placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_overlap)) + 1)
+    pairs = prefix.select("g", F.col("nid").alias("x")).join(shared.select("g", F.col("nid").alias("y")), "g").filter("x <> y")
+    candidates = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda s: bags.select(F.col("nid").alias(s), "doc_id", F.col("hl_id").alias(f"h{s}"), F.col("gs").alias(f"g{s}"), F.col("_rank").alias(f"r{s}"))
     overlap = F.size(F.array_intersect("ga", "gb"))
-    near = candidates.join(left, ["doc_id", "ha"]).join(right, ["doc_id", "hb"]).filter(
+    near = candidates.join(side("a"), "a").join(side("b").drop("doc_id"), "b").filter(
         overlap >= F.least(F.size("ga"), F.size("gb")) * F.lit(min_overlap)
     )
     beaten = near.select("doc_id", F.when(F.col("ra") < F.col("rb"), F.col("hb")).otherwise(F.col("ha")).alias("hl_id")).distinct()

@@ -317,3 +317,12 @@ def test_long_snippets_are_found_by_comparing_and_by_the_indexes(spark):
     plan = grounding.locate_snippets(snippets, table)._jdf.queryExecution().optimizedPlan().toString()
     unpacked = [x for x in plan.splitlines() if "Generate explode" in x]
     assert len(unpacked) == 1 and "xxhash64" not in unpacked[0].split("filter")[0]
+
+
+def test_grams_of_highlights_travel_as_numbers(spark):
+    rows = [(d, k, f"a b c d e f g h i j k{k // 2}" + " x" * (k % 2), "high", k) for d in (1, 2) for k in range(20)]
+    highlights = spark.createDataFrame(rows, "doc_id long, hl_id int, text string, importance string, confidence int")
+    merged = grounding.merge_highlights(highlights)
+    schemas = {f.name: f.dataType.simpleString() for x in merged.inputFiles() for f in spark.read.parquet(x).schema}
+    assert schemas["g"] == "bigint" and schemas["gs"] == "array<bigint>"
+    assert [tuple(r) for r in merged.select("doc_id", "hl_id", "position").orderBy("doc_id").collect()] == [(1, 19, 1), (2, 19, 1)]
