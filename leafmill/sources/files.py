@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.blocks import number_rows
-from leafmill.functions.text import PAGE_JOINER, clip, nonempty, trim_ws
+from leafmill.functions.text import PAGE_JOINER, clip, let, nonempty, trim_ws
 
 # Fixed values.
 TYPE_BY_EXT = {
@@ -36,6 +38,7 @@ INLINE_FIELDS = {
 EXT_BY_MIME = {
     "application/pdf": ".pdf", "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp",
 }
+BASE64_CHARS = string.ascii_letters + string.digits + "+/"
 MIN_INLINE_CHARS = 100
 MIN_INLINE_BYTES = 10
 PREVIEW_CHARS = 300
@@ -121,10 +124,28 @@ def format_counts(sniffed: DataFrame) -> DataFrame:
 
 
 def decode_base64(c: Column) -> Column:
-    """Lenient base64: foreign characters are skipped and missing padding is added."""
-    kept = F.regexp_replace(F.translate(c, "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    whole = F.when(F.length(kept) % 4 == 1, F.substring(kept, F.lit(1), F.length(kept) - 1)).otherwise(kept)
-    return F.unbase64(F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), "="))
+    """Lenient base64: foreign characters are skipped and missing padding is added.
+
+    The foreign characters are what is left without the alphabet; a pattern for them takes many times as long.
+    """
+    plain = F.replace(F.replace(c, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+
+    def kept(p: Column) -> Column:
+        return F.call_function("translate", p, F.translate(p, BASE64_CHARS, ""), F.lit(""))
+
+    def whole(kept: Column) -> Column:
+        return F.when(F.length(kept) % 4 == 1, F.substring(kept, F.lit(1), F.length(kept) - 1)).otherwise(kept)
+
+    def padded(w: Column) -> Column:
+        return F.rpad(w, (F.ceil(F.length(w) / 4) * 4).cast("int"), "=")
+
+    return F.unbase64(let(let(let(plain, kept), whole), padded))
+
+
+def once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and new columns that are computed once a row: a later filter on them is not pushed below their computation,
+    which would compute them again for the filter, with all they are made of."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 BODY_REJECT = "body is not a JSON object"
@@ -165,22 +186,20 @@ def inline_payloads(rows: DataFrame, body: str = "body", key: str = "row_id") ->
     )
     boxed = F.startswith("v.raw", F.lit("{"))
     data = F.when(boxed, F.coalesce(*[nonempty(F.col(f"o.{k}"), none) for k in ("uri", "data", "base64")])).otherwise(F.col("v.raw"))
-    read = offers.select(
-        key, "field", "item", data.alias("data"), nonempty(F.col("o.name"), F.col("v.name")).alias("name"), nonempty(F.col("o.type"), F.col("v.mime")).alias("mime")
-    )
-    pattern = F.lit(r"^data:([^;]+);base64,(.+)\z")
-    is_uri = F.rlike("data", pattern)
-    payload = F.when(is_uri, F.substring(F.col("data"), F.instr("data", ";base64,") + len(";base64,"), F.length("data"))).otherwise(F.col("data"))
-    mime = nonempty(F.when(is_uri, F.regexp_extract("data", r"^data:([^;]+);", 1)), nonempty(F.col("mime"), F.lit("application/pdf")))
-    checked = read.select(key, "field", "item", "name", mime.alias("mime"), payload.alias("payload"))
+    at = [key, "field", "item"]
+    read = once(offers, at, data=data, name=nonempty(F.col("o.name"), F.col("v.name")), given=nonempty(F.col("o.type"), F.col("v.mime")))
+    uri = once(read, [*at, "data", "name", "given"], is_uri=F.rlike("data", F.lit(r"^data:([^;]+);base64,(.+)\z")))
+    payload = F.when(F.col("is_uri"), F.substring(F.col("data"), F.instr("data", ";base64,") + len(";base64,"), F.length("data"))).otherwise(F.col("data"))
+    mime = nonempty(F.when(F.col("is_uri"), F.regexp_extract("data", r"^data:([^;]+);", 1)), nonempty(F.col("given"), F.lit("application/pdf")))
+    checked = once(uri, [*at, "name"], mime=mime, payload=payload)
     text_reason = (
         F.when(F.col("field").isNull(), BODY_REJECT)
         .when(F.coalesce(F.length("payload"), F.lit(0)) == 0, EMPTY_REJECT)
         .when(F.length("payload") < MIN_INLINE_CHARS, SHORT_REJECT)
         .when(~F.rlike(clip(F.col("payload"), 200), F.lit(r"^[A-Za-z0-9+/=\r\n]+\z")), ALPHABET_REJECT)
     )
-    named = checked.withColumn("reason", text_reason)
-    decoded = named.withColumn("content", F.when(F.col("reason").isNull(), decode_base64(F.col("payload"))))
+    named = once(checked, [*at, "name", "mime", "payload"], reason=text_reason)
+    decoded = once(named, [*at, "name", "mime", "reason"], content=F.when(F.col("reason").isNull(), decode_base64(F.col("payload"))))
     ext = F.coalesce(F.create_map(*[F.lit(v) for kv in EXT_BY_MIME.items() for v in kv])[F.col("mime")], F.lit(""))
     return decoded.select(
         key, "field", F.when(F.col("field").isNotNull(), F.col("item")).alias("item"),
