@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.functions.text import trim_ws, words_of
+from leafmill.functions.text import place_of, trim_ws, words_of
 
 # Fixed values.
 MAX_WORDS = 100
@@ -39,7 +40,8 @@ def _word_table(pages_a: DataFrame, pages_b: DataFrame) -> DataFrame:
         "doc_id", F.lit(v).alias("v"), "page", F.posexplode(words_of(trim_ws(F.col("text")))).alias("k", "word")
     )
     words = side(pages_a, "a").unionByName(side(pages_b, "b"))
-    at = F.struct("page", "k")
+    whole = words.schema["page"].dataType == T.IntegerType()
+    at = place_of(F.col("page"), F.col("k")) if whole else F.struct("page", "k")
     return words.groupBy("doc_id", "word").agg(
         F.count_if(F.col("v") == "a").alias("in_a"),
         F.count_if(F.col("v") == "b").alias("in_b"),
