@@ -60,3 +60,39 @@ def test_foreign_characters_are_skipped(spark, marks):
         text = marks.join(text[k : k + 50] for k in range(0, len(text), 50)) + marks
     got = spark.createDataFrame([(text,), (text + "A" * ((5 - len(raw) * 4 // 3 % 4) % 4),), (None,)], "c string").select(files.decode_base64(F.col("c"))).collect()
     assert bytes(got[0][0]) == raw and bytes(got[1][0])[: len(raw)] == raw and got[2][0] is None
+
+
+def test_terms_are_those_of_the_patterns(spark):
+    import re
+
+    from leafmill.functions.text import WS_CHARS, tokens_of
+
+    texts = ["", "a b", "The Quick, brown--fox 12x3 x.y.z", "Ünï çode ÉCOLE straße 𝄞abc𝄞 İstanbul", f"one{WS_CHARS}two" + "​three\x85four\x1cfive", "\\ $1 ^-] [a-z]", None]
+    texts += [f"ab{ch}cd{ch}ef gh" for ch in WS_CHARS + "​᠎\x00\x7f́"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("t", F.lower("t").alias("low"), tokens_of(F.col("t")).alias("w")).collect()
+    for r in got:
+        wanted = None if r["t"] is None else [w for w in (re.sub("[^a-z0-9]", "", x) for x in re.split(f"[{re.escape(WS_CHARS)}]+", r["low"])) if len(w) >= 3]
+        assert r["w"] == wanted, r["t"]
+
+
+def test_first_places_are_found_without_sorting_all_rows(spark):
+    from leafmill.operators import diffing, lexical
+
+    chunks = spark.createDataFrame([(1, 0, "one two two"), (1, 1, "six two one"), (2, 0, None)], "doc_id long, chunk_id int, text string")
+    vocab = lexical.vocab_topn(lexical.chunk_terms(chunks), chunks, 8, 1.0)
+    assert [(r["term"], r["df"]) for r in vocab.orderBy("idx").collect()] == [("one", 2), ("two", 2), ("six", 1)]
+    a = spark.createDataFrame([(1, 2, "late x"), (1, 1, "x soon"), (1, None, "none")], "doc_id long, page int, text string")
+    b = spark.createDataFrame([(1, 1, "x new")], "doc_id long, page int, text string")
+    diffs = diffing.word_diffs(a, b)
+    assert sorted(tuple(r) for r in diffs.collect()) == [(1, "only_a", 1, "none"), (1, "only_a", 2, "soon"), (1, "only_a", 3, "late"), (1, "only_b", 1, "new")]
+    for df in (vocab, diffs):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citations_are_found_once_for_a_bibliography(spark):
+    from leafmill.operators import citations
+
+    docs = spark.createDataFrame([(1, "References\n[1] Doe, A. (1999). A first long title. MIT Press.\n[2] Roe, B. (2001). A second long title. MIT Press.")], "doc_id long, text string")
+    found = citations.bibliography(citations.parse_entries(citations.split_entries(docs)), "mla")
+    assert [r["n"] for r in found.orderBy("n").collect()] == [1, 2]
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
