@@ -23,6 +23,8 @@ STAR_ROUNDS = 3
 BLOCK = 1000
 #: a bucket that costs more comparisons is divided by the parts of another sketch, at most so many times
 COMPARED, DIVISIONS = BLOCK * BLOCK, 3
+#: partners a member gives of a pair of blocks, round by round, before all are given
+NEAREST = (1, 1, 4)
 #: bits of a stored sketch per token, and at most
 SKETCH, MOST_BITS = 4, 1 << 17
 
@@ -170,11 +172,12 @@ def _divided(crowded: DataFrame, sets: DataFrame, percent: int, turn: int) -> Da
     return crowded.select("key", "nid").join(sets.select("nid", "tokens"), "nid").mapInArrow(lean(divide), "key long, nid long")
 
 
-def _pairs_across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of members of a bucket in different components whose sketches allow a link; x is outside the main one.
+def _pairs_across(mixed: DataFrame, sets: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """(x, y, key) of members of a bucket in different components whose sketches allow a link; x is outside the main one.
 
     The members are cut into blocks, those outside the main component are cut into blocks once more, and each pair of
-    blocks is compared in numpy by one task.
+    blocks is compared in numpy by one task. With `best` a member gives only its so many nearest partners of a pair of
+    blocks, and a pair of blocks that has more says so by its key (null where all are given).
     """
     outside = F.col("comp") != F.col("main")
     blocks, sides = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "rest"))
@@ -187,28 +190,36 @@ def _pairs_across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = held.select(*columns).union(asking.select(*columns))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
-        for batch in batches:
-            if waiting is not None:
-                batch = pa.concat_batches([waiting, batch])
-            keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _compare(batch.slice(a, b - a), percent)], ["x", "y"])
-            waiting = batch.slice(cuts[-1])
-        if waiting is not None and waiting.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _compare(waiting, percent)], ["x", "y"])
-
-    return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(compare), "x long, y long").distinct()
-
-
-def _compare(group: pa.RecordBatch, percent: int, words_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sketches differ in no more bits than linked sets of their sizes differ in tokens."""
+        def groups() -> Iterator[pa.RecordBatch]:
+            waiting = None
+            for batch in batches:
+                if waiting is not None:
+                    batch = pa.concat_batches([waiting, batch])
+                keys = np.stack([batch.column(c).to_numpy() for c in by], axis=1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield batch.slice(a, b - a)
+                waiting = batch.slice(cuts[-1])
+            if waiting is not None and waiting.num_rows:
+                yield waiting
+
+        for group in groups():
+            x, y, more = _compare(group, percent, best)
+            if len(x):
+                key = pa.array(np.full(len(x), group.column("key")[0].as_py()), mask=np.full(len(x), not more))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), key], ["x", "y", "key"])
+
+    return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(compare), "x long, y long, key long")
+
+
+def _compare(group: pa.RecordBatch, percent: int, best: int | None, words_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs whose sketches differ in no more bits than linked sets of their sizes differ in tokens, and whether there are
+    more than the `best` ones of each member that are given."""
     nid, comp, main, n = (group.column(c).to_numpy() for c in ("nid", "comp", "main", "n"))
     asks = group.column("asks").to_numpy(zero_copy_only=False)
     sketch = stacked(group.column("sketch").to_pylist())
     left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-    found_x, found_y = [nid[:0]], [nid[:0]]
+    found_x, found_y, more = [nid[:0]], [nid[:0]], False
     step = max(1, words_at_once // max(1, len(right)))
     for at in range(0, len(left), step):
         a = left[at : at + step]
@@ -218,12 +229,36 @@ def _compare(group: pa.RecordBatch, percent: int, words_at_once: int = 1 << 20)
         p, q = np.nonzero(ok)
         p, q = a[p], right[q]
         size = max(1, words_at_once // sketch.shape[1])
-        for k in range(0, len(p), size):
-            x, y = p[k : k + size], q[k : k + size]
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most_different(n[x], n[y], percent)
-            found_x.append(nid[x[near]])
-            found_y.append(nid[y[near]])
-    return np.concatenate(found_x), np.concatenate(found_y)
+        bits = [np.bitwise_count(sketch[p[k : k + size]] ^ sketch[q[k : k + size]]).sum(axis=1, dtype=np.int64) for k in range(0, len(p), size)]
+        spare = most_different(n[p], n[q], percent) - np.concatenate([np.empty(0, np.int64), *bits])
+        p, q, spare = p[spare >= 0], q[spare >= 0], spare[spare >= 0]
+        if best is not None:
+            order = np.lexsort((nid[q], -spare, p))
+            p, q = p[order], q[order]
+            first = np.flatnonzero(run_starts(p))
+            near = np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p)))) < best
+            more |= not near.all()
+            p, q = p[near], q[near]
+        found_x.append(nid[p])
+        found_y.append(nid[q])
+    return np.concatenate(found_x), np.concatenate(found_y), more
+
+
+def _linked(mixed: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`labels` after all links between components in the given buckets are joined.
+
+    A near group of m members has m * m pairs, but few links join it. So members give their nearest partners first, these
+    are confirmed and joined, and only buckets that have more are looked at again, with the labels of then. What is still
+    apart after `NEAREST` is compared whole, so no pair is left out.
+    """
+    for best in (*NEAREST, None):
+        found = stage(_pairs_across(mixed, sets, percent, best))
+        labels = connect(labels, stage(_confirm(found.select("x", "y").distinct(), sets, percent)))
+        again = found.where("key IS NOT NULL").select("key").distinct()
+        if best is None or again.isEmpty():
+            return labels
+        mixed = stage(_mixed(mixed.select("key", "nid").join(again, "key"), labels))
+    return labels
 
 
 def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +277,8 @@ def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
        draw) with which it shares most parts. Then the members of a bucket outside its largest component are compared with
        the others, in blocks; a bucket that would cost over 1 000 000 comparisons is first divided by the parts of another
        sketch (linked sets agree there as well), up to three times. Pairs whose whole sketches differ in more bits than the
-       sizes allow are passed over; the others are confirmed on their full sets.
+       sizes allow are passed over; the others are confirmed on their full sets. The nearest partners are confirmed and
+       joined first: pairs that they bring into one component are implied and not listed; all others are.
     3. Components are joined by spreading smallest labels; every step is a table in the shared folder.
 
     Tokens are 64-bit hashes of the shingles. Edge cases: null and empty texts, and texts without words, have an empty set
@@ -279,7 +315,7 @@ def jaccard_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             members = None
         else:
             pairs, members = mixed.where(~dear), stage(_divided(crowded, sets, percent, turn))
-        labels = connect(labels, stage(_confirm(stage(_pairs_across(pairs, sets, percent)), sets, percent)))
+        labels = _linked(pairs, labels, sets, percent)
         if members is None:
             break
 

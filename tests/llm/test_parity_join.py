@@ -113,3 +113,25 @@ def test_words_of_patterns_are_told_apart():
     b = a.translate(str.maketrans("ab", "ba"))
     sets = near_dedup.shingle_sets(pa.array([f"{a} x y", f"{b} x y", f"{a} x y"]), 3)
     assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist()
+
+
+def test_few_pairs_of_a_near_group_are_confirmed(spark, monkeypatch):
+    """A group of m near copies has m * m pairs; those given before its members are joined grow with m only."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, edited(rng, base, 2)) for k in range(120)] + [(500, " ".join(f"z{k}" for k in range(400)))]
+    confirm, given = parity_join._confirm, []
+    monkeypatch.setattr(parity_join, "_confirm", lambda pairs, *rest: (given.append(pairs.count()), confirm(pairs, *rest))[1])
+    monkeypatch.setattr(parity_join, "STAR_ROUNDS", 0)
+    check(spark, rows)
+    assert 0 < sum(given) < 10 * 120
+
+
+def test_pairs_behind_the_nearest_ones_are_not_left_out(spark, monkeypatch):
+    """The nearest partner by sketch may be no link; the others are compared whole in the last round."""
+    monkeypatch.setattr(parity_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(parity_join, "NEAREST", ())
+    rows = list(enumerate(family(11, 120, 20, 6)))
+    check(spark, rows)
+    monkeypatch.setattr(parity_join, "NEAREST", (1,))
+    check(spark, rows)
