@@ -64,6 +64,14 @@ def whole_row(columns: tuple[str, ...]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
 
 
+def give_back() -> None:
+    """Hand memory of finished work back to the system; Spark keeps a worker for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(work):
     """Wraps a function over Arrow batches so that its worker, which Spark keeps for later tasks, gives memory back at the end."""
 
@@ -72,10 +80,7 @@ def lean(work):
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

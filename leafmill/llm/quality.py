@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import joined, lean, mix, pieces_of, rolling, whole_row, word_hashes, word_spans
+from leafmill.llm.common import give_back, joined, lean, mix, pieces_of, rolling, whole_row, word_hashes, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -139,8 +139,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     sample = sample.groupBy("draw", "id", "label").agg(F.min("text").alias("text")).withColumn("one", F.lit(0))
 
     def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("draw", "ascending"), ("text", "ascending")])
-        model = _train(group["text"].to_pylist(), np.asarray(group["label"].to_pylist(), np.float64), calibration_rows / bound)
+        group = group.select(["draw", "text", "label"]).sort_by([("draw", "ascending"), ("text", "ascending")])
+        try:
+            model = _train((t.as_py() for t in group["text"]), np.asarray(group["label"].to_pylist(), np.float64), calibration_rows / bound)
+        finally:
+            give_back()
         rows = [] if model is None else [{"weights": model.weights.astype("<f4").tobytes(), "slope": model.slope, "shift": model.shift}]
         return pa.Table.from_pylist(rows, schema=pa.schema([("weights", pa.binary()), ("slope", pa.float64()), ("shift", pa.float64())]))
 
@@ -150,7 +153,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text
     return QualityModel(np.frombuffer(found[0]["weights"], "<f4"), found[0]["slope"], found[0]["shift"])
 
 
-def _train(texts: list[str], labels: np.ndarray, held_out: float, epochs: int = 12) -> QualityModel | None:
+def _train(texts: Iterable[str], labels: np.ndarray, held_out: float, epochs: int = 12) -> QualityModel | None:
     """Logistic regression on hashed counts by averaged mini-batch gradient steps, classes weighted alike."""
     if len(set(labels.tolist())) < 2:
         return None
@@ -216,13 +219,17 @@ def quality_rules(docs: DataFrame, model: QualityModel | None, *, key: str = "do
     Edge cases: a null or empty text has no words and fails the base rules; null and repeated keys are ordinary rows; an
     empty table gives an empty result; other columns are ignored unless carried.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *([whole_row(carry)] if carry else []))
+    # a carried text is taken from its row, so that it travels once
+    own = [] if text in carry else [F.col(text).alias("text")]
+    rows = docs.select(F.col(key).alias("doc_id"), *own, *([whole_row(carry)] if carry else []))
     types = dict(rows.dtypes)
     schema = f"doc_id {types['doc_id']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, p_good double, kept boolean"
     schema += f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not own:
+                batch = batch.append_column("text", batch.column("row").field(text))
             for part in pieces_of(batch, "text", 1 << 20):
                 m = _measure(part, "text")
                 failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
