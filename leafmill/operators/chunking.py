@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions.blocks import _BLK, NO_ANCHOR, block_anchors, block_of, entry_anchors
-from leafmill.functions.text import PAGE_JOINER, is_blank, trim_ws
+from leafmill.functions.text import PAGE_JOINER, is_blank, let, trim_ws
 from leafmill.session import stage_table
 
 # Fixed values.
@@ -31,25 +31,37 @@ PAGES_PER_BLOCK = 4096
 PARTS_BYTES = 8 << 20
 
 
+def piece_starts(page: Column, paragraphs: Column, max_chars: int) -> Column:
+    """Where the sub-chunks of a page begin, as places in its paragraphs (from 0); worked out on lengths only."""
+    again = F.length(page.cast("string")) + len("[Page  continued]\n")
+
+    def step(acc: Column, para: Column) -> Column:
+        full = (acc["cur"] + F.length(para) > max_chars) & (acc["cur"] > 20)
+        return F.struct(
+            (F.when(full, again).otherwise(acc["cur"]) + F.length(para) + len(PAGE_JOINER)).alias("cur"),
+            (acc["at"] + 1).alias("at"),
+            F.when(full, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    first = F.length(page.cast("string")) + len("[Page ]\n")
+    empty = F.struct(first.alias("cur"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+    return F.aggregate(paragraphs, empty, step, lambda acc: acc["starts"])
+
+
 def split_large_page(page: Column, text: Column, max_chars: int) -> Column:
     """Sub-chunks of one page cut at paragraph breaks; a paragraph over the limit stays whole."""
     start = F.concat(F.lit("[Page "), page.cast("string"), F.lit("]\n"))
     again = F.concat(F.lit("[Page "), page.cast("string"), F.lit(" continued]\n"))
-    paragraphs = F.split(text, "\n{2,}")
 
-    def step(acc: Column, para: Column) -> Column:
-        full = (F.length(acc["cur"]) + F.length(para) > max_chars) & (F.length(acc["cur"]) > 20)
-        return F.struct(
-            F.concat(F.when(full, again).otherwise(acc["cur"]), para, F.lit(PAGE_JOINER)).alias("cur"),
-            F.when(full, F.array_append(acc["out"], trim_ws(acc["cur"]))).otherwise(acc["out"]).alias("out"),
-        )
+    def cut(paragraphs: Column, starts: Column) -> Column:
+        def piece(at: Column, k: Column) -> Column:
+            to = F.coalesce(F.get(starts, k + 1), F.size(paragraphs))
+            body = F.array_join(F.slice(paragraphs, at + 1, to - at), PAGE_JOINER)
+            return trim_ws(F.concat(F.when(k == 0, start).otherwise(again), body))
 
-    def finish(acc: Column) -> Column:
-        rest = trim_ws(acc["cur"])
-        return F.when(F.length(rest) > 0, F.array_append(acc["out"], rest)).otherwise(acc["out"])
+        return F.transform(starts, piece)
 
-    empty = F.struct(start.alias("cur"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(paragraphs, empty, step, finish)
+    return let(F.split(text, "\n{2,}"), lambda paragraphs: let(piece_starts(page, paragraphs, max_chars), lambda starts: cut(paragraphs, starts)))
 
 
 def _page_blocks(pages: DataFrame, max_chars: int) -> DataFrame:
@@ -57,7 +69,7 @@ def _page_blocks(pages: DataFrame, max_chars: int) -> DataFrame:
     header = F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"))
     width = F.length(header) + F.length("text")
     large = width > max_chars
-    pieces = F.when(large, F.size(split_large_page(F.col("page"), F.col("text"), max_chars))).otherwise(F.lit(1))
+    pieces = F.when(large, F.size(piece_starts(F.col("page"), F.split("text", "\n{2,}"), max_chars))).otherwise(F.lit(1))
     sizes = pages.select("doc_id", "page", width.alias("w"), pieces.alias("n"), large.alias("hard"))
     rows = sizes.groupBy("doc_id", block_of("page", PAGES_PER_BLOCK).alias(_BLK)).agg(
         F.sort_array(F.collect_list(F.struct("page", "w", "n", "hard"))).alias("r")

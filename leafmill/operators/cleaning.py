@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.blocks import block_join, spread_join
 from leafmill.functions.text import WS, clip, lines_of, squeeze, trim_ws
+from leafmill.session import stage_table
 
 # Fixed values.
 MAX_DOCUMENT_CHARS = 500_000
@@ -56,7 +57,7 @@ def repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3, min
         .filter(F.col("pages") >= min_pages)
     )
     return (
-        spread_join(counts, sizes, ["doc_id"], F.col("line"))
+        spread_join(counts, sizes, ["doc_id"], F.col("line"), weigh=pages)
         .filter(F.col("n") >= F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * F.lit(ratio))))
         .groupBy("doc_id")
         .agg(F.collect_list("line").alias("furniture"), F.first("last_page").alias("last_page"))
@@ -64,8 +65,11 @@ def repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3, min
 
 
 def drop_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3) -> DataFrame:
-    """Remove the repeated lines inside each page row; page text is shuffled at most once and no page is lost."""
-    furniture = repeated_lines(pages, ratio, min_pages)
+    """Remove the repeated lines inside each page row; page text is shuffled at most once and no page is lost.
+
+    The lines are counted once, whoever reads the pages how often; `pages` is read for the count and for the result.
+    """
+    furniture = stage_table(repeated_lines(pages, ratio, min_pages))
     kept = F.filter(lines_of(F.col("text")), lambda line: ~F.array_contains(F.col("furniture"), trim_ws(line)))
     text = F.when(F.col("furniture").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return block_join(pages, furniture, ["doc_id"], "page", "last_page", "left").withColumn("text", text).drop("furniture")
@@ -74,9 +78,9 @@ def drop_repeated_lines(pages: DataFrame, ratio: float = 0.6, min_pages: int = 3
 def clean_corpus(pages: DataFrame, file_type: Column | None = None) -> DataFrame:
     """Both cleaning steps; plain-text documents (file_type 'txt') pass through untouched."""
     if file_type is None:
-        return drop_repeated_lines(clean_pages(pages))
+        return drop_repeated_lines(stage_table(clean_pages(pages)))
     marked = pages.withColumn("_plain", F.coalesce(file_type == "txt", F.lit(False)))
-    rich = drop_repeated_lines(clean_pages(marked.filter(~F.col("_plain"))))
+    rich = drop_repeated_lines(stage_table(clean_pages(marked.filter(~F.col("_plain")))))
     return rich.unionByName(marked.filter("_plain")).drop("_plain")
 
 
