@@ -13,14 +13,34 @@ from leafmill.session import stage_table
 # Fixed values.
 VECTOR_DIM = 256
 MAX_DF_RATIO = 0.9
+#: words asked of a document that are looked up together
+ASKED = 256
 
 
-def chunk_terms(chunks: DataFrame, group: str = "doc_id") -> DataFrame:
-    """(doc_id, chunk_id, term, tf, first_pos, n_tokens): term counts per chunk, one map-side combined aggregate."""
+def chunk_terms(chunks: DataFrame, group: str = "doc_id", asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_id, term, tf, first_pos, n_tokens): term counts per chunk, one map-side combined aggregate.
+
+    With `asked` (doc_id, term) no other term of a document is counted, as in `posting_blocks`: the text is shuffled once
+    and the rest of its tokens never is. The words asked of a document travel in lists of about `ASKED`.
+    """
+    if asked is None:
+        cut = chunks.select(group, "chunk_id", tokens_of(F.col("text")).alias("tokens")).select(
+            group, "chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "term")
+        )
+    else:
+        words = asked.select(group, "term").distinct()
+        shares = words.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("shares"))
+        share = F.pmod(F.xxhash64("term"), F.col("shares")).alias("share")
+        wanted = words.join(shares, group).groupBy(group, share).agg(F.collect_list("term").alias("asked")).drop("share")
+        rows = spread_join(chunks.select(group, "chunk_id", "text"), wanted, [group], F.col("chunk_id"))
+        placed = F.transform("tokens", lambda t, at: F.struct(at.alias("pos"), t.alias("term")))
+        cut = rows.select(group, "chunk_id", "asked", tokens_of(F.col("text")).alias("tokens")).select(
+            group, "chunk_id", F.size("tokens").alias("n_tokens"), F.filter(placed, lambda t: F.array_contains("asked", t["term"])).alias("hits")
+        )
+        # the outer form, as Spark computes the lists of the other one twice
+        cut = cut.select(group, "chunk_id", "n_tokens", F.inline_outer("hits")).filter(F.col("term").isNotNull())
     return (
-        chunks.select(group, "chunk_id", tokens_of(F.col("text")).alias("tokens"))
-        .select(group, "chunk_id", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "term"))
-        .groupBy(group, "chunk_id", "term")
+        cut.groupBy(group, "chunk_id", "term")
         .agg(
             F.count(F.lit(1)).alias("tf"),
             F.min("pos").alias("first_pos"),

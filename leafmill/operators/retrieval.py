@@ -85,17 +85,22 @@ def hybrid_topk(
     return with_first(scored, k, F.col("score"))
 
 
+def question_words(queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, term, times): the words of the questions."""
+    return (
+        queries.select("query_id", "doc_id", F.explode(tokens_of(F.col("question"))).alias("term"))
+        .groupBy("query_id", "doc_id", "term")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+
+
 def keyword_topk(queries: DataFrame, terms: DataFrame, chunks: DataFrame, k: int = CHAT_TOP_K) -> DataFrame:
     """(query_id, doc_id, chunk_id, score): summed term counts through an inverted-index join.
 
-    Chunks without any hit can only fill the places left over, in chunk order, so the k chunks of a document with the
+    Of `terms` only those of the questions are read. Chunks without any hit can only fill the places left over, in chunk order, so the k chunks of a document with the
     smallest ids are enough to complete the ranking exactly.
     """
-    words = (
-        queries.select("query_id", "doc_id", F.explode(tokens_of(F.col("question"))).alias("term"))
-        .groupBy("query_id", "doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    words = question_words(queries)
     hits = (
         words.join(terms.select("doc_id", "chunk_id", "term", "tf"), ["doc_id", "term"])
         .groupBy("query_id", "doc_id", "chunk_id")

@@ -220,7 +220,8 @@ ORACLES["hybrid_topk_keyword_only"] = hybrid_sql("alone")
 
 def _keyword(s, d, k=3):
     chunks = i.small_chunks(s, d)
-    return retrieval.keyword_topk(questions(s, d), lexical.chunk_terms(chunks), chunks, k), chunks
+    asked = questions(s, d)
+    return retrieval.keyword_topk(asked, lexical.chunk_terms(chunks, asked=retrieval.question_words(asked)), chunks, k), chunks
 
 
 def keyword_sql(k: int, name: str = "top") -> str:
@@ -404,7 +405,8 @@ def _flagship(s, d):
     """Documents -> pages -> cleaned -> chunks -> term index -> keyword ranking -> contexts."""
     cleaned = stage_table(cleaning.clean_pages(pagination.paginate_fixed(i.documents(s, d))))
     chunks = stage_table(chunking.chunk_pages(cleaning.drop_repeated_lines(cleaned)))
-    top = retrieval.keyword_topk(questions(s, d), lexical.chunk_terms(chunks), chunks)
+    asked = questions(s, d)
+    top = retrieval.keyword_topk(asked, lexical.chunk_terms(chunks, asked=retrieval.question_words(asked)), chunks)
     return retrieval.pack_context(retrieval.attach_text(top, chunks))
 
 
