@@ -220,15 +220,15 @@ def quality_rules(docs: DataFrame, model: QualityModel | None, *, key: str = "do
     empty table gives an empty result; other columns are ignored unless carried.
     """
     # a carried text is taken from its row, so that it travels once
-    own = [] if text in carry else [F.col(text).alias("text")]
-    rows = docs.select(F.col(key).alias("doc_id"), *own, *([whole_row(carry)] if carry else []))
+    carried = text in carry
+    rows = docs.select(F.col(key).alias("doc_id"), *([] if carried else [F.col(text).alias("text")]), *([whole_row(carry)] if carry else []))
     types = dict(rows.dtypes)
     schema = f"doc_id {types['doc_id']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, p_good double, kept boolean"
     schema += f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not own:
+            if carried:
                 batch = batch.append_column("text", batch.column("row").field(text))
             for part in pieces_of(batch, "text", 1 << 20):
                 m = _measure(part, "text")

@@ -43,3 +43,14 @@ def test_unlinked_texts_under_one_id_stay(spark):
     rows = [(5, t) for t in texts] + [(9, texts[0] + " end"), (9, texts[1] + " end"), (9, texts[2])]
     kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(map(tuple, kept)) == [(5, t) for t in texts]
+
+
+def test_a_carried_text_travels_once(spark):
+    from leafmill.llm.quality import quality_rules
+
+    docs = spark.createDataFrame([(1, "word " * 60, "s"), (2, None, None), (None, "a b", "t")], "doc_id long, text string, source string")
+    plain, carried = quality_rules(docs, None), quality_rules(docs, None, carry=("doc_id", "text", "source"))
+    assert [r[:-1] for r in map(tuple, carried.collect())] == list(map(tuple, plain.collect()))
+    assert [tuple(r["row"]) for r in carried.collect()] == list(map(tuple, docs.collect()))
+    sent = carried._jdf.queryExecution().analyzed().children().head().output().mkString(",")
+    assert "text#" not in sent and "row#" in sent
