@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -96,3 +97,46 @@ def test_citations_are_found_once_for_a_bibliography(spark):
     found = citations.bibliography(citations.parse_entries(citations.split_entries(docs)), "mla")
     assert [r["n"] for r in found.orderBy("n").collect()] == [1, 2]
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_counted_once_for_all_readers(spark):
+    from leafmill.operators.cleaning import drop_repeated_lines
+
+    rows = [("a", k, f"HEAD\nbody {k * k}") for k in range(1, 9)] + [("b", 1, "HEAD\nx"), (None, 2, "HEAD\ny")]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id string, page int, text string"))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["doc_id"], r["page"]): r["text"] for r in got.collect()} == {
+        (d, p): t.split("\n")[1] if d == "a" else t for d, p, t in rows
+    }
+
+
+def test_large_pages_are_cut_as_a_reader_would(spark):
+    from leafmill.operators.chunking import piece_starts, split_large_page
+
+    texts = ["x" * 90, "", "\n\n\nab\n\ncd", "\n\n".join(c * n for c, n in zip("abcdefgh", (5, 40, 3, 60, 7, 7, 90, 1))), "a\n\n \n\n" + "b" * 60 + "\n\n"]
+
+    def expected(page, text, most):
+        cur, out = f"[Page {page}]\n", []
+        for para in re.split("\n{2,}", text):
+            if len(cur) + len(para) > most and len(cur) > 20:
+                out.append(cur.strip())
+                cur = f"[Page {page} continued]\n"
+            cur += para + "\n\n"
+        return [*out, cur.strip()]
+
+    rows = spark.createDataFrame([(k, k + 7, t) for k, t in enumerate(texts)], "id int, page int, text string")
+    pieces = split_large_page(F.col("page"), F.col("text"), 50)
+    starts = piece_starts(F.col("page"), F.split("text", "\n{2,}"), 50)
+    for r in rows.select("page", "text", pieces.alias("pieces"), F.size(starts).alias("n")).collect():
+        assert r["pieces"] == expected(r["page"], r["text"], 50) and r["n"] == len(r["pieces"])
+
+
+def test_words_asked_are_counted_as_among_all(spark, monkeypatch):
+    from leafmill.operators import lexical
+
+    monkeypatch.setattr(lexical, "ASKED", 2)
+    chunks = spark.createDataFrame([(1, 0, "Red fox red DEN owl"), (1, 1, "owl owl"), (2, 0, "red fox"), (None, 0, "red")], "doc_id int, chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "red"), (1, "red"), (1, "owl"), (1, "den"), (1, "none"), (2, "owl"), (None, "red")], "doc_id int, term string")
+    whole = {tuple(r) for r in lexical.chunk_terms(chunks).join(asked.distinct(), ["doc_id", "term"], "left_semi").select("doc_id", "chunk_id", "term", "tf", "first_pos", "n_tokens").collect()}
+    got = [tuple(r) for r in lexical.chunk_terms(chunks, asked=asked).select("doc_id", "chunk_id", "term", "tf", "first_pos", "n_tokens").collect()]
+    assert len(got) == len(set(got)) == 4 and set(got) == whole
