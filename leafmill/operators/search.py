@@ -142,9 +142,13 @@ def change_audit(before: DataFrame, after: DataFrame, key: str = "doc_id", conte
     """One row per key: hashes, sizes, delta, whether anything changed, size reduction in per cent, and on which side.
 
     A key on one side only has null for the other side's columns and counts as changed. Hashes and sizes are taken before the join, so no content is shuffled.
+    Of empty content the reduction is NaN, or minus infinity where something came out.
     """
     digest = lambda df, p: df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias(f"{p}_hash"), F.octet_length(content).alias(f"{p}_size"))
-    reduction = (F.col("input_size") - F.col("output_size")) / F.col("input_size") * 100
+    saved = F.col("input_size") - F.col("output_size")
+    # of nothing: no share if nothing came out either, else without bound; the division itself would end the query
+    of_nothing = F.when(saved == 0, float("nan")).when(saved < 0, float("-inf"))
+    reduction = F.when(F.col("input_size") == 0, of_nothing).otherwise(saved / F.col("input_size") * 100)
     return digest(before, "input").join(digest(after, "output"), key, "full_outer").select(
         "*",
         F.when(F.col("output_hash").isNull(), "before only").when(F.col("input_hash").isNull(), "after only").otherwise("both").alias("status"),

@@ -326,3 +326,11 @@ def test_grams_of_highlights_travel_as_numbers(spark):
     schemas = {f.name: f.dataType.simpleString() for x in merged.inputFiles() for f in spark.read.parquet(x).schema}
     assert schemas["g"] == "bigint" and schemas["gs"] == "array<bigint>"
     assert [tuple(r) for r in merged.select("doc_id", "hl_id", "position").orderBy("doc_id").collect()] == [(1, 19, 1), (2, 19, 1)]
+
+
+def test_audit_of_empty_content(spark):
+    rows = lambda *r: spark.createDataFrame(r, "doc_id int, content string")
+    before = rows((1, ""), (2, ""), (3, "abcd"), (4, None), (5, ""))
+    after = rows((1, ""), (2, "xy"), (3, "abc"), (4, "x"))
+    got = {r["doc_id"]: (r["input_size"], r["output_size"], str(r["reduction_pct"])) for r in search.change_audit(before, after).collect()}
+    assert got == {1: (0, 0, "nan"), 2: (0, 2, "-inf"), 3: (4, 3, "25.0"), 4: (None, 1, "None"), 5: (0, None, "None")}
