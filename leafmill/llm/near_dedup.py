@@ -142,8 +142,9 @@ def _full_sets(wanted: DataFrame, shingle: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough."""
-    a = sets.select(F.col("nid").alias("x"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("nid").alias("y"), F.col("shingles").alias("b"))
+    # the planner takes a list for one or two elements, so it would send whole sets to all tasks through the driver
+    a = sets.select(F.col("nid").alias("x"), F.col("shingles").alias("a")).hint("merge")
+    b = sets.select(F.col("nid").alias("y"), F.col("shingles").alias("b")).hint("merge")
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(a, "x").join(b, "y").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y")
 
@@ -268,7 +269,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     part = described.where("n > 0 AND doc_id IS NOT NULL")
     nodes = part.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(w).alias(w) for w in _WORDS])
     nodes = stage(nodes.withColumns({"nid": F.monotonically_increasing_id(), "min_id": F.col("rep.doc_id")}))
-    keyed = nodes.select("nid", F.explode("bands").alias("key"))
+    # 32 rows a node, which the planner takes for one: it would broadcast them while the nodes look small
+    keyed = nodes.select("nid", F.explode("bands").alias("key")).hint("merge")
     shared = keyed.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).where("low < high").select("key")
     members = stage(keyed.join(shared, "key").join(nodes.select("nid", "n", *_WORDS), "nid"))
     labels = stage(members.select("nid").distinct().withColumn("comp", F.col("nid")))
@@ -290,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     now = members.select("key", "nid").join(labels, "nid")
     sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
-    now = now.join(mixed.select("key", F.col("main.comp").alias("main"), "size"), "key").join(nodes.select("nid", "n", "bands"), "nid").join(sets.select("nid", "sharp"), "nid")
+    now = now.join(mixed.select("key", F.col("main.comp").alias("main"), "size"), "key").join(nodes.select("nid", "n", "bands").hint("merge"), "nid").join(sets.select("nid", "sharp").hint("merge"), "nid")
     links = _confirm(stage(_pairs_across(now, percent)), sets, percent)
     labels = connect(labels, stage(links))
 

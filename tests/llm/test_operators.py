@@ -496,3 +496,23 @@ def test_near_duplicates_of_many_texts_under_one_id(spark):
     rows = [(1, " ".join([*base[:k], "z", *base[k + 1 :]])) for k in range(60)] + [(2, "other " * 20), (1, sentence(5, 50))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and len({r["group_id"] for r in got}) == 3
+
+
+def test_band_keys_and_sets_are_not_broadcast(spark, monkeypatch):
+    from leafmill.llm import near_dedup
+
+    plans = []
+    write = near_dedup.stage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(near_dedup, "stage", seen)
+    words = [f"w{k * k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 60 - k % 3])) for k in range(9)], "doc_id long, text string")
+    near_dedup.near_duplicates(docs).collect()
+    keyed = [p for p in plans if "explode(bands" in p]
+    assert keyed and all("BroadcastHashJoin [key" not in p for p in keyed)
+    confirmed = [p for p in plans if "array_intersect" in p]
+    assert confirmed and all(f"BroadcastHashJoin [{side}" not in p for p in confirmed for side in "xy")
