@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -39,6 +40,14 @@ def fold(c: Column) -> Column:
     return fold_decomposed(decompose(F.coalesce(c, F.lit(""))))
 
 
+def fold_text(text: str | None) -> str:
+    """What `fold` makes of a text, for work that is in Python anyway."""
+    text = text or ""
+    if not text.isascii():
+        text = re.sub("[\u0300-\u036f]+", "", unicodedata.normalize("NFKD", text))
+    return re.sub(r"[^\w.,;:!?()/-]+", " ", text, flags=re.ASCII).strip(" ").lower()
+
+
 def split_words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: F.length(w) > 0)
 

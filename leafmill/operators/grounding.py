@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.blocks import number_rows, spread_join
-from leafmill.functions.matching import fold, fuzzy_contains, shingles, split_words
+from leafmill.functions.matching import SHINGLE_WORDS, fold, fold_text, fuzzy_contains, shingles, split_words
 from leafmill.functions.text import clip, nonempty, trim_ws
 from leafmill.operators.cleaning import strip_anchors
 from leafmill.session import stage_table
@@ -44,6 +49,10 @@ DEFAULT_CATEGORIES = ["key_finding", "action_required", "important_date", "finan
 
 #: pairs of short snippets and paragraphs that are compared directly in one document
 PAIRS_PER_DOC = 1 << 16
+#: highlights of a document that are compared by one task
+HIGHLIGHTS_PER_DOC = 1 << 15
+#: pairs of highlights, or grams of theirs, that are looked at together
+PAIRS_AT_ONCE = 1 << 20
 #: characters of a gram in the vocabulary's index
 GRAM_CHARS = 3
 
@@ -248,17 +257,116 @@ def normalise_highlights(highlights: DataFrame, doc_types: DataFrame) -> DataFra
     )
 
 
-def merge_highlights(highlights: DataFrame, max_n: int | None = None, min_overlap: float = 0.8) -> DataFrame:
+def merge_highlights(highlights: DataFrame, max_n: int | None = None, min_overlap: float = 0.8, per_doc: int = HIGHLIGHTS_PER_DOC) -> DataFrame:
     """Highlights left after duplicates and near-duplicates give way to a better ranked one.
 
     All of them, or the first `max_n` (suggested: MAX_HIGHLIGHTS) per document.
 
     Near-duplicates share at least `min_overlap` of the smaller one's word 4-grams. Exact copies go first. Pairs are then
     found by prefix filtering: of a set's grams, rarest first, the leading |A| - ceil(min_overlap |A|) + 1 must hit
-    the other set, so frequent grams never meet each other.
+    the other set, so frequent grams never meet each other. Highlights of one document only meet each other, so a document
+    of at most `per_doc` is shuffled once, as text, and compared by one task; the grams of larger ones are joined.
     """
     weight = F.when(F.col("importance") == "critical", 0).when(F.col("importance") == "high", 1).otherwise(2)
     rank = F.struct(weight.alias("w"), (-F.col("confidence")).alias("c"), F.col("hl_id").alias("hl_id"))
+    known = highlights.filter(F.col("doc_id").isNotNull())
+    large = stage_table(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_doc).select("doc_id"))
+    if large.isEmpty():
+        small, rest = known, known.limit(0)
+    else:
+        small, rest = known.join(large, "doc_id", "left_anti"), known.join(large, "doc_id", "left_semi")
+    placed = _merged_together(small, rank, min_overlap).unionByName(_merged_by_index(rest, rank, min_overlap))
+    return placed if max_n is None else placed.filter(F.col("position") <= max_n)
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum up to about `most`, one at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of every k, sizes[k] of them."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
+def _word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many word n-grams every text has, and the number of each gram, equal for equal ones."""
+    known: dict[str, int] = {}
+    rows = [[known.setdefault(w, len(known)) for w in t.split(" ") if w] for t in texts]
+    words = np.array([w for r in rows for w in r], np.int64)
+    sizes = np.array([max(len(r) - SHINGLE_WORDS + 1, 0) for r in rows], np.int64)
+    starts = np.cumsum([0, *map(len, rows)])[:-1]
+    at = _spread(starts, sizes)
+    gram = words[at]
+    for k in range(1, SHINGLE_WORDS):
+        gram = np.unique(gram * max(len(known), 1) + words[at + k], return_inverse=True)[1]
+    return sizes, gram
+
+
+def _beaten(own: np.ndarray, gram: np.ndarray, first: np.ndarray, min_overlap: float) -> np.ndarray:
+    """Which sets overlap with one that ranks before them. `own` and `gram` are the distinct pairs of set and gram, by
+    set, both numbered from 0; `first` is the rank of every set."""
+    n, df = np.bincount(own, minlength=len(first)), np.bincount(gram)
+    start, head = np.cumsum(n) - n, np.cumsum(df) - df
+    rarest = np.lexsort((gram, df[gram], own))
+    x, g = own[rarest], gram[rarest]
+    leading = np.arange(len(x)) - start[x] + 1 <= n[x] - np.ceil(n[x] * min_overlap) + 1
+    x, g = x[leading & (df[g] > 1)], g[leading & (df[g] > 1)]
+    holders = own[np.argsort(gram, kind="stable")]
+    cells = own * len(df) + gram
+    lost = np.zeros(len(first), bool)
+    for a, b in _slices(df[g], PAIRS_AT_ONCE):
+        p, q = np.repeat(x[a:b], df[g[a:b]]), holders[_spread(head[g[a:b]], df[g[a:b]])]
+        pair = np.unique((np.minimum(p, q) * len(first) + np.maximum(p, q))[p != q])
+        p, q = pair // len(first), pair % len(first)
+        less, more = np.where(n[p] <= n[q], p, q), np.where(n[p] <= n[q], q, p)
+        for c, d in _slices(n[less], PAIRS_AT_ONCE):
+            size = n[less[c:d]]
+            asked = np.repeat(more[c:d], size) * len(df) + gram[_spread(start[less[c:d]], size)]
+            hit = cells[np.minimum(np.searchsorted(cells, asked), len(cells) - 1)] == asked
+            both = np.bincount(np.repeat(np.arange(d - c), size), hit, d - c)
+            near = both >= size * min_overlap
+            lost[np.where(first[p[c:d]] < first[q[c:d]], q[c:d], p[c:d])[near]] = True
+    return lost
+
+
+def _merged_together(highlights: DataFrame, rank: Column, min_overlap: float) -> DataFrame:
+    """Highlights left, with their `position`, where a document is small enough for one task."""
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank"))
+    ranked = highlights.withColumn("_rank", rank).withColumn("_order", order).drop("_rank")
+    schema, columns = T.StructType([*highlights.schema.fields, T.StructField("position", T.IntegerType())]), highlights.columns
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        """A number for every distinct value, -1 for null."""
+        return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def merge(doc: pa.Table) -> pa.Table:
+        doc = doc.sort_by("_order")
+        ids = numbers(doc["hl_id"])
+        norms = np.array([fold_text(t) for t in doc["text"].to_pylist()], dtype=object)
+        lead = np.sort(np.unique(numbers(pa.chunked_array([pa.array(norms, pa.string())])), return_index=True)[1])
+        lead = lead[ids[lead] >= 0]
+        sizes, gram = _word_grams(norms[lead].tolist())
+        inked, own = np.unique(np.repeat(ids[lead], sizes), return_inverse=True)
+        gone = inked[:0]
+        if len(own):
+            cells = np.unique(own * (gram.max() + 1) + gram)
+            first = np.full(ids.max() + 1, doc.num_rows)
+            np.minimum.at(first, ids[lead], lead)
+            gone = inked[_beaten(cells // (gram.max() + 1), cells % (gram.max() + 1), first[inked], min_overlap)]
+        kept = doc.filter(pa.array(np.isin(ids, ids[lead]) & ~np.isin(ids, gone))).select(columns)
+        return kept.append_column("position", pa.array(np.arange(1, kept.num_rows + 1), pa.int32()))
+
+    return ranked.groupBy("doc_id").applyInArrow(merge, schema)
+
+
+def _merged_by_index(highlights: DataFrame, rank: Column, min_overlap: float) -> DataFrame:
+    """As `_merged_together`, for documents of any size: grams meet in joins."""
     ranked = stage_table(highlights.withColumn("_rank", rank).withColumn("_norm", fold(F.col("text"))))
     lead = ranked.groupBy("doc_id", "_norm").agg(F.min("_rank").alias("_rank"))
     # a gram travels as the hash of its document and itself, so every step moves numbers, not texts
@@ -287,8 +395,7 @@ def merge_highlights(highlights: DataFrame, max_n: int | None = None, min_overla
     firsts = lead.select("doc_id", F.col("_rank.hl_id").alias("hl_id"))
     kept = ranked.join(firsts, ["doc_id", "hl_id"], "left_semi").join(beaten, ["doc_id", "hl_id"], "left_anti")
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank"))
-    placed = kept.withColumn("position", position).drop("_rank", "_norm")
-    return placed if max_n is None else placed.filter(F.col("position") <= max_n)
+    return kept.withColumn("position", position).drop("_rank", "_norm")
 
 
 def highlight_listing(highlights: DataFrame, block: Column | None = None) -> DataFrame:

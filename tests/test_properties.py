@@ -1,5 +1,7 @@
 """Properties that hold for any corpus."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -139,3 +141,33 @@ def test_merge_highlights_against_all_pairs(spark):
     near = lambda a, b: len(grams(a) & grams(b)) >= 0.8 * min(len(grams(a)), len(grams(b)))
     want = [r[1] for i, r in enumerate(firsts) if not any(near(r[2], b[2]) for b in firsts[:i])]
     assert got == want
+
+
+def test_merge_highlights_together_and_by_index(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for doc in (1, 2, None, 3):
+        texts = [[rng.choice("abcdefg") * 3 for _ in range(rng.randint(0, 9))] for _ in range(12)]
+        for k in range(60):
+            words = list(rng.choice(texts))
+            if words and rng.random() < 0.5:
+                words[rng.randrange(len(words))] = "new"
+            hl_id = None if rng.random() < 0.05 else rng.randrange(50)
+            rows.append((doc, hl_id, rng.choice([" ".join(words), " ".join(words).upper(), None]), rng.choice(["critical", "high", None]), rng.choice([50, 90, None])))
+    df = spark.createDataFrame(rows, "doc_id int, hl_id int, text string, importance string, confidence int")
+    plain = lambda found: sorted((r["doc_id"], r["hl_id"], str(r["text"]), str(r["importance"]), str(r["confidence"])) for r in found.collect())
+    monkeypatch.setattr(grounding, "PAIRS_AT_ONCE", 7)
+    indexed, mixed = grounding.merge_highlights(df, per_doc=0), grounding.merge_highlights(df, per_doc=59)
+    together = grounding.merge_highlights(df)
+    assert len(plain(together)) > 20 and plain(together) == plain(indexed) == plain(mixed)
+    plan = grounding._merged_together(df, F.struct("confidence", "hl_id"), 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    for doc in (1, 2, 3):
+        assert [r["position"] for r in together.filter(F.col("doc_id") == doc).orderBy("position").collect()] == list(range(1, together.filter(F.col("doc_id") == doc).count() + 1))
+
+
+def test_folding_in_python_is_that_of_the_columns(spark):
+    from leafmill.functions.matching import fold, fold_text
+
+    texts = ["", " ", "Ünï çode ÉCOLE straße ﬁx İ ſ K", "a\u0301b\tc\u00a0d\u2003e", "x-y/z (q)! «r» \U0001d11e1\u0661_", "…\u0300\u0345 A\u200bB", "\x00\x1c ab\n", "١٢٣ ½ ² №"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", fold(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in rows] == [fold_text(r["t"]) for r in rows]
