@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.operators import lexical, postings, retrieval
 
@@ -56,3 +57,26 @@ def test_tokens_lose_other_characters(spark):
 
     df = spark.createDataFrame([("Don't día, a-b-c  İx end. two2 \t--\n",), ("",), (None,)], "text string")
     assert [r[0] for r in df.select(tokens_of(F.col("text"))).collect()] == [["dont", "abc", "end", "two2"], [], None]
+
+
+def test_terms_that_lie_by_document_are_not_shuffled_again(spark, monkeypatch):
+    rows = [(d, c, " ".join(f"w{(k * k + d) % (9 + c)}x" for k in range(20 + c)) + (" only" if c else "")) for d in (1, 2, 3) for c in range(6)]
+    chunks = spark.createDataFrame([*rows, (1, 7, ""), (None, 0, "w1x w2x"), (2, 8, None)], "doc_id long, chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "w1x"), (1, "none"), (2, "only"), (None, "w1x")], "doc_id long, term string")
+
+    def found():
+        terms = lexical.chunk_terms(chunks)
+        vocab = lexical.vocab_topn(terms, chunks, 8)
+        weights = lexical.tfidf_weights(terms, vocab, weigh=chunks)
+        lists = postings.posting_blocks(terms, vocab, asked, 4, weigh=chunks).select("doc_id", "term", "run", F.round("top", 9), F.array_sort(F.transform("entries", lambda e: F.struct(e["chunk_id"], F.round(e["weight"], 9)))))
+        vectors = lexical.tfidf_vectors(chunks, 8).select("doc_id", "chunk_id", "text", F.transform("embedding", lambda v: F.round(v, 9)))
+        return weights, [sorted(map(str, df.collect())) for df in (terms, vocab, weights.withColumn("weight", F.round("weight", 9)), lists, vectors)]
+
+    weights, together = found()
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "term" in x]
+    monkeypatch.setattr(lexical, "hot_keys", lambda *_: {1: 2})
+    monkeypatch.setattr(postings, "hot_keys", lambda *_: {1: 2})
+    monkeypatch.setattr(lexical, "DOC_CHUNKS", 2)
+    _, apart = found()
+    assert all(together) and together == apart
