@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.functions.blocks import block_of, number_rows, point_segments, prefix_sums
-from leafmill.functions.text import WS, clip, let, lines_of, squeeze, trim_ws
+from leafmill.functions.blocks import NO_ANCHOR, block_anchors, block_of, number_rows, point_segments, prefix_sums
+from leafmill.functions.text import WS, WS_CHARS, clip, let, lines_of, squeeze, trim_ws
+from leafmill.session import stage_table
 
 # Fixed values.
 MIN_CHAPTER_CHARS = 5
@@ -21,6 +25,8 @@ READABLE_CHARS = 50
 SLIDE_TITLE_CHARS = 80
 LINE_TOLERANCE = 3.0
 LINE_BAND = 5.0
+#: items of a page that one task puts into lines
+PAGE_ITEMS = 1 << 17
 HEADING_CAPS = r"^([A-Z][A-Z0-9 \-:&()/.,]{2,80})$"
 HEADING_TITLE = r"^(\d+\.)?\s*[A-Z][A-Za-z0-9]+(\s+[A-Z][A-Za-z0-9]+){0,6}\s*:?\s*$"
 HEADING_ELEMENT = r"(?i)<h[1-3][^>]*>([\s\S]*?)</h[1-3]>"
@@ -286,6 +292,19 @@ def slides_from_text(docs: DataFrame, max_body: int | None = None) -> DataFrame:
 # ---- positioned text ------------------------------------------------------------------------------------------------
 
 
+def _fit(ys: Iterable[float], band: float) -> list[int]:
+    """For each height the place of the first one that opened a line less than `band` from it."""
+    opened: dict[float, list[tuple[int, float]]] = {}
+    found = []
+    for n, y in enumerate(ys):
+        cell = y // band if band > 0 else y
+        near = [line for c in (cell - 1, cell, cell + 1) for line in opened.get(c, ()) if abs(line[1] - y) < band]
+        if not near:
+            opened.setdefault(cell, []).append((n, y))
+        found.append(min(near)[0] if near else n)
+    return found
+
+
 def first_fit(heights: DataFrame, keys: list[str], band: float) -> DataFrame:
     """(keys, y, line_y): every height of (keys, y, seq) with the first line, in the order of seq, that opened less than `band` from it.
 
@@ -294,20 +313,9 @@ def first_fit(heights: DataFrame, keys: list[str], band: float) -> DataFrame:
     on no line; heights that are no finite number, and all heights if `band` is not above zero, have a line each.
     """
 
-    def fit(ys: Iterable[float]) -> list[int]:
-        opened: dict[float, list[tuple[int, float]]] = {}
-        found = []
-        for n, y in enumerate(ys):
-            cell = y // band if band > 0 else y
-            near = [line for c in (cell - 1, cell, cell + 1) for line in opened.get(c, ()) if abs(line[1] - y) < band]
-            if not near:
-                opened.setdefault(cell, []).append((n, y))
-            found.append(min(near)[0] if near else n)
-        return found
-
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def lines_of_pages(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda ys: fit(ys.tolist()))
+        return pages.map(lambda ys: _fit(ys.tolist(), band))
 
     seen = F.struct("seq", F.col("y").cast("double").alias("y"))
     per_page = heights.filter(F.col("y").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(seen)).getField("y").alias("_ys"))
@@ -316,14 +324,93 @@ def first_fit(heights: DataFrame, keys: list[str], band: float) -> DataFrame:
     return placed.select(*keys, F.inline(pair))
 
 
-def items_to_lines(items: DataFrame, mode: str = "anchor", tolerance: float | None = None) -> DataFrame:
+def items_to_lines(items: DataFrame, mode: str = "anchor", tolerance: float | None = None, per_page: int = PAGE_ITEMS) -> DataFrame:
     """(doc_id, page, line_no, y, text, items): positioned items grouped into lines, top to bottom.
 
     'anchor': from the top down, an item joins the open line while it is within the tolerance of the line's first item.
     'first_fit': in input order, an item joins the first line opened within the band. Either way the line depends on
     the y coordinate alone, so lines are found on the distinct coordinates of a page; items are ordered by (x, seq).
+
+    Pages of at most `per_page` items are packed where they are read, shuffled once and made by one task each. Larger ones,
+    and pages with coordinates that are no finite numbers or places in the order that are null, go by blocks of height.
     """
-    inked = items.filter(F.length(trim_ws(F.col("text"))) > 0)
+    inked = items.filter((F.length(trim_ws(F.col("text"))) > 0) & F.col("doc_id").isNotNull() & F.col("page").isNotNull() & F.col("y").isNotNull())
+    keys = ["doc_id", "page"]
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    plain = finite("x") & finite("y") & F.col("seq").isNotNull()
+    sizes = inked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(plain).alias("plain"))
+    large = stage_table(sizes.filter((F.col("n") > per_page) | ~F.col("plain")).select(*keys))
+    small = inked if large.isEmpty() else inked.join(large, keys, "left_anti")
+    return _lines_together(small, mode, tolerance).unionByName(_lines_by_height(inked.join(large, keys, "left_semi"), mode, tolerance))
+
+
+def _lines_together(inked: DataFrame, mode: str, tolerance: float | None) -> DataFrame:
+    """Lines of pages that one task can hold. Items are packed by page in the batches they come in, column by column."""
+    box, keys = ("x", "seq", "text", "y", "w", "h"), ("doc_id", "page")
+    anchor = mode == "anchor"
+    limit = float(tolerance if tolerance is not None else LINE_TOLERANCE if anchor else LINE_BAND)
+    rows = inked.select(*keys, *box)
+    field = {f.name: f for f in rows.schema.fields}
+    packed_schema = T.StructType([field["doc_id"], field["page"], T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType())])
+    found = [T.StructField("line_no", T.IntegerType()), T.StructField("y", T.DoubleType()), T.StructField("text", T.StringType())]
+    boxes_type = T.StructType([T.StructField(c, field[c].dataType) for c in box])
+    schema = T.StructType([field["doc_id"], field["page"], *found, T.StructField("items", T.ArrayType(boxes_type))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch, sort_keys=[(k, "ascending") for k in keys]))
+            new = pc.or_(*[pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]) for k in keys])
+            cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            sizes, blobs = [], []
+            for a, b in zip(cuts, cuts[1:]):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(a, b - a).select(box)
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                raw = sink.getvalue()
+                sizes.append(raw.size)
+                blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
+            first = batch.select(keys).take(pa.array(cuts[:-1]))
+            yield pa.RecordBatch.from_arrays([*first.columns, pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], [*keys, "size", "packed"])
+
+    def line_heights(page: pa.Table) -> np.ndarray:
+        """The height of the line of every item."""
+        ys = page["y"].to_numpy().astype(np.float64) + 0.0
+        if anchor:
+            down, place = np.unique(-ys, return_inverse=True)
+            return -block_anchors(down, down, np.zeros(len(down), bool), limit, NO_ANCHOR)[place] + 0.0
+        heights, place = np.unique(ys, return_inverse=True)
+        ranks = pc.rank(page["seq"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+        seen = np.full(len(heights), len(ys) + 1)
+        np.minimum.at(seen, place, ranks)
+        order = np.lexsort((heights, seen))
+        lines = np.empty(len(heights))
+        lines[order] = heights[order][_fit(heights[order].tolist(), limit)]
+        return lines[place]
+
+    def build(group: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(pa.decompress(blob, size, codec="zstd")).read_all() for size, blob in zip(group["size"].to_pylist(), group["packed"].to_pylist())]
+        page = pa.concat_tables(parts).combine_chunks()
+        down = -line_heights(page)
+        order = pc.sort_indices(page.append_column("_down", pa.array(down)), sort_keys=[(c, "ascending") for c in ("_down", *box)], null_placement="at_start")
+        page, down = page.take(order).combine_chunks(), down[order.to_numpy()]
+        starts = np.flatnonzero(np.append(True, down[1:] != down[:-1]))
+        cuts = np.append(starts, len(down))
+        words = page["text"].to_pylist()
+        texts = [" ".join(words[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        boxes = pa.StructArray.from_arrays([page[c].combine_chunks() for c in box], names=box)
+        columns = {k: pa.repeat(group[k][0], len(starts)) for k in keys}
+        columns |= {"line_no": pa.array(np.arange(1, len(starts) + 1), pa.int32()), "y": pa.array(-down[starts] + 0.0)}
+        columns |= {"text": pa.array(texts if anchor else [t.strip(WS_CHARS) for t in texts], pa.string()), "items": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), boxes)}
+        return pa.table(columns)
+
+    return rows.mapInArrow(pack, packed_schema).groupBy(*keys).applyInArrow(build, schema)
+
+
+def _lines_by_height(inked: DataFrame, mode: str, tolerance: float | None) -> DataFrame:
+    """As `_lines_together`, for pages of any size: heights and items meet in joins."""
     keys = ["doc_id", "page"]
     if mode == "anchor":
         tol = LINE_TOLERANCE if tolerance is None else tolerance

@@ -334,3 +334,21 @@ def test_audit_of_empty_content(spark):
     after = rows((1, ""), (2, "xy"), (3, "abc"), (4, "x"))
     got = {r["doc_id"]: (r["input_size"], r["output_size"], str(r["reduction_pct"])) for r in search.change_audit(before, after).collect()}
     assert got == {1: (0, 0, "nan"), 2: (0, 2, "-inf"), 3: (4, 3, "25.0"), 4: (None, 1, "None"), 5: (0, None, "None")}
+
+
+@pytest.mark.parametrize("mode", ["anchor", "first_fit"])
+def test_lines_of_packed_pages_are_those_of_blocks(spark, mode):
+    rng = random.Random(9)
+    rows = []
+    for doc, page in [(1, 1), (1, 2), (2, 1), (None, 1), (3, None), (3, 4)]:
+        for k in range(80):
+            y = rng.choice([None, 0.0, -0.0, rng.uniform(-60, 60), rng.randint(-9, 9) * 1000.0]) if k % 7 else 5.5
+            rows.append((doc, page, rng.randrange(60), rng.choice(["a", " b", "", None, "é ", "cd"]), float(rng.randrange(9)), y, rng.choice([None, 6.0]), 10.0))
+    rows += [(4, 1, None, "n", 1.0, 2.0, 1.0, 1.0), (4, 1, 2, "m", None, 2.0, 1.0, 1.0), (5, 1, 1, "o", float("nan"), 1.0, 1.0, 1.0), (6, 1, 1, "p", 1.0, 1.0, 1.0, 1.0)]
+    items = spark.createDataFrame(rows, "doc_id int, page int, seq int, text string, x double, y double, w double, h double")
+    ways = [sorted(map(str, structure.items_to_lines(items, mode, per_page=n).collect())) for n in (0, 60, 1 << 17)]
+    assert len(ways[0]) > 30 and ways[0] == ways[1] == ways[2]
+    plan = structure._lines_together(items, mode, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    # a column that is never null
+    assert structure.items_to_lines(items.withColumn("h", F.lit(10.0)), mode).count() == len(ways[0])
